@@ -175,7 +175,7 @@ def load_shards(benchmark: DataFrame, item_id: str = "item_id", text: str = "tex
     return [[(r["i"], r["t"]) for r in rows.filter(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k).collect()] for k in range(n)]
 
 
-def find(docs: DataFrame, benchmark: DataFrame, text: str = "text", carry: tuple[str, ...] = ("doc_id",), window: int = WINDOW, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+def find(docs: DataFrame, benchmark: DataFrame, text: str = "text", carry: tuple[str, ...] = ("doc_id",), window: int = WINDOW, shard_bytes: int = SHARD_BYTES, names: tuple[str, str, str] = ("n_words", "n_hit", "items")) -> DataFrame:
     """``n_words``, ``n_hit`` and ``items`` (sorted ids as strings) of every text beside the columns ``carry``.
 
     A null or empty text, and an empty benchmark, give no hits. Texts are searched whole; a text of any length is cut
@@ -185,7 +185,7 @@ def find(docs: DataFrame, benchmark: DataFrame, text: str = "text", carry: tuple
     session = docs.sparkSession
     shards = [session.sparkContext.broadcast(s) for s in load_shards(benchmark, shard_bytes=shard_bytes)]
     base = docs.select(*[F.col(quoted(c)) for c in carry], F.col(quoted(text)).alias("_t"))
-    schema = base.drop("_t").schema.add("n_words", "long").add("n_hit", "long").add("items", ArrayType(StringType()))
+    schema = base.drop("_t").schema.add(names[0], "long").add(names[1], "long").add(names[2], ArrayType(StringType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         only = Matcher(shards[0].value, window) if len(shards) == 1 else None
@@ -206,7 +206,7 @@ def find(docs: DataFrame, benchmark: DataFrame, text: str = "text", carry: tuple
             for k, s in spans.items():
                 hit[k] = covered(np.concatenate(s), n_words[k])
             cols = [pa.array(n_words, pa.int64()), pa.array(hit, pa.int64()), pa.array([sorted(x) for x in items], pa.list_(pa.string()))]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *cols], names=[*b.schema.names[:-1], "n_words", "n_hit", "items"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *cols], names=[*b.schema.names[:-1], *names])
 
     return base.mapInArrow(run, schema)
 

@@ -102,13 +102,12 @@ def mix(docs: DataFrame, **options) -> DataFrame:
     of all of them.
     """
     doc_id, text, source = (options.get(k, k) for k in ("doc_id", "text", "source"))
-    key, n, m, copy = (fresh(docs.columns, c) for c in ("_key", "_n", "_m", "_copy"))
+    key, n, m, k, copy = (fresh(docs.columns, c) for c in ("_key", "_n", "_m", "_k", "_copy"))
     ident = F.xxhash64(F.col(quoted(doc_id)).cast("string"), F.col(quoted(source)).cast("string"), F.col(quoted(text)))
     named = docs.withColumn(key, ident)
     taken = sample_copies(named, carry=(key,), **options).groupBy(key).agg(F.sum("copies").alias(n), F.count(F.lit(1)).alias(m)).filter(F.col(n) > 0)
-    joined = named.join(taken, key)
     # m rows share n copies: the first n % m of them get one more
-    share = F.when(F.col(m) == 1, F.col(n)).otherwise(
-        F.floor(F.col(n) / F.col(m)).cast("long") + (F.row_number().over(Window.partitionBy(key).orderBy(key)) <= F.col(n) % F.col(m)).cast("long")
-    )
-    return joined.withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), F.greatest(share, F.lit(1))))).filter(F.col(copy) <= share).select(*[F.col(quoted(c)) for c in docs.columns])
+    joined = named.join(taken, key).withColumn(k, F.row_number().over(Window.partitionBy(key).orderBy(key)))
+    share = F.floor(F.col(n) / F.col(m)).cast("long") + F.when(F.col(k) <= F.col(n) % F.col(m), F.lit(1)).otherwise(F.lit(0))
+    repeated = joined.withColumn(n, share).filter(F.col(n) > 0).withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), F.col(n))))
+    return repeated.select(*[F.col(quoted(c)) for c in docs.columns])

@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language, licenses, mixing, quality, secrets, tokens
+from . import decontaminate, language, licenses, mixing, near_dedup, quality, secrets, tokens
 
 VOCABULARY = "word_bpe_49k.json"
 TOKEN_LIMIT = 2048
@@ -25,6 +25,10 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.classes(_table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links", "n_class")
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality.assess(_table(spark, sf_dir, "documents"))
     base_failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
@@ -74,4 +78,4 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), digest.alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op3_quality_rules, op4_token_counts, op5_license_scan, op6_secret_scan, op7_language_id, op8_decontaminate)}
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_near_dedup, op3_quality_rules, op4_token_counts, op5_license_scan, op6_secret_scan, op7_language_id, op8_decontaminate)}

@@ -139,7 +139,7 @@ def _typed(rank: int, kind: str):
     return lambda s: F.struct(s["start"].alias("start"), F.lit(rank).alias("rank"), s["end"].alias("end"), F.lit(kind).alias("kind"))
 
 
-def scan(docs: DataFrame, model: Model, text: str = "text", carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def scan(docs: DataFrame, model: Model, text: str = "text", carry: tuple[str, ...] = ("doc_id",), name: str = "spans") -> DataFrame:
     """``spans`` of every text: array of (start, rank, end, kind) in code points, end exclusive, by start, then kind.
 
     Ranks: assign 0, access 1, hex 2, markov 3. A null text is empty. Spans of different kinds may overlap; equal
@@ -155,7 +155,7 @@ def scan(docs: DataFrame, model: Model, text: str = "text", carry: tuple[str, ..
     cands = F.when(t.rlike(MAY_HAVE["markov"]), _spans(t, rf"([A-Za-z0-9+/_-]{{{CANDIDATE_LEAST},}})", CANDIDATE_LEAST)).otherwise(none)
     random = F.filter(cands, lambda s: s["part"].rlike("[0-9]") & (score(s["part"], model) > model.threshold))
     typed.append(F.transform(random, _typed(len(KINDS), "markov")))
-    return docs.select(*[F.col(quoted(c)) for c in carry], F.array_sort(F.concat(*typed)).alias("spans"))
+    return docs.select(*[F.col(quoted(c)) for c in carry], F.array_sort(F.concat(*typed)).alias(name))
 
 
 def redact(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
