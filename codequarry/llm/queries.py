@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language, licenses, lm, mixing, near_dedup, quality, secrets, tokens
+from . import decontaminate, language, licenses, lm, mixing, near_dedup, quality, secrets, substring_dedup, tokens
 
 VOCABULARY = "word_bpe_49k.json"
 TOKEN_LIMIT = 2048
@@ -78,8 +78,12 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), digest.alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.repeats(_table(spark, sf_dir, "documents"))
+
+
 def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.scores(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_near_dedup, op3_quality_rules, op4_token_counts, op5_license_scan, op6_secret_scan, op7_language_id, op8_decontaminate, op10_lm_scores)}
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_near_dedup, op3_quality_rules, op4_token_counts, op5_license_scan, op6_secret_scan, op7_language_id, op8_decontaminate, op9_substring_dedup, op10_lm_scores)}
