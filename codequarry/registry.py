@@ -24,8 +24,11 @@ def query(oracle: str | None = None) -> Callable[[Query], Query]:
 
 
 def queries() -> dict[str, Query]:
+    from . import queries as _  # noqa: F401, PLC0415
+
     return _QUERIES
 
 
 def oracles() -> dict[str, str]:
+    queries()
     return _ORACLES
