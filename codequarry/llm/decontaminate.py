@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
-from .shared import quoted
+from .shared import fresh, quoted
 
 #: Words in a window; an item of fewer, but not none, is one window.
 WINDOW = 10
@@ -184,8 +184,9 @@ def find(docs: DataFrame, benchmark: DataFrame, text: str = "text", carry: tuple
     """
     session = docs.sparkSession
     shards = [session.sparkContext.broadcast(s) for s in load_shards(benchmark, shard_bytes=shard_bytes)]
-    base = docs.select(*[F.col(quoted(c)) for c in carry], F.col(quoted(text)).alias("_t"))
-    schema = base.drop("_t").schema.add(names[0], "long").add(names[1], "long").add(names[2], ArrayType(StringType()))
+    hidden = fresh(carry, "_t")
+    base = docs.select(*[F.col(quoted(c)) for c in carry], F.col(quoted(text)).alias(hidden))
+    schema = base.drop(hidden).schema.add(names[0], "long").add(names[1], "long").add(names[2], ArrayType(StringType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         only = Matcher(shards[0].value, window) if len(shards) == 1 else None

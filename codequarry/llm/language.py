@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import quoted
+from .shared import fresh, quoted
 
 #: Lengths of n-grams; a word is padded by one blank on either side.
 ORDERS = (1, 2, 3)
@@ -139,8 +139,9 @@ def identify(docs: DataFrame, profiles: Profiles, text: str = "text", carry: tup
 
     ``und`` and 0 for a null text, one without letters, or without profiles. Texts are judged each on its own.
     """
-    base = docs.select(*[F.col(quoted(c)) for c in carry], F.col(quoted(text)).alias("_t"))
-    schema = base.drop("_t").schema.add(names[0], "string").add(names[1], "double")
+    hidden = fresh(carry, "_t")
+    base = docs.select(*[F.col(quoted(c)) for c in carry], F.col(quoted(text)).alias(hidden))
+    schema = base.drop(hidden).schema.add(names[0], "string").add(names[1], "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

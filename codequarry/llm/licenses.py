@@ -18,7 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import ALNUM_WORD, let, quoted, words
+from .shared import ALNUM_WORD, fresh, let, quoted, words
 
 
 @dataclass(frozen=True)
@@ -148,7 +148,8 @@ def scan(docs: DataFrame, index: Index = INDEX, text: str = "text", carry: tuple
     t = F.coalesce(F.col(quoted(text)), F.lit(""))
     empty = F.array().cast("array<struct<k:int,at:int,score:double>>")
     found = F.when(let(F.lower(t), lambda low: _may_hold(low, index)), let(words(t, ALNUM_WORD), lambda w: _found(w, index))).otherwise(empty)
+    hidden = fresh(carry, "_f")
     name = lambda f, values: F.element_at(F.array(*[F.lit(v) for v in values]), f["k"] + 1)
-    typed = F.transform("_f", lambda f: F.struct(name(f, [x.label for x in index.templates]).alias("label"), name(f, [x.base for x in index.templates]).alias("base"), f["at"].cast("long").alias("start"), f["score"].alias("score")))
+    typed = F.transform(hidden, lambda f: F.struct(name(f, [x.label for x in index.templates]).alias("label"), name(f, [x.base for x in index.templates]).alias("base"), f["at"].cast("long").alias("start"), f["score"].alias("score")))
     kept = [F.col(quoted(c)) for c in carry]
-    return docs.select(*kept, F.regexp_count(t, F.lit(ALNUM_WORD)).cast("long").alias("n_words"), found.alias("_f")).select(*kept, "n_words", typed.alias("found"))
+    return docs.select(*kept, F.regexp_count(t, F.lit(ALNUM_WORD)).cast("long").alias("n_words"), found.alias(hidden)).select(*kept, "n_words", typed.alias("found"))

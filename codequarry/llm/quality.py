@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import let, quoted, words
+from .shared import fresh, let, quoted, words
 
 WINDOW = 5
 SYMBOLS = r"[#*$%&|<>]"
@@ -116,9 +116,10 @@ def counts(docs: DataFrame, text: str = "text", carry: tuple[str, ...] = ("doc_i
 
     lined = F.filter(F.split(t, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     kept = [F.col(quoted(c)) for c in carry]
-    return docs.select(
-        *kept, let(words(t), of_words).alias("_w"), let(lined, of_lines).alias("_l"), F.regexp_count(t, F.lit(SYMBOLS)).cast("long").alias("n_symbols")
-    ).select(*kept, "_w.*", "_l.*", "n_symbols")
+    w, lns = fresh(carry, "_w"), fresh(carry, "_l")
+    return docs.select(*kept, let(words(t), of_words).alias(w), let(lined, of_lines).alias(lns), F.regexp_count(t, F.lit(SYMBOLS)).cast("long").alias("n_symbols")).select(
+        *kept, f"{w}.*", f"{lns}.*", "n_symbols"
+    )
 
 
 def compile_rules(rules: tuple[Rule, ...]) -> Column:

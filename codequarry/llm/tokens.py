@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .shared import quoted
+from .shared import fresh, quoted
 
 #: Characters on which this module's cutting provably equals the library's (tests compare all of them): ASCII
 #: without control characters but line feed, tab and carriage return, and Latin letters and signs up to U+017F
@@ -100,9 +100,9 @@ def count_tokens(docs: DataFrame, vocabulary: str, text: str = "text", carry: tu
     ``vocabulary``: path of the tokenizer's file on every executor. A null text is empty and has 0 of both. Texts
     are counted whole, each on its own; there is no shuffle, and a worker holds one Arrow batch and a bounded table.
     """
-    kept = [F.col(quoted(c)) for c in carry]
-    base = docs.select(*kept, F.coalesce(F.octet_length(F.col(quoted(text))), F.lit(0)).cast("long").alias("n_bytes"), F.coalesce(F.col(quoted(text)), F.lit("")).alias("_t"))
-    schema = base.drop("_t").schema.add("n_tokens", "long")
+    kept, hidden = [F.col(quoted(c)) for c in carry], fresh(carry, "_t")
+    base = docs.select(*kept, F.coalesce(F.octet_length(F.col(quoted(text))), F.lit(0)).cast("long").alias("n_bytes"), F.coalesce(F.col(quoted(text)), F.lit("")).alias(hidden))
+    schema = base.drop(hidden).schema.add("n_tokens", "long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = counter(vocabulary).count
