@@ -135,7 +135,7 @@ def search_capped(spark, d):
 @query()
 def fuzzy_rank(spark, d):
     """A top-50 report."""
-    return search.fuzzy_rank(read(spark, d, "part").select("p_partkey", "p_name", "p_type"), "pat al", F.col("p_name"), F.col("p_type"), order=F.col("p_partkey"))
+    return search.fuzzy_rank(read(spark, d, "part").select("p_partkey", "p_name", "p_type"), "blu anv", F.col("p_name"), F.col("p_type"), order=F.col("p_partkey"))
 
 
 @query(
@@ -624,3 +624,60 @@ def session_eviction(spark, d):
 def session_ledger(spark, d):
     """A18, A19, Z6."""
     return out(session.ledger(session.eviction(_slices(spark, d), 150), pack_tokens=100))
+
+
+def _repository(spark: SparkSession, d: str):
+    """Documents as a repository; calls are of the rarer, longer words, and a document is a function of as many decisions as lines."""
+    from .plans.pack import Repository
+
+    f = _files(spark, d)
+    lines = metrics.line_metrics(f)
+    fn = lines.select("repo_key", "path", F.lit(1).alias("fn_ord"), F.lit("document").alias("name"), F.col("total_lines").alias("cyclomatic"), F.col("sloc").alias("cognitive"), "sloc")
+    fm = lines.join(f.select("repo_key", "path", F.col("lang").alias("language")), ["repo_key", "path"]).withColumn("cyclomatic", F.col("total_lines")).withColumn("max_function_complexity", F.col("total_lines"))
+    calls = tables.calls(f).filter(F.length("to_name") >= 10)
+    return Repository("documents", f, tables.definitions(f), calls, _imports(spark, d), fn, fm)
+
+
+@query()
+def context_pack(spark, d):
+    """An overview."""
+    from .plans.pack import pack_row
+
+    return pack_row(_repository(spark, d), intent="overview", budget=8000)
+
+
+@query()
+def html_report(spark, d):
+    """K5-K8."""
+    from .plans.report import render_html, report_model
+
+    r, imported = _repository(spark, d), _imported(spark, d)
+    nodes, calls = graphs.call_graph(r.definitions, r.calls, imported)
+    page = render_html(report_model(r, imported, nodes, calls))
+    return spark.createDataFrame([("documents", page)], "name string, html string")
+
+
+@query()
+def class_diagram(spark, d):
+    """K9, K10."""
+    from .plans import diagrams
+
+    nodes, edges, _ = modules.class_graph(*_classes(spark, d))
+    return out(diagrams.class_diagram(*modules.top_classes(nodes, edges)))
+
+
+@query()
+def marker_filter(spark, d):
+    """Z2, over conversations as sessions of chunks."""
+    from .streaming import markers
+
+    c = read(spark, d, "conversations").select(F.col("conv_id").cast("string").alias("session"), F.col("turn").alias("seq"), F.concat("text", F.lit("\n@@expand f"), F.col("turn").cast("string"), F.lit(":1\n")).alias("chunk"))
+    return markers.filter_transcripts(c)
+
+
+@query("SELECT date_trunc('hour', ts) AS start, event_type, count(*)::BIGINT AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
+def event_windows(spark, d):
+    """An extension: tumbling windows."""
+    from .streaming.incremental import event_windows as windows
+
+    return windows(read(spark, d, "events")).withColumn("total", F.round("total", 4))
