@@ -1,9 +1,9 @@
 """Classes of similar items from their sketches: bucketed candidates, verified links, components.
 
 Scale: a bucket (items that agree on a sketch) never yields all its pairs. Every member is linked to the bucket's
-least member, found by a grouped minimum with map-side combining; while a bucket's members are still in several
-components, each is also held against its neighbour in a shuffled order, round by round for as long as that finds
-links. Large buckets are dealt into lanes before they are ordered. Each pair is verified once. All rounds are tables
+least member, found by a grouped minimum with map-side combining. While a bucket's members are still in several
+components, each is also held against a few neighbours in an order that puts like members together, round by round for
+as long as that finds links. Large buckets are dealt into lanes before they are ordered. Each pair is verified once. All rounds are tables
 in the shared folder; only whether a round found links reaches the driver.
 """
 
@@ -21,6 +21,8 @@ from .shared import Scratch
 
 #: Members of a bucket that are put in order together, about.
 LANE = 10_000
+#: Members before it in that order that each is held against.
+NEAR = 2
 
 Similar = Callable[[np.ndarray, np.ndarray], bool]
 
@@ -37,33 +39,44 @@ def verified(pairs: DataFrame, payload: DataFrame, similar: Similar) -> DataFram
     return both.select("a", "b", "wa", "wb").mapInArrow(run, "a binary, b binary")
 
 
-def shared_buckets(nodes: DataFrame, scratch: Scratch, *carry: str) -> DataFrame:
-    """(bucket, first, n, node, ...) for the buckets of two nodes or more. ``nodes``: (node, sketches, ...)."""
-    each = nodes.select("node", *carry, F.explode("sketches").alias("bucket"))
+def shared_buckets(nodes: DataFrame, scratch: Scratch, rows: int, *carry: str) -> DataFrame:
+    """(bucket, first, n, beside, node, ...) for the buckets of two nodes or more. ``nodes``: (node, sketches, ...).
+
+    ``rows``: how many rows the nodes were made from. ``beside`` is the node's next sketch: members of a bucket that are alike are likely to agree on it too.
+    """
+    each = nodes.select("node", "sketches", *carry, F.posexplode("sketches").alias("pos", "bucket"))
+    each = each.select("node", *carry, "bucket", F.get("sketches", F.pmod(F.col("pos") + 1, F.size("sketches"))).alias("beside"))
     shared = each.groupBy("bucket").agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1)
-    return scratch.table(each.join(shared, "bucket"))
+    return scratch.table(each.join(shared, "bucket"), scratch.tasks(rows))
 
 
 def link_classes(buckets: DataFrame, payload: DataFrame, similar: Similar, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """(node, root) of all nodes with a link, and the links (a, b) themselves."""
-    pairs = scratch.table(buckets.filter(F.col("node") != F.col("first")).select(F.col("first").alias("a"), F.col("node").alias("b")).distinct())
-    links = scratch.table(verified(pairs, payload, similar))
-    tried, n_round = [pairs], 0
+    size = scratch.tasks(buckets.count())
+    pairs = scratch.table(buckets.filter(F.col("node") != F.col("first")).select(F.col("first").alias("a"), F.col("node").alias("b")).distinct(), size)
+    links = scratch.table(verified(pairs, payload, similar), size)
+    roots, tried, n_round = components(links, scratch, tasks=size), [pairs], 0
+    open_ = buckets.select("bucket", "n", "beside", "node")
     while True:
         n_round += 1
-        roots = components(links, scratch)
-        placed = buckets.select("bucket", "n", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        lane = F.pmod(F.xxhash64("node", F.lit(n_round)), F.ceil(F.col("n") / LANE))
-        order = Window.partitionBy("bucket", "lane").orderBy(F.xxhash64("node", F.lit(-n_round)), "node")
-        beside = placed.withColumn("lane", lane).select("node", "root", F.lag("node").over(order).alias("other"), F.lag("root").over(order).alias("other_root"))
-        new = beside.filter(F.col("root") != F.col("other_root")).select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
+        placed = open_.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        mixed = placed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter(F.col("low") != F.col("high")).select("bucket")
+        placed = scratch.table(placed.join(mixed, "bucket", "left_semi"), size)
+        lane = F.pmod(F.xxhash64("beside", F.lit(n_round)), F.ceil(F.col("n") / LANE))
+        order = Window.partitionBy("bucket", "lane").orderBy(F.xxhash64("beside", F.lit(n_round)), F.xxhash64("node", F.lit(n_round)), "node")
+        near = F.array(*[F.struct(F.lag("node", k).over(order).alias("node"), F.lag("root", k).over(order).alias("root")) for k in range(1, NEAR + 1)])
+        beside = placed.withColumn("lane", lane).select("node", "root", near.alias("near")).select("node", "root", F.explode("near").alias("o"))
+        new = beside.filter(F.col("root") != F.col("o.root")).select(F.least("node", "o.node").alias("a"), F.greatest("node", "o.node").alias("b")).distinct()
         for t in tried:
             new = new.join(t, ["a", "b"], "left_anti")
-        new = scratch.table(new)
-        found = scratch.table(verified(new, payload, similar))
+        new = scratch.table(new, size)
+        found = scratch.table(verified(new, payload, similar), size)
         if found.isEmpty():
             return roots, links
         tried.append(new)
-        merged = scratch.table(links.union(found))
-        scratch.drop(links, found)
-        links = merged
+        # the next round looks at the buckets of the nodes for which this one found links
+        ends = found.select(F.col("a").alias("node")).union(found.select("b")).distinct()
+        fruitful = placed.join(ends, "node", "left_semi").select("bucket").distinct()
+        open_ = placed.select("bucket", "n", "beside", "node").join(fruitful, "bucket", "left_semi")
+        links = links.union(found)
+        roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(found), scratch, tasks=size)

@@ -71,9 +71,15 @@ class Scratch:
         self.spark, self.root, self.n = spark, f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}", 0
         atexit.register(self._at_exit)
 
-    def table(self, df: DataFrame) -> DataFrame:
-        """``df`` written once as Parquet and read again."""
+    def tasks(self, rows: int, each: int = 20_000) -> int:
+        """How many tasks suit so many rows: two for each core at least, more as the rows grow."""
+        return max(rows // each, 2 * self.spark.sparkContext.defaultParallelism)
+
+    def table(self, df: DataFrame, tasks: int | None = None) -> DataFrame:
+        """``df`` written once as Parquet and read again. ``tasks``: the most tasks, and files, that its rows are worth."""
         self.n += 1
+        if tasks:
+            df = df.coalesce(tasks)
         path = f"{self.root}/{self.n}"
         df.write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
