@@ -27,6 +27,8 @@ WEIGHTS = (1, 2, 3)
 #: Rows that share a window, about.
 LANE_ROWS = 100_000
 UNIT = 1 << 24
+#: A table of up to so many sources is broadcast.
+BROADCAST_SOURCES = 20_000
 
 
 def word_count(text: Column) -> Column:
@@ -78,12 +80,15 @@ def sample_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", s
     targets = source_targets(totals, weights, max_copies)
     targets = targets.withColumn("_step", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size") * UNIT)).otherwise(F.lit(0)).cast("long"))
     targets = targets.withColumn("_lanes", F.ceil(F.col("source_rows") / LANE_ROWS).cast("long")).withColumn("_null", F.col("source").isNull()).withColumn("source", F.coalesce("source", F.lit("")))
+    if docs.select(quoted(source)).distinct().limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES:
+        targets = F.broadcast(targets)  # else a shuffled join
     keyed = base.withColumn("_null", F.col("source").isNull()).withColumn("source", F.coalesce("source", F.lit("")))
     placed = keyed.join(targets, ["source", "_null"]).withColumn("_lane", F.pmod(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), F.col("_lanes")))
     bucket = ["source", "_null", "_class", "_lane"]
     starts = placed.groupBy(bucket).agg(F.sum("_step").alias("_length"))
     line = Window.partitionBy("source", "_null").orderBy("_class", "_lane").rowsBetween(Window.unboundedPreceding, -1)
     starts = starts.select(*bucket, F.coalesce(F.sum("_length").over(line), F.lit(0)).alias("_start"))
+    placed = placed.repartition(*bucket)  # else a shuffle by source alone would do for the window
     within = Window.partitionBy(bucket).orderBy("size", "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     summed = placed.withColumn("_sum", F.sum("_step").over(within)).join(starts, bucket)
     end = F.col("_start") + F.col("_sum") + offset(F.when(~F.col("_null"), F.col("source")), seed)
