@@ -1,15 +1,22 @@
 """Classes of similar items from their sketches: bucketed candidates, verified links, components.
 
-Scale: a bucket (items that agree on a sketch) never yields all its pairs. Every member is linked to the bucket's
-least member, found by a grouped minimum with map-side combining. While a bucket's members are still in several
-components, each is also held against a few neighbours in an order that puts like members together, round by round for
-as long as that finds links. Large buckets are dealt into lanes before they are ordered. Each pair is verified once. All rounds are tables
-in the shared folder; only whether a round found links reaches the driver.
+All pairs of a bucket (items that agree on a sketch) end up in one class or are verified. Every member is first linked
+to the bucket's least member, found by a grouped minimum with map-side combining. While a large bucket's members are
+still in several components, each is also held against a few neighbours in an order that puts like members together,
+round by round for as long as that finds links. In every bucket that is still mixed then, large or small, all pairs of
+different components are verified.
+
+Scale: pairs that are left are never rows. Members are dealt into blocks, and each two blocks meet in one cell, which
+counts common features of all its pairs at once and verifies only pairs that these counts allow. The members of a
+bucket's largest component meet the others only, so what is left of a large class costs little. Cells of a bucket that
+stays mixed grow with the square of its blocks, and are dealt out one by one. All rounds are tables in the shared folder;
+only whether a round found links reaches the driver.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -23,17 +30,29 @@ from .shared import Scratch
 LANE = 10_000
 #: Members before it in that order that each is held against.
 NEAR = 2
+#: Members of a block, about; buckets of more than so many blocks have rounds before their pairs are verified.
+BLOCK, ROUNDS_FROM = 256, 4
+#: Features that are counted together.
+_COLUMNS = 8192
 
-Similar = Callable[[np.ndarray, np.ndarray], bool]
 
+@dataclass(frozen=True)
+class Rule:
+    """``similar`` tells whether two items are; ``possible`` whether they may be, from the number of their common
+    ``features`` (distinct ones) and of each one's features, over arrays. It may not refuse a pair that is similar."""
 
-def verified(pairs: DataFrame, payload: DataFrame, similar: Similar) -> DataFrame:
+    similar: Callable[[np.ndarray, np.ndarray], bool]
+    features: Callable[[np.ndarray], np.ndarray]
+    possible: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]
+
+
+def verified(pairs: DataFrame, payload: DataFrame, rule: Rule) -> DataFrame:
     """The pairs (a, b) of nodes whose payloads are similar. ``payload``: (node, w), w 32-bit word hashes in binary."""
     both = pairs.join(payload.select(F.col("node").alias("a"), F.col("w").alias("wa")), "a").join(payload.select(F.col("node").alias("b"), F.col("w").alias("wb")), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = [similar(np.frombuffer(x.as_py(), np.uint32), np.frombuffer(y.as_py(), np.uint32)) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
+            keep = [rule.similar(np.frombuffer(x.as_py(), np.uint32), np.frombuffer(y.as_py(), np.uint32)) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return both.select("a", "b", "wa", "wb").mapInArrow(run, "a binary, b binary")
@@ -50,33 +69,131 @@ def shared_buckets(nodes: DataFrame, scratch: Scratch, rows: int, *carry: str) -
     return scratch.table(each.join(shared, "bucket"), scratch.tasks(rows))
 
 
-def link_classes(buckets: DataFrame, payload: DataFrame, similar: Similar, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """How many features each of ``left`` has in common with each of ``right``; features of one item are distinct."""
+    out = np.zeros((len(left), len(right)), np.float32)
+    ids, inverse = np.unique(np.concatenate([*left, *right]), return_inverse=True)
+    owner = np.repeat(np.arange(len(left) + len(right)), [x.size for x in (*left, *right)])
+    both = np.zeros(ids.size, np.int8)
+    both[inverse[owner < len(left)]] |= 1
+    both[inverse[owner >= len(left)]] |= 2
+    column = np.cumsum(both == 3) - 1
+    keep = both[inverse] == 3
+    owner, column = owner[keep], column[inverse[keep]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    for lo in range(0, int(column[-1]) + 1 if column.size else 0, _COLUMNS):
+        s, e = np.searchsorted(column, (lo, lo + _COLUMNS))
+        has = np.zeros((len(left) + len(right), _COLUMNS), np.float32)
+        has[owner[s:e], column[s:e] - lo] = 1
+        out += has[: len(left)] @ has[len(left) :].T
+    return out
+
+
+def cell_links(bucket: int, rows: list[tuple], rule: Rule) -> list[tuple[bytes, bytes]]:
+    """Links that join all that is similar in a cell. ``rows``: (node, root, block, buckets, w) of one block or two.
+
+    A pair is verified only in the least of the buckets that it shares, and if the cell's links don't join it yet.
+    """
+    low = min(r[2] for r in rows)
+    left = [r for r in rows if r[2] == low]
+    right = [r for r in rows if r[2] != low]
+    single = not right
+    right = right or left
+    words = {r[0]: np.frombuffer(r[4], np.uint32) for r in rows}
+    features = [[rule.features(words[r[0]]) for r in side] for side in (left, right)]
+    common = overlaps(*features)
+    sizes = [np.array([f.size for f in side]) for side in features]
+    _, root = np.unique(np.array([r[1].hex() for r in (*left, *right)]), return_inverse=True)
+    ask = rule.possible(common, sizes[0][:, None], sizes[1][None, :]) & (root[: len(left), None] != root[None, len(left) :])
+    if single:
+        ask = np.triu(ask, 1)
+    parent: dict[bytes, bytes] = {}
+
+    def find(x: bytes) -> bytes:
+        while parent.get(x, x) != x:
+            x = parent[x]
+        return x
+
+    at = np.argwhere(ask)
+    out = []
+    for i, j in at[np.argsort(-common[at[:, 0], at[:, 1]], kind="stable")].tolist():
+        a, b = left[i], right[j]
+        x, y = find(a[1]), find(b[1])
+        if x != y and min(set(a[3]) & set(b[3])) == bucket and rule.similar(words[a[0]], words[b[0]]):
+            parent[max(x, y)] = min(x, y)
+            out.append((min(a[0], b[0]), max(a[0], b[0])))
+    return out
+
+
+def remaining(placed: DataFrame, payload: DataFrame, rule: Rule, scratch: Scratch) -> DataFrame:
+    """Links (a, b) by which all similar pairs that share a bucket are joined. ``placed``: (bucket, n, node, root)."""
+    major = placed.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("of_root")).groupBy("bucket").agg(F.max(F.struct("of_root", "root")).alias("major"), F.sum("of_root").alias("n"), F.count(F.lit(1)).alias("n_roots")).filter("n_roots > 1")
+    whole = F.col("n") <= BLOCK
+    major = major.select(
+        "bucket", F.when(~whole, F.col("major.root")).alias("major"), F.ceil(F.when(whole, F.col("n")).otherwise(F.col("n") - F.col("major.of_root")) / BLOCK).alias("others"),
+        F.when(whole, 0).otherwise(F.ceil(F.col("major.of_root") / BLOCK)).alias("blocks"),
+    )
+    is_major, deal = F.coalesce(F.col("root") == F.col("major"), F.lit(False)), F.xxhash64("node")
+    dealt = placed.select("bucket", "node", "root").join(major, "bucket").withColumn("block", F.when(is_major, F.col("others") + F.pmod(deal, "blocks")).otherwise(F.pmod(deal, "others")))
+    other = F.sequence(F.lit(0), F.when(is_major, F.col("others")).otherwise(F.col("others") + F.col("blocks")) - 1)
+    cells = dealt.select("bucket", "node", "root", "block", F.explode(other).alias("other")).select("bucket", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "node", "root", "block")
+    cells = scratch.table(cells)
+    shared = placed.groupBy("node").agg(F.collect_set("bucket").alias("buckets"))
+    tasks = scratch.tasks(cells.count(), 4000)
+    full = cells.join(shared.join(payload, "node"), "node").repartition(tasks, "bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi").select("bucket", "lo", "hi", "node", "root", "block", "buckets", "w")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, rows = None, []
+
+        def links() -> Iterator[pa.RecordBatch]:
+            found = cell_links(at[0], rows, rule) if len(rows) > 1 else []
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in zip(*found, strict=True)], names=["a", "b"])
+
+        for batch in batches:
+            for bucket, lo, hi, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if at != (bucket, lo, hi):
+                    yield from links()
+                    at, rows = (bucket, lo, hi), []
+                rows.append(tuple(row))
+        yield from links()
+
+    return full.mapInArrow(run, "a binary, b binary").distinct()
+
+
+def link_classes(buckets: DataFrame, payload: DataFrame, rule: Rule, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """(node, root) of all nodes with a link, and the links (a, b) themselves."""
     size = scratch.tasks(buckets.count())
     pairs = scratch.table(buckets.filter(F.col("node") != F.col("first")).select(F.col("first").alias("a"), F.col("node").alias("b")).distinct(), size)
-    links = scratch.table(verified(pairs, payload, similar), size)
-    roots, tried, n_round = components(links, scratch, tasks=size), [pairs], 0
-    open_ = buckets.select("bucket", "n", "beside", "node")
+    links = scratch.table(verified(pairs, payload, rule), size)
+    roots, n_round = components(links, scratch, tasks=size), 0
+
+    def mixed(members: DataFrame) -> DataFrame:
+        placed = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        of = placed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter(F.col("low") != F.col("high")).select("bucket")
+        return scratch.table(placed.join(of, "bucket", "left_semi"), size)
+
+    open_ = buckets.filter(F.col("n") > BLOCK * ROUNDS_FROM).select("bucket", "n", "beside", "node")
     while True:
         n_round += 1
-        placed = open_.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        mixed = placed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter(F.col("low") != F.col("high")).select("bucket")
-        placed = scratch.table(placed.join(mixed, "bucket", "left_semi"), size)
+        placed = mixed(open_)
         lane = F.pmod(F.xxhash64("beside", F.lit(n_round)), F.ceil(F.col("n") / LANE))
         order = Window.partitionBy("bucket", "lane").orderBy(F.xxhash64("beside", F.lit(n_round)), F.xxhash64("node", F.lit(n_round)), "node")
         near = F.array(*[F.struct(F.lag("node", k).over(order).alias("node"), F.lag("root", k).over(order).alias("root")) for k in range(1, NEAR + 1)])
         beside = placed.withColumn("lane", lane).select("node", "root", near.alias("near")).select("node", "root", F.explode("near").alias("o"))
         new = beside.filter(F.col("root") != F.col("o.root")).select(F.least("node", "o.node").alias("a"), F.greatest("node", "o.node").alias("b")).distinct()
-        for t in tried:
-            new = new.join(t, ["a", "b"], "left_anti")
-        new = scratch.table(new, size)
-        found = scratch.table(verified(new, payload, similar), size)
+        found = scratch.table(verified(scratch.table(new, size), payload, rule), size)
         if found.isEmpty():
-            return roots, links
-        tried.append(new)
+            break
         # the next round looks at the buckets of the nodes for which this one found links
         ends = found.select(F.col("a").alias("node")).union(found.select("b")).distinct()
         fruitful = placed.join(ends, "node", "left_semi").select("bucket").distinct()
         open_ = placed.select("bucket", "n", "beside", "node").join(fruitful, "bucket", "left_semi")
         links = links.union(found)
         roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(found), scratch, tasks=size)
+    # the pair of a bucket of two was verified above
+    found = scratch.table(remaining(mixed(buckets.filter(F.col("n") > 2).select("bucket", "n", "node")), payload, rule, scratch), size)
+    if found.isEmpty():
+        return roots, links
+    return components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(found), scratch, tasks=size), links.union(found)

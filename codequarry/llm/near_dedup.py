@@ -22,7 +22,7 @@ from pyspark.sql.types import ArrayType, BinaryType, LongType
 
 from .decontaminate import pieces, split_words
 from .hashing import hashed_words, kmers, mixed
-from .linking import link_classes, shared_buckets
+from .linking import Rule, link_classes, shared_buckets
 from .shared import Scratch, fresh, quoted, row_key
 
 #: Words in a k-mer; least similarity; sketches; k-mers in a sketch.
@@ -113,6 +113,12 @@ def similar(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> bool:
     return longer == 0 or distance_within(a, b, most) <= most
 
 
+def rule(least: float = SIMILARITY) -> Rule:
+    """Words that two texts don't share, each counted as often as it stands, all cost an edit."""
+    most = lambda longer: ((1 - least) * longer + 1e-9).astype(np.int64)
+    return Rule(lambda a, b: similar(a, b, least), lambda w: labelled(w.astype(np.uint64)), lambda common, a, b: np.maximum(a, b) - common <= most(np.maximum(a, b)))
+
+
 def _sketched(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """(doc_id, key, node, sketches) of every row; ``node``: digest of the words, null without words."""
     from hashlib import blake2b
@@ -161,7 +167,7 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least:
     n_rows = rows.count()
     buckets = shared_buckets(nodes, scratch, n_rows, "key")
     texts = scratch.table(_node_words(docs, buckets.select("key", "node").distinct(), doc_id, text), scratch.tasks(n_rows))
-    roots, links = link_classes(buckets, texts, lambda a, b: similar(a, b, least), scratch)
+    roots, links = link_classes(buckets, texts, rule(least), scratch)
     ends = links.select(F.col("a").alias("node")).union(links.select("b")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
     of = rows.select("doc_id", "key", "node").join(roots, "node", "left").join(ends, "node", "left")
     # rows without words stand alone

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .decontaminate import pieces
 from .hashing import hashed_words, kmers, mixed
-from .linking import link_classes, shared_buckets
+from .linking import Rule, link_classes, shared_buckets
 from .shared import Scratch, quoted
 
 LINE_WORDS, SHINGLE, SIMILARITY = 20, 5, 0.8
@@ -57,6 +57,10 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return len(x & y) / len(x | y)
 
 
+def rule(least: float = SIMILARITY) -> Rule:
+    return Rule(lambda a, b: jaccard(a, b) >= least, lambda w: np.unique(kmers(w.astype(np.uint64), SHINGLE)), lambda common, a, b: common >= least * (a + b - common) - 1e-6)
+
+
 def anchors(words: np.ndarray, gap: int = GAP) -> np.ndarray:
     """Positions, ascending, of the least 3-word shingle of every ``gap`` consecutive ones; the rightmost on ties."""
     if words.size < 3:
@@ -168,7 +172,7 @@ def near_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", leas
     n_rows = rows.count()
     buckets = shared_buckets(nodes, scratch, n_rows)
     payload = scratch.table(rows.select("node", "w").join(buckets.select("node").distinct(), "node").dropDuplicates(["node"]), scratch.tasks(n_rows))
-    roots, _ = link_classes(buckets, payload, lambda a, b: jaccard(a, b) >= least, scratch)
+    roots, _ = link_classes(buckets, payload, rule(least), scratch)
     of = rows.select("doc_id", "start", "n", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     place = F.struct("doc_id", "start")
     first = of.groupBy("root").agg(F.min(place).alias("first"), F.max("doc_id").alias("last")).filter(F.col("first.doc_id") < F.col("last"))

@@ -225,3 +225,22 @@ def test_pipeline(spark, sf):
     assert ids(before) == ids(after) and after.filter(F.col("text").rlike("[0-9a-f]{40}")).count() == 0
     assert after.filter(F.col("n_chars") != F.length("text")).count() == 0
     assert [tuple(r) for r in corpus_pipeline.run(spark, sf).orderBy("doc_id").collect()] == [tuple(r) for r in docs.orderBy("doc_id").collect()]
+
+
+def test_near_lines_of_one_template_against_brute_force(spark):
+    rng = random.Random(21)
+    template, texts = random_text(rng, 100), []
+    for k in range(700):
+        a = list(template)
+        a[0], a[rng.randrange(8, 92)] = f"own{k}", f"mid{k}"
+        texts.append(" ".join(a))
+        if k < 60:
+            for at in rng.sample([p for p in range(8, 92) if not a[p].startswith("mid")], 2):
+                a[at] = f"new{k}x{at}"
+            texts.append(" ".join(a))
+    grams = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(words, texts)]
+    links = [(a, b) for b in range(len(texts)) for a in range(b) if (c := len(grams[a] & grams[b])) >= 0.8 * (len(grams[a]) + len(grams[b]) - c)]
+    root = roots(len(texts), links)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["class_id"] for r in substring_dedup.near_lines(docs).collect()}
+    assert len(links) >= 60 and got == {d: root[d] for link in links for d in link}
