@@ -1,11 +1,12 @@
-"""Near-duplicate documents by Order MinHash, verified by banded alignment.
+"""Near-duplicate documents by MinHash, verified by banded alignment.
 
 A document is its sequence of words. A sketch hashes its occurrence-labelled 5-word k-mers with a function of its
-own, takes those with the least hashes, and keeps them in the order of the text, so that documents agree on a sketch
-only if they share k-mers in the same order: the chance follows edit similarity rather than bare overlap. Documents
-that agree on a sketch are candidates; they are near duplicates if the word edit distance, computed by alignment
-within the band that the threshold allows, leaves a similarity of 0.8 or more. Of such pairs, those whose 5-word
-shingles are similar to 0.8 or more are missed with a chance of one in a million, to 0.6 of one in a hundred.
+own and takes those with the least hashes: one, so that the chance to agree is the similarity of the k-mers. (Several,
+kept in the order of the text as in Order MinHash, would make it a power of that.) Documents that agree on a sketch
+are candidates; they are near duplicates if the word edit distance, computed by alignment within the band that the
+threshold allows, leaves a similarity of 0.8 or more. If the edits are scattered, k-mers of such a pair are similar to
+0.8^5 / (2 - 0.8^5) = 0.196 at least, about, and it is missed with a chance of 0.804^24, one in two hundred; at an edit
+similarity of 0.9, of one in 400 000.
 
 Scale: documents with equal words are one node from the start; see ``linking`` for buckets and rounds.
 """
@@ -26,7 +27,7 @@ from .linking import Rule, link_classes, shared_buckets
 from .shared import Scratch, fresh, quoted, row_key
 
 #: Words in a k-mer; least similarity; sketches; k-mers in a sketch.
-K, SIMILARITY, SKETCHES, PICKED = 5, 0.8, 20, 3
+K, SIMILARITY, SKETCHES, PICKED = 5, 0.8, 24, 1
 _ODD = (np.random.default_rng(20240501).integers(0, 1 << 63, SKETCHES * 4, np.uint64) << np.uint64(1)) | np.uint64(1)
 
 
@@ -49,9 +50,8 @@ def sketch(hashes: np.ndarray, sketches: int = SKETCHES, picked: int = PICKED) -
     grams = labelled(grams)
     picks = np.zeros((sketches, picked), np.uint64)
     for i in range(sketches):
-        h = (grams ^ (grams >> np.uint64(31))) * _ODD[i]
-        h ^= h >> np.uint64(32)
-        at = np.sort(np.argpartition(h, picked - 1)[:picked]) if h.size > picked else np.arange(h.size)
+        h = mixed(grams ^ _ODD[i])  # a product alone would make sketches agree together, and miss three times as many pairs
+        at = np.sort(np.argpartition(h, picked - 1)[:picked]) if h.size > picked > 1 else np.arange(h.size) if picked > 1 else np.array([h.argmin()])
         picks[i, : at.size] = grams[at]
     out = np.arange(1, sketches + 1, dtype=np.uint64)
     for j in range(picked):

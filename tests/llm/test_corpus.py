@@ -244,3 +244,17 @@ def test_near_lines_of_one_template_against_brute_force(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r["doc_id"]: r["class_id"] for r in substring_dedup.near_lines(docs).collect()}
     assert len(links) >= 60 and got == {d: root[d] for link in links for d in link}
+
+
+@pytest.mark.parametrize(("changed", "missed"), [(0.1, 0), (0.2, 4)])
+def test_sketches_propose_what_alignment_accepts(changed, missed):
+    rng, n = random.Random(4), 0
+    for _ in range(200):
+        a = random_text(rng, 400)
+        b = list(a)
+        for at in rng.sample(range(400), int(changed * 400)):
+            b[at] = f"new{at}"
+        x, y = (near_dedup.hashed_words([" ".join(t)])[0] for t in (a, b))
+        assert near_dedup.similar(x, y)
+        n += not (near_dedup.sketch(x) == near_dedup.sketch(y)).any()
+    assert n <= missed
