@@ -8,8 +8,9 @@ Two kinds of paragraph are looked for:
 * Passages that stand anywhere, within lines or across them, where a line's MinHash is swamped by what surrounds
   them. The text is cut at anchors chosen by its content (in every ``GAP`` consecutive 3-word shingles, the one of
   least hash), so that equal passages are cut equally wherever they stand. Blocks between anchors that collide are
-  equal word for word (the exact end of the same test), and adjoining ones merge into passages; those of
-  ``PASSAGE_WORDS`` words or more count. A shared passage of 50 words always holds that much.
+  equal word for word (the exact end of the same test), and adjoining ones of one first occurrence merge into
+  passages, which are carried on word by word to the true ends of the match; repeats of ``PASSAGE_WORDS`` words of
+  whole blocks or more count. A shared passage of 50 words always holds that much.
 
 In each class the first occurrence, by doc_id and place, stays and the others are marked as removals.
 
@@ -35,6 +36,8 @@ from .shared import Scratch, quoted
 LINE_WORDS, SHINGLE, SIMILARITY = 20, 5, 0.8
 BANDS, ROWS = 10, 3
 GAP, PASSAGE_WORDS = 16, 16
+#: Past this many words more that agree, the next anchor would too.
+REACH = GAP + 2
 
 _ODD = (np.random.default_rng(20240502).integers(0, 1 << 63, BANDS * ROWS, np.uint64) << np.uint64(1)) | np.uint64(1)
 
@@ -124,21 +127,85 @@ def _inverse_powers(n: int) -> np.ndarray:
     return _table_of("down", _Q, n)
 
 
+def _around(docs: DataFrame, asked: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """(row, start, end, words_before, words_after): the words next to each stretch asked for, nearest first, as 32-bit hashes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, texts, places = (c.to_pylist() for c in batch.columns)
+            for lo, hi in pieces(texts):
+                words, bounds = hashed_words(texts[lo:hi])
+                out = []
+                for k in range(hi - lo):
+                    w = words[bounds[k] : bounds[k + 1]].astype(np.uint32)
+                    out += [(rows[lo + k], p["start"], p["end"], w[max(0, p["start"] - REACH) : p["start"]][::-1].tobytes(), w[p["end"] : p["end"] + REACH].tobytes()) for p in places[lo + k]]
+                if out:
+                    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["row", "start", "end", "words_before", "words_after"])
+
+    places = asked.groupBy("row").agg(F.collect_set(F.struct("start", "end")).alias("places"))
+    texts = _rows(docs, doc_id, text).select(F.xxhash64(F.col("doc_id").cast("string"), "t").alias("row"), "t")
+    found = texts.join(places, "row").mapInArrow(run, "row long, start int, end int, words_before binary, words_after binary")
+    return found.dropDuplicates(["row", "start", "end"])
+
+
+def _grown(runs: DataFrame, docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """``runs`` with ``left`` and ``right``: how many words more agree with the first occurrence, of the removed ones."""
+    removed = runs.filter("removed").withColumn("end", (F.col("start") + F.col("n")).cast("int")).withColumn("first_end", (F.col("first_start") + F.col("n")).cast("int"))
+    asked = removed.select("row", "start", "end").union(removed.select("first_row", "first_start", "first_end")).distinct()
+    near = _around(docs, asked, doc_id, text)
+    both = removed.join(near, ["row", "start", "end"]).join(near.select(F.col("row").alias("first_row"), F.col("start").alias("first_start"), F.col("end").alias("first_end"), F.col("words_before").alias("b"), F.col("words_after").alias("a")), ["first_row", "first_start", "first_end"])
+
+    def agree(x: bytes, y: bytes) -> int:
+        n = min(len(x), len(y)) // 4
+        differ = np.flatnonzero(np.frombuffer(x, np.uint32, n) != np.frombuffer(y, np.uint32, n))
+        return int(differ[0]) if differ.size else n
+
+    kept = [c for c in removed.columns if c not in ("end", "first_end")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            before, b, after, a = (batch.column(c).to_pylist() for c in ("words_before", "b", "words_after", "a"))
+            ends = [pa.array([agree(x, y) for x, y in zip(*c, strict=True)], pa.int32()) for c in ((before, b), (after, a))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *ends], names=[*kept, "left", "right"])
+
+    schema = runs.select(*kept, F.lit(0).alias("left"), F.lit(0).alias("right")).schema
+    return both.select(*kept, "words_before", "b", "words_after", "a").mapInArrow(run, schema)
+
+
 def passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: int = PASSAGE_WORDS) -> DataFrame:
-    """(doc_id, start, n, class_id, removed): stretches of ``least`` words or more that stand in several documents.
+    """(doc_id, start, n, class_id, removed): stretches that stand in several documents.
 
-    ``class_id``: the first document that holds the stretch's first block; ``removed``: it isn't the first occurrence.
+    Repeated blocks that adjoin count if they have ``least`` words or more together. They are one stretch as far as
+    they follow one occurrence: ``class_id``, the first document that holds them; ``removed``: that is another place.
+    A removed stretch is as long as it agrees with its first occurrence word by word, at most ``REACH`` words into the
+    stretch beside it, and the first occurrence as long as the longest of those. So stretches may overlap.
     """
+    scratch = Scratch(docs.sparkSession, "passages")
     all_blocks = blocks(docs, doc_id, text)
     place = F.struct("doc_id", "row", "start")
     repeated = all_blocks.groupBy("hash").agg(F.min(place).alias("first"), F.max(F.struct("doc_id", "row")).alias("last")).filter((F.col("first.row") != F.col("last.row")) | ~F.col("first.doc_id").eqNullSafe(F.col("last.doc_id")))
-    found = all_blocks.join(repeated.select("hash", "first"), "hash").select("doc_id", "row", "start", "n", F.col("first.doc_id").alias("class_id"), (~place.eqNullSafe(F.col("first"))).alias("removed"))
+    found = all_blocks.join(repeated.select("hash", "first"), "hash").select(
+        "doc_id", "row", "start", "n", F.col("first.doc_id").alias("class_id"), F.col("first.row").alias("first_row"), F.col("first.start").alias("first_start"), (~place.eqNullSafe(F.col("first"))).alias("removed")
+    )
     found = found.distinct()
     line = Window.partitionBy("doc_id", "row").orderBy("start")
-    fresh_start = F.coalesce(F.lag(F.col("start") + F.col("n")).over(line) != F.col("start"), F.lit(True))
-    runs = found.withColumn("run", F.sum(fresh_start.cast("int")).over(line.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    merged = runs.groupBy("doc_id", "row", "run").agg(F.min("start").alias("start"), F.sum("n").alias("n"), F.min(F.struct("start", "class_id")).alias("c"), F.max("removed").alias("removed"))
-    return merged.filter(F.col("n") >= least).select("doc_id", F.col("start").cast("long").alias("start"), F.col("n").cast("long").alias("n"), F.col("c.class_id").alias("class_id"), "removed")
+    apart = F.coalesce(F.lag(F.col("start") + F.col("n")).over(line) != F.col("start"), F.lit(True))
+    of = F.struct("removed", "first_row", F.col("start") - F.col("first_start"))
+    other = apart | F.coalesce(F.lag(of).over(line) != of, F.lit(True))
+    so_far = line.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    runs = found.withColumn("stretch", F.sum(apart.cast("int")).over(so_far)).withColumn("run", F.sum(other.cast("int")).over(so_far))
+    runs = runs.groupBy("doc_id", "row", "stretch", "run").agg(F.min("start").alias("start"), F.sum("n").alias("n"), F.first("class_id").alias("class_id"), F.first("first_row").alias("first_row"), F.min("first_start").alias("first_start"), F.first("removed").alias("removed"))
+    runs = runs.withColumn("whole", F.sum("n").over(Window.partitionBy("doc_id", "row", "stretch"))).filter(F.col("whole") >= least)
+    runs = scratch.table(runs.select("doc_id", "row", "start", "n", "class_id", "first_row", "first_start", "removed"))
+    grown = scratch.table(_grown(runs, docs, doc_id, text))
+    end = F.col("start") + F.col("n")
+    left = grown.groupBy(F.col("first_row").alias("row"), F.col("first_start").alias("start")).agg(F.max("left").alias("left"))
+    right = grown.groupBy(F.col("first_row").alias("row"), (F.col("first_start") + F.col("n")).alias("end")).agg(F.max("right").alias("right"))
+    firsts = runs.filter("not removed").withColumn("end", end).join(left, ["row", "start"], "left").join(right, ["row", "end"], "left")
+    firsts = firsts.withColumn("left", F.coalesce("left", F.lit(0))).withColumn("right", F.coalesce("right", F.lit(0)))
+    out = grown.unionByName(firsts.select(*grown.columns))
+    return out.select("doc_id", (F.col("start") - F.col("left")).cast("long").alias("start"), (F.col("n") + F.col("left") + F.col("right")).cast("long").alias("n"), "class_id", "removed")
 
 
 def lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least_words: int = LINE_WORDS) -> DataFrame:

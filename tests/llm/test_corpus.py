@@ -258,3 +258,23 @@ def test_sketches_propose_what_alignment_accepts(changed, missed):
         assert near_dedup.similar(x, y)
         n += not (near_dedup.sketch(x) == near_dedup.sketch(y)).any()
     assert n <= missed
+
+
+def test_passages_follow_their_first_occurrence_to_its_ends(spark):
+    rng = random.Random(31)
+    passage, own, rest = random_text(rng, 80), random_text(rng, 100), random_text(rng, 100)
+    a = random_text(rng, 60) + passage + random_text(rng, 60)
+    b = own + passage + rest
+    texts = [a, b, random_text(rng, 50), b]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = substring_dedup.passages(docs).collect()
+    marks = {d: [set() for _ in t] for d, t in enumerate(texts)}
+    for r in got:
+        for i in range(r["start"], r["start"] + r["n"]):
+            marks[r["doc_id"]][i].add((r["class_id"], r["removed"]))
+    assert all((x == {(0, False)}) == (60 <= i < 140) and (x == set()) == (not 60 <= i < 140) for i, x in enumerate(marks[0]))
+    assert not any(marks[2])
+    # of document 1 the passage goes, and the rest stays as the first occurrence of what document 3 repeats
+    assert all((0, True) in x for x in marks[1][100:180]) and all(x == {(1, False)} for x in marks[1][:100] + marks[1][180:])
+    assert all(x and all(removed for _, removed in x) for x in marks[3])
+    assert all((1, True) in x for x in marks[3][:80] + marks[3][200:]) and all((0, True) in x for x in marks[3][118:162])
