@@ -1,9 +1,11 @@
 """Language-model scores by stupid backoff over n-gram counts of the whole corpus.
 
 The model is relational: a table of (n-gram, count) for each order, partitioned by n-gram hash, that the documents'
-n-grams are joined with and summed per document. S(w | v) is c(v w) / c(v) if the corpus has the bigram ``MIN_COUNT``
-times, else 0.4 c(w) / N; a document's score is the mean of log S over its words, the first by c(w) / N. A bigram
-that stands once in the corpus stands only where it is being scored, so it tells nothing and backs off.
+n-grams are joined with and summed per document. S(w | u v) is c(u v w) / c(u v) if the corpus has the trigram
+``MIN_COUNT`` times, else 0.4 S(w | v); S(w | v) is c(v w) / c(v) if it has the bigram so often, else 0.4 c(w) / N. A
+document's score is the mean of log S over its words, the first by c(w) / N and the second by S(w | v). An n-gram
+that stands once in the corpus stands only where it is being scored, so it tells nothing and backs off. With ``order``
+2, contexts are one word long.
 
 Scale: rows of single n-grams would be the size of the corpus several times over. Instead documents are dealt into
 batches by hash; each batch sends each of its distinct n-grams once, with its count there, as packed arrays by hash
@@ -33,13 +35,15 @@ BITS = 56
 
 
 def order_grams(words: np.ndarray, bounds: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the n-grams (1 or 2 words) of texts that follow each other, and the position of their last words."""
+    """Hashes of the n-grams (1 to 3 words) of texts that follow each other, and the position of their last words."""
     if order == 1:
         return words >> np.uint64(64 - BITS), np.arange(words.size)
-    first = np.zeros(words.size + 1, bool)
-    first[bounds[:-1]] = True
-    at = np.flatnonzero(~first[: words.size])
-    return mixed(words[at - 1] * np.uint64(0x9E3779B97F4A7C15) + words[at]) >> np.uint64(64 - BITS), at
+    place = np.arange(words.size) - np.repeat(bounds[:-1], np.diff(bounds))
+    at = np.flatnonzero(place >= order - 1)
+    out = words[at - order + 1]
+    for k in range(order - 2, -1, -1):
+        out = mixed(out * np.uint64(0x9E3779B97F4A7C15) + words[at - k])
+    return out >> np.uint64(64 - BITS), at
 
 
 def pack(values: np.ndarray) -> bytes:
@@ -68,14 +72,19 @@ def unpack_counts(data: bytes, n: int) -> np.ndarray:
     return out
 
 
-def score_texts(words: np.ndarray, bounds: np.ndarray, ones: tuple[np.ndarray, np.ndarray], twos: tuple[np.ndarray, np.ndarray], total: int) -> np.ndarray:
-    """Sum of log S over each text. ``ones``, ``twos``: (sorted n-grams, corpus counts)."""
-    gram, _ = order_grams(words, bounds, 1)
-    c1 = ones[1][np.searchsorted(ones[0], gram)] if gram.size else np.empty(0, np.int64)
-    logs = np.log(c1 / max(total, 1))
-    pair, at = order_grams(words, bounds, 2)
-    c2 = twos[1][np.searchsorted(twos[0], pair)] if pair.size else np.empty(0, np.int64)
-    logs[at] = np.where(c2 >= MIN_COUNT, np.log(np.maximum(c2, 1) / c1[at - 1] if at.size else 1.0), math.log(BACKOFF) + logs[at])
+def score_texts(words: np.ndarray, bounds: np.ndarray, tables: dict[int, tuple[np.ndarray, np.ndarray]], total: int) -> np.ndarray:
+    """Sum of log S over each text. ``tables``: by order, from 1 on, (sorted n-grams, corpus counts)."""
+    shorter = np.full(words.size, max(total, 1), np.int64)
+    logs = np.zeros(words.size)
+    for order, (grams, counts) in sorted(tables.items()):
+        gram, at = order_grams(words, bounds, order)
+        c = np.zeros(words.size, np.int64)
+        if gram.size:
+            c[at] = counts[np.searchsorted(grams, gram)]
+        of = shorter[at] if order == 1 else shorter[at - 1]
+        known = np.log(np.maximum(c[at], 1) / np.maximum(of, 1))
+        logs[at] = known if order == 1 else np.where(c[at] >= MIN_COUNT, known, math.log(BACKOFF) + logs[at])
+        shorter = c
     return np.array([logs[s:e].sum() for s, e in zip(bounds[:-1], bounds[1:], strict=True)])
 
 
@@ -94,17 +103,17 @@ def _edges(n: int) -> np.ndarray:
     return np.array([(k << BITS) // n for k in range(n + 1)], np.uint64)
 
 
-def scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", batch_bytes: int = BATCH_BYTES, part_grams: int = PART_GRAMS) -> DataFrame:
+def scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", batch_bytes: int = BATCH_BYTES, part_grams: int = PART_GRAMS, order: int = 2) -> DataFrame:
     """(doc_id, n_words, log_prob, score) of every row, under the counts of all rows.
 
     Words are lower-cased runs of letters and digits. A text without words, or null, has n_words 0, log_prob 0 and a
-    null score. Repeated rows count, and are scored, each on its own. Texts are counted whole.
+    null score. ``order``: words of the longest n-grams. Repeated rows count, and are scored, each on its own. Texts are counted whole.
     """
     t = F.coalesce(F.col(quoted(text)), F.lit(""))
     size, total = docs.agg(F.sum(F.octet_length(t)), F.sum(F.regexp_count(t, F.lit(ALNUM_WORD)).cast("long"))).first()
     total = total or 0
     batches = max(1, -(-(size or 0) // batch_bytes))
-    parts = {1: max(1, -(-total // (2 * part_grams))), 2: max(1, -(-total // part_grams))}
+    parts = {n: max(1, -(-total // (2 * part_grams if n == 1 else part_grams))) for n in range(1, order + 1)}
     base = docs.select(F.col(quoted(doc_id)).cast("long").alias("doc_id"), t.alias("t"), F.pmod(F.xxhash64(F.col(quoted(doc_id)).cast("string"), t), F.lit(batches)).alias("batch"))
 
     def request(key: tuple, table: pa.Table) -> pa.Table:
@@ -129,7 +138,7 @@ def scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", batch_by
             mine = sorted((p, c) for o, p, c in zip(*(replies.column(x).to_pylist() for x in ("order", "part", "counts")), strict=True) if o == order)
             cuts = np.searchsorted(grams, _edges(parts[order]))
             tables[order] = grams, np.concatenate([unpack_counts(c, int(cuts[p + 1] - cuts[p])) for p, c in mine]) if mine else np.empty(0, np.int64)
-        sums, n = score_texts(words, bounds, tables[1], tables[2], total), np.diff(bounds)
+        sums, n = score_texts(words, bounds, tables, total), np.diff(bounds)
         return pa.table({"doc_id": texts.column("doc_id"), "n_words": pa.array(n, pa.int64()), "log_prob": pa.array(sums, pa.float64())})
 
     requests = base.groupBy("batch").applyInArrow(request, "batch long, order int, part long, grams binary, counts binary")

@@ -278,3 +278,24 @@ def test_passages_follow_their_first_occurrence_to_its_ends(spark):
     assert all((0, True) in x for x in marks[1][100:180]) and all(x == {(1, False)} for x in marks[1][:100] + marks[1][180:])
     assert all(x and all(removed for _, removed in x) for x in marks[3])
     assert all((1, True) in x for x in marks[3][:80] + marks[3][200:]) and all((0, True) in x for x in marks[3][118:162])
+
+
+def test_registered_scores_are_of_trigrams(spark, tmp_path):
+    from codequarry.llm import queries
+
+    rng = random.Random(9)
+    texts = [" ".join(rng.choice(["the", "cat", "sat", "on", "mat", "é", "X9", "a", "dog"]) for _ in range(rng.randint(0, 40))) for _ in range(40)] + [None, "", "the", "the cat"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    ws = [words(t) for t in texts]
+    c = Counter(tuple(w[i : i + n]) for w in ws for n in (1, 2, 3) for i in range(len(w) - n + 1))
+    total = sum(map(len, ws))
+
+    def s(gram):
+        if len(gram) == 1:
+            return math.log(c[gram] / total)
+        return math.log(c[gram] / c[gram[:-1]]) if c[gram] >= lm.MIN_COUNT else math.log(lm.BACKOFF) + s(gram[1:])
+
+    got = {r["doc_id"]: r["log_prob"] for r in queries.op10_lm_scores(spark, str(tmp_path)).collect()}
+    assert len(got) == len(texts)
+    for d, w in enumerate(ws):
+        assert abs(got[d] - sum(s(tuple(w[max(0, i - 2) : i + 1])) for i in range(len(w)))) < 1e-6
