@@ -504,6 +504,13 @@ def enclosing_symbol(spark, d):
     return out(symbols.enclosing(at, tables.definitions(f)))
 
 
+@query()
+def enclosing_symbol_lines(spark, d):
+    """Of every line."""
+    f = _files(spark, d)
+    return out(symbols.enclosing(tables.lines(f).select("repo_key", "path", F.col("line").alias("at")), tables.definitions(f)))
+
+
 @query(
     f"WITH {FILES}, q AS (SELECT lang || '_' || doc_id || '.md' AS input FROM documents UNION ALL SELECT DISTINCT source || '/' || lang || '_1.md' FROM documents) SELECT q.input, min(f.path) AS path FROM (SELECT DISTINCT input FROM q) q JOIN files f ON f.path = q.input OR ends_with(f.path, '/' || q.input) GROUP BY q.input"
 )
