@@ -53,3 +53,31 @@ def kmers(hashes: np.ndarray, k: int) -> np.ndarray:
     for j in range(k):
         out = out * np.uint64(0x9E3779B97F4A7C15) + hashes[j : j + out.size]
     return mixed(out)
+
+
+def text_kmers(words: np.ndarray, bounds: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """``kmers`` of texts that follow each other in ``words``, and the bounds of each text's."""
+    n = np.diff(bounds)
+    grams = np.zeros(words.size, np.uint64)
+    whole = kmers(words, k) if words.size >= k else grams[:0]
+    grams[: whole.size] = whole
+    left = np.repeat(bounds[1:], n) - np.arange(words.size)
+    keep = left >= k
+    for d in np.flatnonzero((n > 0) & (n < k)):
+        grams[bounds[d]] = kmers(words[bounds[d] : bounds[d + 1]], k)[0]
+        keep[bounds[d]] = True
+    at = np.flatnonzero(keep)
+    return grams[at], np.searchsorted(at, bounds)
+
+
+def labelled(grams: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """K-mers of texts that follow each other, with the number of their occurrence in the text mixed in."""
+    own = np.repeat(np.arange(bounds.size - 1), np.diff(bounds)).astype(np.uint64)
+    apart = mixed(grams + own * np.uint64(0x9E3779B97F4A7C15))
+    order = np.argsort(apart, kind="stable")
+    s = apart[order]
+    first = np.concatenate(([True], s[1:] != s[:-1]))[: s.size]
+    begin = np.maximum.accumulate(np.where(first, np.arange(s.size), 0))
+    out = np.empty_like(grams)
+    out[order] = (np.arange(s.size) - begin).astype(np.uint64)
+    return mixed(grams + np.uint64(0x9E3779B97F4A7C15) * out)

@@ -1,16 +1,15 @@
 """Classes of similar items from their sketches: bucketed candidates, verified links, components.
 
-All pairs of a bucket (items that agree on a sketch) end up in one class or are verified. Every member is first linked
-to the bucket's least member, found by a grouped minimum with map-side combining. While a large bucket's members are
-still in several components, each is also held against a few neighbours in an order that puts like members together,
-round by round for as long as that finds links. In every bucket that is still mixed then, large or small, all pairs of
+All pairs of a bucket (items that agree on a sketch) end up in one class or are verified. Every member is first held
+against the bucket's first member. In every bucket whose members are then still in several components, all pairs of
 different components are verified.
 
-Scale: pairs that are left are never rows. Members are dealt into blocks, and each two blocks meet in one cell, which
-counts common features of all its pairs at once and verifies only pairs that these counts allow. The members of a
-bucket's largest component meet the others only, so what is left of a large class costs little. Cells of a bucket that
-stays mixed grow with the square of its blocks, and are dealt out one by one. All rounds are tables in the shared folder;
-only whether a round found links reaches the driver.
+Scale: a bucket's rows are combined in each batch before the shuffle: only the first item of a batch goes to the
+bucket, the others stay with it (``combined``), so a bucket however common sends one narrow row a batch. Pairs that are
+left are never rows: members are dealt into blocks, and each two blocks meet in one cell, which counts common features
+of all its pairs at once and verifies only pairs that these counts allow. The members of a bucket's largest component
+meet the others only, so what is left of a large class costs little. Cells of a bucket that stays mixed grow with the
+square of its blocks, and are dealt out one by one. What is passed on are tables in the shared folder.
 """
 
 from __future__ import annotations
@@ -26,12 +25,8 @@ from pyspark.sql import functions as F
 from .components import components
 from .shared import Scratch
 
-#: Members of a bucket that are put in order together, about.
-LANE = 10_000
-#: Members before it in that order that each is held against.
-NEAR = 2
-#: Members of a block, about; buckets of more than so many blocks have rounds before their pairs are verified.
-BLOCK, ROUNDS_FROM = 256, 4
+#: Members of a block, about.
+BLOCK = 256
 #: Features that are counted together.
 _COLUMNS = 8192
 
@@ -39,36 +34,49 @@ _COLUMNS = 8192
 @dataclass(frozen=True)
 class Rule:
     """``similar`` tells whether two items are; ``possible`` whether they may be, from the number of their common
-    ``features`` (distinct ones) and of each one's features, over arrays. It may not refuse a pair that is similar."""
+    ``features`` (distinct ones) and of each one's features, over arrays. It may not refuse a pair that is similar.
+    Items are given as ``read`` makes them from their binary payload. Sizes of similar items differ by ``ratio`` at most."""
 
-    similar: Callable[[np.ndarray, np.ndarray], bool]
-    features: Callable[[np.ndarray], np.ndarray]
+    similar: Callable[[object, object], bool]
+    features: Callable[[object], np.ndarray]
     possible: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]
+    read: Callable[[bytes], object]
+    ratio: float
+
+
+def combined(keys: np.ndarray, owners: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the (key, owner) rows of a batch: the first row of each row's key, and whether the key has several owners."""
+    order = np.lexsort((owners, keys))
+    k, o = keys[order], owners[order]
+    starts = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1])))[: k.size]
+    n = np.diff(np.append(starts, k.size))
+    first, several = np.empty(k.size, np.int64), np.empty(k.size, bool)
+    first[order] = np.repeat(order[starts], n)
+    several[order] = np.repeat(o[starts] != o[starts + n - 1], n)
+    return first, several
+
+
+def shared_buckets(own: DataFrame, *node: str) -> DataFrame:
+    """(bucket, *node, first) of the buckets that several nodes are in. ``own``: (bucket, *node, ...); repeats are let be."""
+    line = Window.partitionBy("bucket").orderBy(*node)
+    this = F.struct(*node)
+    so_far = line.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = own.withColumn("first", F.first(F.struct(*[c for c in own.columns if c != "bucket"])).over(so_far)).withColumn("_before", F.lag(this).over(line)).withColumn("_after", F.lead(this).over(line))
+    return rows.filter((F.col("_before") != this) | (F.col("_after") != this)).drop("_before", "_after")
 
 
 def verified(pairs: DataFrame, payload: DataFrame, rule: Rule) -> DataFrame:
-    """The pairs (a, b) of nodes whose payloads are similar. ``payload``: (node, w), w 32-bit word hashes in binary."""
+    """The pairs (a, b) of nodes whose payloads are similar. ``payload``: (node, w)."""
     both = pairs.join(payload.select(F.col("node").alias("a"), F.col("w").alias("wa")), "a").join(payload.select(F.col("node").alias("b"), F.col("w").alias("wb")), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = [rule.similar(np.frombuffer(x.as_py(), np.uint32), np.frombuffer(y.as_py(), np.uint32)) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
+            keep = [rule.similar(rule.read(x.as_py()), rule.read(y.as_py())) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return both.select("a", "b", "wa", "wb").mapInArrow(run, "a binary, b binary")
 
 
-def shared_buckets(nodes: DataFrame, scratch: Scratch, rows: int, *carry: str) -> DataFrame:
-    """(bucket, first, n, beside, node, ...) for the buckets of two nodes or more. ``nodes``: (node, sketches, ...).
-
-    ``rows``: how many rows the nodes were made from. ``beside`` is the node's next sketch: members of a bucket that are alike are likely to agree on it too.
-    """
-    each = nodes.select("node", "sketches", *carry, F.posexplode("sketches").alias("pos", "bucket"))
-    each = each.select("node", *carry, "bucket", F.get("sketches", F.pmod(F.col("pos") + 1, F.size("sketches"))).alias("beside"))
-    shared = each.groupBy("bucket").agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1)
-    return scratch.table(each.join(shared, "bucket"), scratch.tasks(rows))
-
-
 def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     """How many features each of ``left`` has in common with each of ``right``; features of one item are distinct."""
     out = np.zeros((len(left), len(right)), np.float32)
@@ -100,8 +108,9 @@ def cell_links(bucket: int, rows: list[tuple], rule: Rule) -> list[tuple[bytes,
     right = [r for r in rows if r[2] != low]
     single = not right
     right = right or left
-    words = {r[0]: np.frombuffer(r[4], np.uint32) for r in rows}
-    features = [[rule.features(words[r[0]]) for r in side] for side in (left, right)]
+    items = {r[0]: rule.read(r[4]) for r in rows}
+    of = {node: rule.features(x) for node, x in items.items()}
+    features = [[of[r[0]] for r in side] for side in (left, right)]
     common = overlaps(*features)
     sizes = [np.array([f.size for f in side]) for side in features]
     _, root = np.unique(np.array([r[1].hex() for r in (*left, *right)]), return_inverse=True)
@@ -120,14 +129,15 @@ def cell_links(bucket: int, rows: list[tuple], rule: Rule) -> list[tuple[bytes,
     for i, j in at[np.argsort(-common[at[:, 0], at[:, 1]], kind="stable")].tolist():
         a, b = left[i], right[j]
         x, y = find(a[1]), find(b[1])
-        if x != y and min(set(a[3]) & set(b[3])) == bucket and rule.similar(words[a[0]], words[b[0]]):
+        if x != y and min(set(a[3]) & set(b[3])) == bucket and rule.similar(items[a[0]], items[b[0]]):
             parent[max(x, y)] = min(x, y)
             out.append((min(a[0], b[0]), max(a[0], b[0])))
     return out
 
 
-def remaining(placed: DataFrame, payload: DataFrame, rule: Rule, scratch: Scratch) -> DataFrame:
-    """Links (a, b) by which all similar pairs that share a bucket are joined. ``placed``: (bucket, n, node, root)."""
+def remaining(members: DataFrame, roots: DataFrame, payload: DataFrame, rule: Rule, scratch: Scratch) -> DataFrame:
+    """Links (a, b) by which all similar pairs that share a bucket are joined. ``members``: (bucket, node)."""
+    placed = members.join(roots, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
     major = placed.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("of_root")).groupBy("bucket").agg(F.max(F.struct("of_root", "root")).alias("major"), F.sum("of_root").alias("n"), F.count(F.lit(1)).alias("n_roots")).filter("n_roots > 1")
     whole = F.col("n") <= BLOCK
     major = major.select(
@@ -135,13 +145,15 @@ def remaining(placed: DataFrame, payload: DataFrame, rule: Rule, scratch: Scratc
         F.when(whole, 0).otherwise(F.ceil(F.col("major.of_root") / BLOCK)).alias("blocks"),
     )
     is_major, deal = F.coalesce(F.col("root") == F.col("major"), F.lit(False)), F.xxhash64("node")
-    dealt = placed.select("bucket", "node", "root").join(major, "bucket").withColumn("block", F.when(is_major, F.col("others") + F.pmod(deal, "blocks")).otherwise(F.pmod(deal, "others")))
+    dealt = placed.join(major, "bucket").withColumn("block", F.when(is_major, F.col("others") + F.pmod(deal, "blocks")).otherwise(F.pmod(deal, "others")))
     other = F.sequence(F.lit(0), F.when(is_major, F.col("others")).otherwise(F.col("others") + F.col("blocks")) - 1)
     cells = dealt.select("bucket", "node", "root", "block", F.explode(other).alias("other")).select("bucket", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "node", "root", "block")
     cells = scratch.table(cells)
-    shared = placed.groupBy("node").agg(F.collect_set("bucket").alias("buckets"))
-    tasks = scratch.tasks(cells.count(), 4000)
-    full = cells.join(shared.join(payload, "node"), "node").repartition(tasks, "bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi").select("bucket", "lo", "hi", "node", "root", "block", "buckets", "w")
+    n_cells = cells.count()
+    if not n_cells:
+        return cells.select(F.col("node").alias("a"), F.col("root").alias("b"))
+    shared = cells.select("node", "bucket").distinct().groupBy("node").agg(F.collect_list("bucket").alias("buckets"))
+    full = cells.join(shared.join(payload, "node"), "node").repartition(scratch.tasks(n_cells, 4000), "bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi").select("bucket", "lo", "hi", "node", "root", "block", "buckets", "w")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, rows = None, []
@@ -162,38 +174,18 @@ def remaining(placed: DataFrame, payload: DataFrame, rule: Rule, scratch: Scratc
     return full.mapInArrow(run, "a binary, b binary").distinct()
 
 
-def link_classes(buckets: DataFrame, payload: DataFrame, rule: Rule, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """(node, root) of all nodes with a link, and the links (a, b) themselves."""
-    size = scratch.tasks(buckets.count())
-    pairs = scratch.table(buckets.filter(F.col("node") != F.col("first")).select(F.col("first").alias("a"), F.col("node").alias("b")).distinct(), size)
+def link_classes(members: DataFrame, payload: DataFrame, rule: Rule, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """(node, root) of all nodes with a link, and the links (a, b) themselves.
+
+    ``members``: (bucket, node, n, first (node, n)), written; ``payload``: (node, w) of all nodes that a bucket has beside others.
+    """
+    fits = (F.col("n") >= rule.ratio * F.col("first.n") - 1e-6) & (F.col("first.n") >= rule.ratio * F.col("n") - 1e-6)
+    pairs = members.filter((F.col("node") != F.col("first.node")) & fits).select(F.col("first.node").alias("a"), F.col("node").alias("b"))
+    pairs = scratch.table(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    size = scratch.tasks(pairs.count())
     links = scratch.table(verified(pairs, payload, rule), size)
-    roots, n_round = components(links, scratch, tasks=size), 0
-
-    def mixed(members: DataFrame) -> DataFrame:
-        placed = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        of = placed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter(F.col("low") != F.col("high")).select("bucket")
-        return scratch.table(placed.join(of, "bucket", "left_semi"), size)
-
-    open_ = buckets.filter(F.col("n") > BLOCK * ROUNDS_FROM).select("bucket", "n", "beside", "node")
-    while True:
-        n_round += 1
-        placed = mixed(open_)
-        lane = F.pmod(F.xxhash64("beside", F.lit(n_round)), F.ceil(F.col("n") / LANE))
-        order = Window.partitionBy("bucket", "lane").orderBy(F.xxhash64("beside", F.lit(n_round)), F.xxhash64("node", F.lit(n_round)), "node")
-        near = F.array(*[F.struct(F.lag("node", k).over(order).alias("node"), F.lag("root", k).over(order).alias("root")) for k in range(1, NEAR + 1)])
-        beside = placed.withColumn("lane", lane).select("node", "root", near.alias("near")).select("node", "root", F.explode("near").alias("o"))
-        new = beside.filter(F.col("root") != F.col("o.root")).select(F.least("node", "o.node").alias("a"), F.greatest("node", "o.node").alias("b")).distinct()
-        found = scratch.table(verified(scratch.table(new, size), payload, rule), size)
-        if found.isEmpty():
-            break
-        # the next round looks at the buckets of the nodes for which this one found links
-        ends = found.select(F.col("a").alias("node")).union(found.select("b")).distinct()
-        fruitful = placed.join(ends, "node", "left_semi").select("bucket").distinct()
-        open_ = placed.select("bucket", "n", "beside", "node").join(fruitful, "bucket", "left_semi")
-        links = links.union(found)
-        roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(found), scratch, tasks=size)
-    # the pair of a bucket of two was verified above
-    found = scratch.table(remaining(mixed(buckets.filter(F.col("n") > 2).select("bucket", "n", "node")), payload, rule, scratch), size)
+    roots = components(links, scratch, tasks=size)
+    found = scratch.table(remaining(members.select("bucket", "node").distinct(), roots, payload, rule, scratch), size)
     if found.isEmpty():
         return roots, links
     return components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(found), scratch, tasks=size), links.union(found)

@@ -1,62 +1,69 @@
-"""Near-duplicate documents by MinHash, verified by banded alignment.
+"""Near-duplicate documents by Order MinHash, verified by banded alignment.
 
 A document is its sequence of words. A sketch hashes its occurrence-labelled 5-word k-mers with a function of its
-own and takes those with the least hashes: one, so that the chance to agree is the similarity of the k-mers. (Several,
-kept in the order of the text as in Order MinHash, would make it a power of that.) Documents that agree on a sketch
-are candidates; they are near duplicates if the word edit distance, computed by alignment within the band that the
-threshold allows, leaves a similarity of 0.8 or more. If the edits are scattered, k-mers of such a pair are similar to
-0.8^5 / (2 - 0.8^5) = 0.196 at least, about, and it is missed with a chance of 0.804^24, one in two hundred; at an edit
-similarity of 0.9, of one in 400 000.
-
-Scale: documents with equal words are one node from the start; see ``linking`` for buckets and rounds.
+own, takes those with the two least hashes and keeps the order in which they stand in the text. Documents that agree on
+a sketch are candidates; they are near duplicates if the word edit distance, computed by alignment within the band
+that the threshold allows, leaves a similarity of 0.8 or more.
+
+The chance to agree on a sketch is the square of the k-mers' similarity. If edits are scattered, that is 0.8^5 / (2 -
+0.8^5) = 0.196 for pairs at the threshold, and such a pair is missed with a chance of (1 - 0.196^2)^64, eight in a
+hundred; at an edit similarity of 0.9 (0.42), of five in a million.
+
+Scale: documents of a batch with equal words, or that agree on a sketch, go on as one row each batch; see ``linking``.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BinaryType, LongType
+from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StructType
 
 from .decontaminate import pieces, split_words
-from .hashing import hashed_words, kmers, mixed
-from .linking import Rule, link_classes, shared_buckets
+from .hashing import hashed_words, labelled, mixed, text_kmers
+from .linking import Rule, combined, link_classes, shared_buckets
 from .shared import Scratch, fresh, quoted, row_key
 
 #: Words in a k-mer; least similarity; sketches; k-mers in a sketch.
-K, SIMILARITY, SKETCHES, PICKED = 5, 0.8, 24, 1
+K, SIMILARITY, SKETCHES, PICKED = 5, 0.8, 64, 2
+#: Characters whose k-mers are sketched together.
+TOGETHER = 1 << 19
 _ODD = (np.random.default_rng(20240501).integers(0, 1 << 63, SKETCHES * 4, np.uint64) << np.uint64(1)) | np.uint64(1)
 
 
-def labelled(grams: np.ndarray) -> np.ndarray:
-    """K-mers with the number of their occurrence mixed in."""
-    order = np.argsort(grams, kind="stable")
-    s = grams[order]
-    first = np.concatenate(([True], s[1:] != s[:-1]))
-    begin = np.maximum.accumulate(np.where(first, np.arange(s.size), 0))
-    out = np.empty_like(grams)
-    out[order] = mixed(s + np.uint64(0x9E3779B97F4A7C15) * (np.arange(s.size) - begin).astype(np.uint64))
-    return out
-
-
-def sketch(hashes: np.ndarray, sketches: int = SKETCHES, picked: int = PICKED) -> np.ndarray:
-    """One key per sketch: the ``picked`` least k-mers by the sketch's own hash, in text order."""
-    grams = kmers(hashes, K)
-    if not grams.size:
-        return np.empty(0, np.int64)
-    grams = labelled(grams)
-    picks = np.zeros((sketches, picked), np.uint64)
-    for i in range(sketches):
-        h = mixed(grams ^ _ODD[i])  # a product alone would make sketches agree together, and miss three times as many pairs
-        at = np.sort(np.argpartition(h, picked - 1)[:picked]) if h.size > picked > 1 else np.arange(h.size) if picked > 1 else np.array([h.argmin()])
-        picks[i, : at.size] = grams[at]
-    out = np.arange(1, sketches + 1, dtype=np.uint64)
-    for j in range(picked):
-        out = out * np.uint64(0x9E3779B97F4A7C15) + picks[:, j]
-    return mixed(out).view(np.int64)
+def sketches(words: np.ndarray, bounds: np.ndarray, n: int = SKETCHES, picked: int = PICKED) -> np.ndarray:
+    """One key per text and sketch (a row of ``n``; of a text without words, zeros): the ``picked`` least k-mers by the
+    sketch's own hash, in text order. Texts follow each other in ``words``.
+
+    The last bits of a hash are replaced by the k-mer's place, so that the least hash tells where it stands.
+    """
+    grams, ends = text_kmers(words, bounds, K)
+    out = np.zeros((bounds.size - 1, n), np.uint64)
+    live = np.flatnonzero(np.diff(ends) > 0)
+    if not live.size:
+        return out.view(np.int64)
+    grams, starts, size = labelled(grams, ends), ends[:-1][live], np.diff(ends)[live]
+    mask = np.uint64((1 << int(grams.size).bit_length()) - 1)
+    place, h, t = np.arange(grams.size, dtype=np.uint64), np.empty_like(grams), np.empty_like(grams)
+    for i in range(n):
+        np.multiply(np.bitwise_xor(grams, _ODD[i], out=h), np.uint64(0xFF51AFD7ED558CCD), out=h)
+        np.bitwise_xor(h, np.right_shift(h, np.uint64(32), out=t), out=h)
+        np.multiply(h, np.uint64(0xC4CEB9FE1A85EC53), out=h)
+        np.bitwise_or(np.bitwise_and(h, ~mask, out=h), place, out=h)
+        picks = []
+        for j in range(picked):
+            at = (np.minimum.reduceat(h, starts) & mask).astype(np.int64)
+            picks.append(np.where(size > j, at, picks[0]) if j else at)
+            h[picks[-1]] = ~np.uint64(0)
+        key = np.full(live.size, i + 1, np.uint64)
+        for at in np.sort(np.stack(picks), axis=0):
+            key = mixed(key * np.uint64(0x9E3779B97F4A7C15) + grams[at])
+        out[live, i] = key
+    return out.view(np.int64)
 
 
 def distance_within(a: np.ndarray, b: np.ndarray, most: int) -> int:
@@ -107,35 +114,67 @@ def distance_within(a: np.ndarray, b: np.ndarray, most: int) -> int:
 
 
 def similar(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> bool:
-    """Whether word edit distance over the longer length leaves a similarity of ``least`` or more."""
+    """Whether word edit distance over the longer length leaves a similarity of ``least`` or more.
+
+    Words that the other text lacks all cost an edit, so most pairs need no alignment; the others are aligned within
+    narrow bands first.
+    """
     longer = max(a.size, b.size)
     most = int((1 - least) * longer + 1e-9)
-    return longer == 0 or distance_within(a, b, most) <= most
+    if longer == 0 or abs(a.size - b.size) > most:
+        return longer == 0
+    common = np.intersect1d(_features(a), _features(b), assume_unique=True).size
+    if longer - common > most:
+        return False
+    return any(distance_within(a, b, m) <= m for m in (most // 16, most // 4) if m >= 8) or distance_within(a, b, most) <= most
+
+
+def _features(words: np.ndarray) -> np.ndarray:
+    return labelled(words.astype(np.uint64), np.array([0, words.size]))
 
 
 def rule(least: float = SIMILARITY) -> Rule:
     """Words that two texts don't share, each counted as often as it stands, all cost an edit."""
     most = lambda longer: ((1 - least) * longer + 1e-9).astype(np.int64)
-    return Rule(lambda a, b: similar(a, b, least), lambda w: labelled(w.astype(np.uint64)), lambda common, a, b: np.maximum(a, b) - common <= most(np.maximum(a, b)))
+    return Rule(
+        lambda a, b: similar(a, b, least), _features, lambda common, a, b: np.maximum(a, b) - common <= most(np.maximum(a, b)),
+        lambda w: np.frombuffer(w, np.uint32), least,
+    )
+
+
+_LOCAL = ArrayType(StructType().add("bucket", LongType()).add("leader", BinaryType()).add("leader_n", IntegerType()))
 
 
 def _sketched(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(doc_id, key, node, sketches) of every row; ``node``: digest of the words, null without words."""
-    from hashlib import blake2b
+    """(doc_id, key, node, n, own, local) of every row.
 
+    ``node``: digest of the words, null without words; ``n``: words. Among a batch's rows, ``own`` has the sketches of
+    those for which this row stands, and ``local`` those that several have, with the row that stands for them.
+    """
     base = docs.select(F.col(quoted(doc_id)).cast("long").alias("doc_id"), row_key(F.col(quoted(doc_id)), F.col(quoted(text))).alias("key"), F.col(quoted(text)).alias("_t"))
-    schema = base.drop("_t").schema.add("node", BinaryType()).add("sketches", ArrayType(LongType()))
+    schema = base.drop("_t").schema.add("node", BinaryType()).add("n", IntegerType()).add("own", ArrayType(LongType())).add("local", _LOCAL)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(2).to_pylist()
-            for lo, hi in pieces(texts):
+            nodes, sizes, parts = [], [], []
+            for lo, hi in pieces(texts, TOGETHER):
                 words, bounds = hashed_words(texts[lo:hi])
-                spans = list(zip(bounds[:-1], bounds[1:], strict=True))
-                nodes = [blake2b(b" ".join(split_words(t)), digest_size=16).digest() if e > s else None for t, (s, e) in zip(texts[lo:hi], spans, strict=True)]
-                keys = [sketch(words[s:e]) if e > s else None for s, e in spans]
-                cols = [c.slice(lo, hi - lo) for c in batch.columns[:2]]
-                yield pa.RecordBatch.from_arrays([*cols, pa.array(nodes, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "key", "node", "sketches"])
+                size = np.diff(bounds)
+                sizes.append(size)
+                nodes += [blake2b(b" ".join(split_words(t)), digest_size=16).digest() if n else None for t, n in zip(texts[lo:hi], size, strict=True)]
+                parts.append(sketches(words, bounds))
+            n, number = np.concatenate(sizes).astype(np.int32), {}
+            fresh_rows = np.array([k for k, x in enumerate(nodes) if x is not None and number.setdefault(x, k) == k], np.int64)
+            keys = np.concatenate(parts)[fresh_rows].ravel()
+            owners = np.repeat(fresh_rows, SKETCHES)
+            first, several = combined(keys, owners)
+            own = first == np.arange(keys.size)
+            rows = np.arange(len(texts) + 1)
+            lead = owners[first[several]]
+            local = pa.StructArray.from_arrays([pa.array(keys[several]), pa.array([nodes[k] for k in lead], pa.binary()), pa.array(n[lead])], names=["bucket", "leader", "leader_n"])
+            lists = [pa.ListArray.from_arrays(pa.array(np.searchsorted(owners[of], rows).astype(np.int32)), values) for of, values in ((own, pa.array(keys[own])), (several, local))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(nodes, pa.binary()), pa.array(n), *lists], names=["doc_id", "key", "node", "n", "own", "local"])
 
     return base.mapInArrow(run, schema)
 
@@ -153,6 +192,13 @@ def _node_words(docs: DataFrame, wanted: DataFrame, doc_id: str, text: str) -> D
     return base.mapInArrow(run, "node binary, w binary").dropDuplicates(["node"])
 
 
+def _members(rows: DataFrame) -> DataFrame:
+    """(bucket, node, n, first) of every sketch that several nodes have."""
+    own = shared_buckets(rows.select("node", "n", F.explode("own").alias("bucket")).select("bucket", "node", "n"), "node")
+    local = rows.select("node", "n", F.explode("local").alias("l")).select("l.bucket", "node", "n", F.struct(F.col("l.leader").alias("node"), F.col("l.leader_n").alias("n")).alias("first"))
+    return own.unionByName(local)
+
+
 def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: float = SIMILARITY) -> DataFrame:
     """(doc_id, key, root, class_id, n_links, n_class) for every row of ``docs``; ``root`` is the class itself.
 
@@ -163,29 +209,39 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least:
     """
     scratch = Scratch(docs.sparkSession, "near-dedup")
     rows = scratch.table(_sketched(docs, doc_id, text))
-    nodes = rows.filter(F.col("node").isNotNull()).groupBy("node").agg(F.first("sketches").alias("sketches"), F.min("key").alias("key"))
     n_rows = rows.count()
-    buckets = shared_buckets(nodes, scratch, n_rows, "key")
-    texts = scratch.table(_node_words(docs, buckets.select("key", "node").distinct(), doc_id, text), scratch.tasks(n_rows))
-    roots, links = link_classes(buckets, texts, rule(least), scratch)
+    members = scratch.table(_members(rows), scratch.tasks(n_rows))
+    wanted = rows.join(members.select("node").distinct(), "node").groupBy("node").agg(F.min("key").alias("key"))
+    texts = scratch.table(_node_words(docs, wanted, doc_id, text), scratch.tasks(n_rows))
+    roots, links = link_classes(members, texts, rule(least), scratch)
     ends = links.select(F.col("a").alias("node")).union(links.select("b")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
-    of = rows.select("doc_id", "key", "node").join(roots, "node", "left").join(ends, "node", "left")
+    linked = scratch.table(roots.join(ends, "node", "left"), scratch.tasks(n_rows))
+    scratch.drop(members, texts)
+    of = rows.select("doc_id", "key", "node").join(linked, "node", "left")
     # rows without words stand alone
-    of = of.withColumn("root", F.coalesce("root", "node", F.encode(F.concat_ws(":", F.lit("alone"), F.col("key").cast("string"), F.col("doc_id").cast("string")), "utf-8"))).withColumn("n_links", F.coalesce("n_links", F.lit(0)))
-    of = scratch.table(of, scratch.tasks(n_rows))
+    alone = F.encode(F.concat_ws(":", F.lit("alone"), F.hex("key")), "utf-8")
+    of = scratch.table(of.select("doc_id", "key", F.coalesce("root", "node", alone).alias("root"), F.coalesce("n_links", F.lit(0)).alias("n_links")), scratch.tasks(n_rows))
     ids = of.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("n_class"))
     return of.join(ids, "root").select("doc_id", "key", "root", "class_id", "n_links", "n_class")
 
 
 def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: float = SIMILARITY) -> DataFrame:
-    """One document of each class, that with the least doc_id, with all columns; of repeated rows, one.
+    """One document of each class, that with the least doc_id, with all columns; of repeated rows, any one.
 
-    Documents of a class of one row, nearly all, need only miss the anti-join with the others.
+    A row without letters and digits goes only if it repeats another. Texts move once: rows meet a narrow table of the
+    keys that go. Rows of a key that stays but is repeated, if there are any, are combined before they move.
     """
-    key, n = fresh(docs.columns, "_key"), fresh(docs.columns, "_n")
-    found = classes(docs, doc_id, text, least).filter(F.col("n_class") > 1)
-    first = found.groupBy("root").agg(F.min(F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)), "key")).alias("first"))
-    dropped = found.join(first, "root").filter(F.col("key") != F.col("first.key")).select(F.col("key").alias(key)).distinct()
-    named = docs.withColumn(key, row_key(F.col(quoted(doc_id)), F.col(quoted(text))))
-    kept = named.join(dropped, key, "left_anti").withColumn(n, F.row_number().over(Window.partitionBy(key).orderBy(key)))
-    return kept.filter((F.col(n) == 1) | (F.coalesce(F.regexp_count(F.col(quoted(text)), F.lit(r"[0-9A-Za-z\P{ASCII}]")), F.lit(0)) == 0)).select(*[F.col(quoted(c)) for c in docs.columns])
+    scratch = Scratch(docs.sparkSession, "deduplicate")
+    found = scratch.table(classes(docs, doc_id, text, least).filter(F.col("n_class") > 1).groupBy("root", "key").agg(F.min(F.coalesce("doc_id", F.lit((1 << 63) - 1))).alias("doc_id"), F.count(F.lit(1)).alias("n")))
+    first = found.groupBy("root").agg(F.min(F.struct("doc_id", "key")).alias("first"))
+    named = scratch.table(found.join(first, "root").select("key", "n", (F.col("key") == F.col("first.key")).alias("stays")))
+    columns = [F.col(quoted(c)) for c in docs.columns]
+    key = fresh(docs.columns, "_key")
+    keyed = docs.withColumn(key, row_key(F.col(quoted(doc_id)), F.col(quoted(text))))
+    gone = named.filter("not stays or n > 1").select(F.col("key").alias(key))
+    kept = keyed.join(gone, key, "left_anti").select(*columns)
+    repeated = named.filter("stays and n > 1").select(F.col("key").alias(key))
+    if repeated.isEmpty():
+        return kept
+    one = keyed.join(repeated, key, "left_semi").groupBy(key).agg(F.first(F.struct(*columns)).alias("_row"))
+    return kept.union(one.select(*[F.col("_row").getField(c).alias(c) for c in docs.columns]))

@@ -43,17 +43,20 @@ def quoted(name: str) -> str:
 
 
 def row_key(doc_id: Column, text: Column) -> Column:
-    """One long for (doc_id, text): tells rows apart that repeat a doc_id with another text."""
-    return F.xxhash64(doc_id.cast("string"), text)
+    """128 bits for (doc_id, text), nulls told apart: tells rows apart that repeat a doc_id with another text."""
+    given = lambda c: F.coalesce(F.concat(F.length(c).cast("string"), F.lit(":"), c), F.lit("-"))
+    return F.unhex(F.md5(F.encode(F.concat(given(doc_id.cast("string")), given(text)), "utf-8")))
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, else (tests) one of our own."""
+    """The folder that driver and executors share: spark.checkpoint.dir; where it is unset and Spark is local, one of our own."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
         found = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = found.get() if found.isDefined() else None
     if not found:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="codequarry-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
