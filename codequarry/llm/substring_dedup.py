@@ -1,21 +1,23 @@
-"""Substring deduplication by paragraphs.
-
-Two kinds of paragraph are looked for:
-
-* Lines of ``LINE_WORDS`` words or more, near duplicates of each other: MinHash over their 5-word shingles, cut into
-  bands that are tuned for recall (at a similarity of 0.8, one pair in a thousand shares no band); lines that collide
-  are verified by exact Jaccard similarity and clustered by components.
-* Passages that stand anywhere, within lines or across them, where a line's MinHash is swamped by what surrounds
-  them. The text is cut at anchors chosen by its content (in every ``GAP`` consecutive 3-word shingles, the one of
-  least hash), so that equal passages are cut equally wherever they stand. Blocks between anchors that collide are
-  equal word for word (the exact end of the same test), and adjoining ones of one first occurrence merge into
-  passages, which are carried on word by word to the true ends of the match; repeats of ``PASSAGE_WORDS`` words of
-  whole blocks or more count. A shared passage of 50 words always holds that much.
-
-In each class the first occurrence, by doc_id and place, stays and the others are marked as removals.
-
-Scale: neither kind forms pairs within a group. Blocks are grouped by hash with map-side combining and met by one
-equi-join; lines go through ``linking``. Rows are narrow; texts are read once per kind and never move.
+"""Substring deduplication by MinHash banding of paragraphs.
+
+Two kinds of paragraph are taken from every text, all of it:
+
+* lines of ``LINE_WORDS`` words or more;
+* windows of ``WINDOW_WORDS`` words from starts that the words themselves choose (in every ``GAP`` consecutive starts,
+  that of the least 3-word shingle), so that a passage has the same windows wherever it stands, within lines or across
+  them. A shared passage of ``GAP + WINDOW_WORDS - 1`` = 51 words holds a whole window at least. A text that is shorter
+  than a window is one paragraph as it is.
+
+Paragraphs get a MinHash of their 5-word shingles, cut into bands (at a similarity of 0.8, one pair in twenty shares no
+band; at 0.9, one in 140; equal ones share all). Paragraphs that collide in a band are verified by exact Jaccard
+similarity, word for word, and clustered by components. In each class the first occurrence, by doc_id and place, stays
+and the others are marked as removals. Windows of one document that follow the same first occurrence are one passage,
+which is carried on word by word to the true ends of the match.
+
+Scale: a batch's paragraphs with the same band send one narrow row to the shuffle, the bands' groups are found by one
+sort, and only paragraphs that share a band are looked at again; see ``linking`` for the pairs. Equal paragraphs are one
+node, so a passage however common is verified once. Texts are read once for their paragraphs, and those of documents that
+share something for the words that are compared.
 """
 
 from __future__ import annotations
@@ -25,235 +27,253 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, BooleanType, IntegerType, LongType, StructType
 
-from .decontaminate import pieces
+from .decontaminate import pieces, split_words
 from .hashing import hashed_words, kmers, mixed
-from .linking import Rule, link_classes, shared_buckets
-from .shared import Scratch, quoted
+from .linking import Rule, combined, link_classes, shared_buckets
+from .shared import Scratch, quoted, row_key
 
-LINE_WORDS, SHINGLE, SIMILARITY = 20, 5, 0.8
-BANDS, ROWS = 10, 3
-GAP, PASSAGE_WORDS = 16, 16
-#: Past this many words more that agree, the next anchor would too.
-REACH = GAP + 2
+LINE_WORDS, WINDOW_WORDS, GAP, SHINGLE, SIMILARITY = 20, 20, 32, 5, 0.8
+BANDS, ROWS = 3, 2
+#: Past this many words more that agree, another window would start.
+REACH = GAP + WINDOW_WORDS
+#: Characters whose paragraphs are made together.
+TOGETHER = 1 << 19
 
 _ODD = (np.random.default_rng(20240502).integers(0, 1 << 63, BANDS * ROWS, np.uint64) << np.uint64(1)) | np.uint64(1)
 
 
-def bands(words: np.ndarray) -> np.ndarray:
-    """The keys of the bands of a paragraph's MinHash."""
-    grams = np.unique(kmers(words, SHINGLE))
-    h = grams[None, :] * _ODD[:, None]
-    h ^= h >> np.uint64(29)
-    least = h.min(axis=1).reshape(BANDS, ROWS)
-    out = np.arange(1, BANDS + 1, dtype=np.uint64)
-    for r in range(ROWS):
-        out = mixed(out * np.uint64(0x9E3779B97F4A7C15) + least[:, r])
+def band_keys(words: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The keys of the bands ``[n, BANDS]`` of the paragraphs that ``starts`` and ``sizes`` (1 word at least) cut from ``words``."""
+    grams = kmers(words, SHINGLE) if words.size >= SHINGLE else np.empty(0, np.uint64)
+    short = np.flatnonzero(sizes < SHINGLE)
+    at, to = starts.copy(), starts + sizes - SHINGLE + 1
+    at[short] = grams.size + np.arange(short.size)
+    to[short] = at[short] + 1
+    grams = np.concatenate([grams, *(kmers(words[starts[i] : starts[i] + sizes[i]], SHINGLE) for i in short), np.zeros(1, np.uint64)])
+    ranges = np.stack((at, to), axis=1).ravel()
+    out = np.repeat(np.arange(1, BANDS + 1, dtype=np.uint64)[None, :], starts.size, axis=0)
+    for k in range(BANDS * ROWS if starts.size else 0):
+        h = grams * _ODD[k]
+        h ^= h >> np.uint64(29)
+        out[:, k // ROWS] = mixed(out[:, k // ROWS] * np.uint64(0x9E3779B97F4A7C15) + np.minimum.reduceat(h, ranges)[::2])
     return out.view(np.int64)
 
 
-def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+def jaccard(a: bytes, b: bytes) -> float:
     """Of the sets of 5-word shingles, word for word."""
-    x, y = ({tuple(w[i : i + SHINGLE]) for i in range(max(1, len(w) - SHINGLE + 1))} for w in (a.tolist(), b.tolist()))
+    x, y = ({tuple(w[i : i + SHINGLE]) for i in range(max(1, len(w) - SHINGLE + 1))} for w in (a.split(), b.split()))
     return len(x & y) / len(x | y)
 
 
 def rule(least: float = SIMILARITY) -> Rule:
-    return Rule(lambda a, b: jaccard(a, b) >= least, lambda w: np.unique(kmers(w.astype(np.uint64), SHINGLE)), lambda common, a, b: common >= least * (a + b - common) - 1e-6)
+    return Rule(lambda a, b: jaccard(a, b) >= least, lambda w: np.unique(kmers(hashed_words([w.decode("utf-8", "surrogatepass")])[0], SHINGLE)), lambda common, a, b: common >= least * (a + b - common) - 1e-6, bytes, 0.0)
 
 
-def anchors(words: np.ndarray, gap: int = GAP) -> np.ndarray:
-    """Positions, ascending, of the least 3-word shingle of every ``gap`` consecutive ones; the rightmost on ties."""
-    if words.size < 3:
+def window_starts(words: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Ascending starts, in ``words``, of the windows of texts of more than ``WINDOW_WORDS`` words that follow each other."""
+    fits = np.maximum(0, np.diff(bounds) - WINDOW_WORDS + 1)
+    fits[np.diff(bounds) <= WINDOW_WORDS] = 0
+    if not fits.any():
         return np.empty(0, np.int64)
     h = kmers(words, 3)
-    if h.size < gap:
-        return np.empty(0, np.int64)
-    view = np.lib.stride_tricks.sliding_window_view(h[::-1], gap)
-    return np.unique(h.size - 1 - (np.arange(view.shape[0]) + view.argmin(axis=1)))
-
-
-def _rows(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    return docs.select(F.col(quoted(doc_id)).cast("long").alias("doc_id"), F.col(quoted(text)).alias("t"))
-
-
-def blocks(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(hash, doc_id, row, start, n): the blocks between anchors of every text; ``row`` tells texts apart."""
+    mask = np.uint64((1 << int(h.size).bit_length()) - 1)
+    h = (h & ~mask) | np.arange(h.size, dtype=np.uint64)  # the least tells where it stands
+    few = np.flatnonzero((fits > 0) & (fits < GAP))
+    own = np.minimum.reduceat(h, np.stack((bounds[few], bounds[few] + fits[few]), axis=1).ravel())[::2] if few.size else h[:0]
+    least, width = h, 1
+    while width < GAP:
+        least = np.minimum(least[:-width], least[width:])
+        width *= 2
+    n = np.maximum(0, fits - GAP + 1)
+    at = np.repeat(bounds[:-1], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    return np.unique(np.concatenate((own, least[at])) & mask).astype(np.int64)
+
+
+def _stretches(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words of all texts, their bounds, and of the paragraphs: text, start in ``words``, size, whether a line."""
+    cut = [(t or "").split("\n") for t in texts]
+    words, ends = hashed_words([x for c in cut for x in c])
+    n_lines = np.array([len(c) for c in cut])
+    bounds = ends[np.concatenate(([0], np.cumsum(n_lines)))]
+    size, n = np.diff(ends), np.diff(bounds)
+    lines = np.flatnonzero(size >= LINE_WORDS)
+    short = np.flatnonzero((n > 0) & (n <= WINDOW_WORDS))
+    at = window_starts(words, bounds)
+    starts = np.concatenate((ends[lines], bounds[short], at))
+    sizes = np.concatenate((size[lines], n[short], np.full(at.size, WINDOW_WORDS)))
+    is_line = np.arange(starts.size) < lines.size
+    text = np.searchsorted(bounds, starts, "right") - 1
+    order = np.lexsort((starts, text))
+    return words, bounds, text[order], starts[order], sizes[order], is_line[order]
+
+
+_PLACE = StructType().add("bucket", LongType()).add("i", IntegerType())
+_LOCAL = StructType().add("bucket", LongType()).add("i", IntegerType()).add("leader", LongType()).add("leader_i", IntegerType())
+
+
+def paragraphs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(rid, doc_id, key, starts, sizes, lines, nodes, own, local) of every row; paragraph ``i`` is the i-th of each list.
+
+    ``nodes``: 16 bytes of digest for each paragraph. ``own`` has the bands of the paragraphs that stand for their band
+    among the rows of a batch; ``local`` those that several paragraphs have, with the one that stands for them.
+    """
+    base = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(quoted(doc_id)).cast("long").alias("doc_id"), row_key(F.col(quoted(doc_id)), F.col(quoted(text))).alias("key"), F.col(quoted(text)).alias("t"))
+    schema = base.drop("t").schema.add("starts", ArrayType(IntegerType())).add("sizes", ArrayType(IntegerType())).add("lines", ArrayType(BooleanType())).add("nodes", BinaryType()).add("own", ArrayType(_PLACE)).add("local", ArrayType(_LOCAL))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, texts, rows = (c.to_pylist() for c in batch.columns)
-            for lo, hi in pieces(texts):
-                words, bounds = hashed_words(texts[lo:hi])
-                out: list[list[np.ndarray]] = [[], [], [], []]
-                for k in range(hi - lo):
-                    w = words[bounds[k] : bounds[k + 1]]
-                    at = anchors(w)
-                    if at.size < 2:
-                        continue
-                    # polynomial hashes of the blocks from running sums, in wrapping arithmetic
-                    power = _powers(w.size)
-                    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(w * power[: w.size], dtype=np.uint64)))
-                    s, e = at[:-1], at[1:]
-                    h = mixed((sums[e] - sums[s]) * _inverse_powers(w.size)[s] + (e - s).astype(np.uint64))
-                    for column, values in zip(out, (h.view(np.int64), np.full(s.size, lo + k), s, e - s), strict=True):
-                        column.append(values)
-                if out[0]:
-                    h, k, s, n = (np.concatenate(c) for c in out)
-                    yield pa.RecordBatch.from_arrays([pa.array(h), pa.array([ids[i] for i in k], pa.int64()), pa.array([rows[i] for i in k], pa.int64()), pa.array(s.astype(np.int32)), pa.array(n.astype(np.int32))], names=["hash", "doc_id", "row", "start", "n"])
-
-    base = _rows(docs, doc_id, text)
-    return base.withColumn("row", F.xxhash64(F.col("doc_id").cast("string"), "t")).mapInArrow(run, "hash long, doc_id long, row long, start int, n int")
-
-
-_P = np.uint64(0xD1342543DE82EF95)
-_Q = np.uint64(pow(0xD1342543DE82EF95, -1, 1 << 64))
-_POWERS = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
-
-
-def _table_of(name: str, base: np.uint64, n: int) -> np.ndarray:
-    if _POWERS[name].size < n:
-        _POWERS[name] = np.concatenate((np.ones(1, np.uint64), np.cumprod(np.full(2 * n, base, np.uint64), dtype=np.uint64)))
-    return _POWERS[name]
+            texts, rids = batch.column(3).to_pylist(), batch.column(0).to_numpy()
+            parts: list[list[np.ndarray]] = [[], [], [], [], []]
+            nodes: list[bytes] = []
+            for lo, hi in pieces(texts, TOGETHER):
+                words, bounds, of, starts, sizes, is_line = _stretches(texts[lo:hi])
+                nodes += [blake2b(words[s:e], digest_size=16).digest() for s, e in zip(starts.tolist(), (starts + sizes).tolist(), strict=True)]
+                for x, values in zip(parts, (of + lo, starts - bounds[of], sizes, is_line, band_keys(words, starts, sizes)), strict=True):
+                    x.append(values)
+            of, starts, sizes, is_line, keys = (np.concatenate(x) for x in parts)
+            rows = np.searchsorted(of, np.arange(len(texts) + 1))
+            i = np.arange(of.size) - rows[:-1][of]
+            keys, owners = keys.ravel(), np.repeat(np.arange(of.size), BANDS)
+            first, several = combined(keys, owners)
+            own, lead = first == np.arange(keys.size), owners[first[several]]
+            ints = lambda x: pa.array(x.astype(np.int32))
+            places = pa.StructArray.from_arrays([pa.array(keys[own]), ints(i[owners[own]])], names=["bucket", "i"])
+            local = pa.StructArray.from_arrays([pa.array(keys[several]), ints(i[owners[several]]), pa.array(rids[of[lead]]), ints(i[lead])], names=["bucket", "i", "leader", "leader_i"])
+            cut = lambda at, values: pa.ListArray.from_arrays(ints(at), values)
+            every = np.arange(len(texts) + 1)
+            lists = [cut(rows, ints(starts)), cut(rows, ints(sizes)), cut(rows, pa.array(is_line))]
+            joined = pa.array([b"".join(nodes[s:e]) for s, e in zip(rows[:-1].tolist(), rows[1:].tolist(), strict=True)], pa.binary())
+            bands = [cut(np.searchsorted(of[owners[own]], every), places), cut(np.searchsorted(of[owners[several]], every), local)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *lists, joined, *bands], names=schema.names)
+
+    return base.mapInArrow(run, schema)
+
+
+def _shared_places(found: DataFrame) -> DataFrame:
+    """(bucket, doc_id, key, start, n, line, node) of the paragraphs that share a band with another, once for each band."""
+    own = shared_buckets(found.select("rid", F.explode("own").alias("o")).select("o.bucket", "rid", "o.i"), "rid", "i").select("bucket", "rid", "i")
+    local = found.select("rid", F.explode("local").alias("l")).select("l.bucket", "rid", "l.i")
+    of_row = own.union(local).groupBy("rid").agg(F.collect_set(F.struct("bucket", "i")).alias("places"))
+    each = found.drop("own", "local").join(of_row, "rid").select("doc_id", "key", "starts", "sizes", "lines", "nodes", F.explode("places").alias("p"))
+    i = F.col("p.i")
+    return each.select(F.col("p.bucket").alias("bucket"), "doc_id", "key", F.get("starts", i).alias("start"), F.get("sizes", i).alias("n"), F.get("lines", i).alias("line"), F.expr("substring(nodes, 16 * p.i + 1, 16)").alias("node"))
+
+
+def _words_of(docs: DataFrame, asked: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """(node, w) of each (key, start, n, node) asked for: the paragraph's words, separated by blanks."""
 
-
-def _powers(n: int) -> np.ndarray:
-    return _table_of("up", _P, n)
-
-
-def _inverse_powers(n: int) -> np.ndarray:
-    return _table_of("down", _Q, n)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            nodes, out = [], []
+            for t, places in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                words = split_words(t)
+                for p in places:
+                    nodes.append(p["node"])
+                    out.append(b" ".join(words[p["start"] : p["start"] + p["n"]]))
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), pa.array(out, pa.binary())], names=["node", "w"])
+
+    places = asked.groupBy("key").agg(F.collect_list(F.struct("start", "n", "node")).alias("places"))
+    return _keyed(docs, doc_id, text).join(places, "key").select("t", "places").mapInArrow(run, "node binary, w binary").dropDuplicates(["node"])
+
+
+def _keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    return docs.select(row_key(F.col(quoted(doc_id)), F.col(quoted(text))).alias("key"), F.col(quoted(text)).alias("t"))
+
+
+def classified(docs: DataFrame, scratch: Scratch, doc_id: str = "doc_id", text: str = "text", least: float = SIMILARITY) -> DataFrame:
+    """(doc_id, key, start, n, line, first) of the paragraphs in a class of several documents; ``first``: its first place."""
+    found = scratch.table(paragraphs(docs, doc_id, text))
+    n_rows = found.count()
+    places = scratch.table(_shared_places(found), scratch.tasks(n_rows))
+    scratch.drop(found)
+    several = places.groupBy("bucket").agg(F.min("node").alias("least"), F.max("node").alias("most")).filter("least != most").select("bucket", F.struct(F.col("least").alias("node"), F.lit(1).alias("n")).alias("first"))
+    members = scratch.table(places.join(several, "bucket").select("bucket", "node", F.lit(1).alias("n"), "first").distinct(), scratch.tasks(n_rows))
+    asked = places.join(members.select("node").distinct(), "node").groupBy("node").agg(F.min(F.struct("key", "start", "n")).alias("p")).select("p.*", "node")
+    payload = scratch.table(_words_of(docs, asked, doc_id, text), scratch.tasks(n_rows))
+    roots, _ = link_classes(members, payload, rule(least), scratch)
+    of = places.drop("bucket").distinct().join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    of = scratch.table(of.drop("node"), scratch.tasks(n_rows))
+    scratch.drop(places, members, payload)
+    first = of.groupBy("root").agg(F.min(F.struct("doc_id", "key", "start")).alias("first"), F.max(F.struct("doc_id", "key")).alias("last")).filter(F.col("first.key") != F.col("last.key"))
+    return scratch.table(of.join(first.select("root", "first"), "root").drop("root"), scratch.tasks(n_rows))
 
 
 def _around(docs: DataFrame, asked: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(row, start, end, words_before, words_after): the words next to each stretch asked for, nearest first, as 32-bit hashes."""
+    """(key, start, end, before, after): the words next to each stretch asked for, nearest first, as 64-bit hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, texts, places = (c.to_pylist() for c in batch.columns)
-            for lo, hi in pieces(texts):
+            keys, texts, places = (c.to_pylist() for c in batch.columns)
+            for lo, hi in pieces(texts, TOGETHER):
                 words, bounds = hashed_words(texts[lo:hi])
                 out = []
                 for k in range(hi - lo):
-                    w = words[bounds[k] : bounds[k + 1]].astype(np.uint32)
-                    out += [(rows[lo + k], p["start"], p["end"], w[max(0, p["start"] - REACH) : p["start"]][::-1].tobytes(), w[p["end"] : p["end"] + REACH].tobytes()) for p in places[lo + k]]
-                if out:
-                    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["row", "start", "end", "words_before", "words_after"])
+                    w = words[bounds[k] : bounds[k + 1]]
+                    out += [(keys[lo + k], p["start"], p["end"], w[max(0, p["start"] - REACH) : p["start"]][::-1].tobytes(), w[p["end"] : p["end"] + REACH].tobytes()) for p in places[lo + k]]
+                kinds = (pa.binary(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["key", "start", "end", "before", "after"])
+
+    places = asked.groupBy("key").agg(F.collect_set(F.struct("start", "end")).alias("places"))
+    found = _keyed(docs, doc_id, text).join(places, "key").select("key", "t", "places").mapInArrow(run, "key binary, start int, end int, before binary, after binary")
+    return found.dropDuplicates(["key", "start", "end"])
 
-    places = asked.groupBy("row").agg(F.collect_set(F.struct("start", "end")).alias("places"))
-    texts = _rows(docs, doc_id, text).select(F.xxhash64(F.col("doc_id").cast("string"), "t").alias("row"), "t")
-    found = texts.join(places, "row").mapInArrow(run, "row long, start int, end int, words_before binary, words_after binary")
-    return found.dropDuplicates(["row", "start", "end"])
+
+def _merged(runs: DataFrame, *by: str) -> DataFrame:
+    """Stretches (start, end) with equal ``by`` that overlap or adjoin, as one."""
+    line = Window.partitionBy(*by).orderBy("start", "end")
+    before = F.max("end").over(line.rowsBetween(Window.unboundedPreceding, -1))
+    islands = runs.withColumn("new", F.coalesce(F.col("start") > before, F.lit(True)).cast("int")).withColumn("run", F.sum("new").over(line.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    return islands.groupBy(*by, "run").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("run")
 
 
 def _grown(runs: DataFrame, docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """``runs`` with ``left`` and ``right``: how many words more agree with the first occurrence, of the removed ones."""
-    removed = runs.filter("removed").withColumn("end", (F.col("start") + F.col("n")).cast("int")).withColumn("first_end", (F.col("first_start") + F.col("n")).cast("int"))
-    asked = removed.select("row", "start", "end").union(removed.select("first_row", "first_start", "first_end")).distinct()
+    """``runs`` (key, first_key, shift, start, end), carried on as far as the words agree with the first occurrence."""
+    there = lambda name: (F.col(name) - F.col("shift")).cast("int")
+    asked = runs.select("key", "start", "end").union(runs.select("first_key", there("start"), there("end"))).distinct()
     near = _around(docs, asked, doc_id, text)
-    both = removed.join(near, ["row", "start", "end"]).join(near.select(F.col("row").alias("first_row"), F.col("start").alias("first_start"), F.col("end").alias("first_end"), F.col("words_before").alias("b"), F.col("words_after").alias("a")), ["first_row", "first_start", "first_end"])
+    ours = runs.withColumn("first_start", there("start")).withColumn("first_end", there("end")).join(near, ["key", "start", "end"])
+    theirs = near.select(F.col("key").alias("first_key"), F.col("start").alias("first_start"), F.col("end").alias("first_end"), F.col("before").alias("b"), F.col("after").alias("a"))
+    kept = ["doc_id", "key", "first", "first_key", "shift"]
 
     def agree(x: bytes, y: bytes) -> int:
-        n = min(len(x), len(y)) // 4
-        differ = np.flatnonzero(np.frombuffer(x, np.uint32, n) != np.frombuffer(y, np.uint32, n))
+        n = min(len(x), len(y)) // 8
+        differ = np.flatnonzero(np.frombuffer(x, np.uint64, n) != np.frombuffer(y, np.uint64, n))
         return int(differ[0]) if differ.size else n
 
-    kept = [c for c in removed.columns if c not in ("end", "first_end")]
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            before, b, after, a = (batch.column(c).to_pylist() for c in ("words_before", "b", "words_after", "a"))
-            ends = [pa.array([agree(x, y) for x, y in zip(*c, strict=True)], pa.int32()) for c in ((before, b), (after, a))]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *ends], names=[*kept, "left", "right"])
+            before, b, after, a = (batch.column(c).to_pylist() for c in ("before", "b", "after", "a"))
+            left, right = (np.array([agree(x, y) for x, y in zip(*c, strict=True)], np.int32) for c in ((before, b), (after, a)))
+            ends = [pa.array(batch.column("start").to_numpy() - left), pa.array(batch.column("end").to_numpy() + right)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *ends], names=[*kept, "start", "end"])
 
-    schema = runs.select(*kept, F.lit(0).alias("left"), F.lit(0).alias("right")).schema
-    return both.select(*kept, "words_before", "b", "words_after", "a").mapInArrow(run, schema)
-
-
-def passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: int = PASSAGE_WORDS) -> DataFrame:
-    """(doc_id, start, n, class_id, removed): stretches that stand in several documents.
-
-    Repeated blocks that adjoin count if they have ``least`` words or more together. They are one stretch as far as
-    they follow one occurrence: ``class_id``, the first document that holds them; ``removed``: that is another place.
-    A removed stretch is as long as it agrees with its first occurrence word by word, at most ``REACH`` words into the
-    stretch beside it, and the first occurrence as long as the longest of those. So stretches may overlap.
-    """
-    scratch = Scratch(docs.sparkSession, "passages")
-    all_blocks = blocks(docs, doc_id, text)
-    place = F.struct("doc_id", "row", "start")
-    repeated = all_blocks.groupBy("hash").agg(F.min(place).alias("first"), F.max(F.struct("doc_id", "row")).alias("last")).filter((F.col("first.row") != F.col("last.row")) | ~F.col("first.doc_id").eqNullSafe(F.col("last.doc_id")))
-    found = all_blocks.join(repeated.select("hash", "first"), "hash").select(
-        "doc_id", "row", "start", "n", F.col("first.doc_id").alias("class_id"), F.col("first.row").alias("first_row"), F.col("first.start").alias("first_start"), (~place.eqNullSafe(F.col("first"))).alias("removed")
-    )
-    found = found.distinct()
-    line = Window.partitionBy("doc_id", "row").orderBy("start")
-    apart = F.coalesce(F.lag(F.col("start") + F.col("n")).over(line) != F.col("start"), F.lit(True))
-    of = F.struct("removed", "first_row", F.col("start") - F.col("first_start"))
-    other = apart | F.coalesce(F.lag(of).over(line) != of, F.lit(True))
-    so_far = line.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    runs = found.withColumn("stretch", F.sum(apart.cast("int")).over(so_far)).withColumn("run", F.sum(other.cast("int")).over(so_far))
-    runs = runs.groupBy("doc_id", "row", "stretch", "run").agg(F.min("start").alias("start"), F.sum("n").alias("n"), F.first("class_id").alias("class_id"), F.first("first_row").alias("first_row"), F.min("first_start").alias("first_start"), F.first("removed").alias("removed"))
-    runs = runs.withColumn("whole", F.sum("n").over(Window.partitionBy("doc_id", "row", "stretch"))).filter(F.col("whole") >= least)
-    runs = scratch.table(runs.select("doc_id", "row", "start", "n", "class_id", "first_row", "first_start", "removed"))
-    grown = scratch.table(_grown(runs, docs, doc_id, text))
-    end = F.col("start") + F.col("n")
-    left = grown.groupBy(F.col("first_row").alias("row"), F.col("first_start").alias("start")).agg(F.max("left").alias("left"))
-    right = grown.groupBy(F.col("first_row").alias("row"), (F.col("first_start") + F.col("n")).alias("end")).agg(F.max("right").alias("right"))
-    firsts = runs.filter("not removed").withColumn("end", end).join(left, ["row", "start"], "left").join(right, ["row", "end"], "left")
-    firsts = firsts.withColumn("left", F.coalesce("left", F.lit(0))).withColumn("right", F.coalesce("right", F.lit(0)))
-    out = grown.unionByName(firsts.select(*grown.columns))
-    return out.select("doc_id", (F.col("start") - F.col("left")).cast("long").alias("start"), (F.col("n") + F.col("left") + F.col("right")).cast("long").alias("n"), "class_id", "removed")
-
-
-def lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least_words: int = LINE_WORDS) -> DataFrame:
-    """(doc_id, start, n, node, sketches, w) of every line with ``least_words`` words or more; ``start`` in words."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, texts = (c.to_pylist() for c in batch.columns)
-            for lo, hi in pieces(texts):
-                cut = [(t or "").split("\n") for t in texts[lo:hi]]
-                words, bounds = hashed_words([x for c in cut for x in c])
-                owner = np.repeat(np.arange(lo, hi), [len(c) for c in cut])
-                first = np.repeat(bounds[np.cumsum([0, *(len(c) for c in cut[:-1])])], [len(c) for c in cut])
-                keep = np.flatnonzero(np.diff(bounds) >= least_words)
-                w = [words[bounds[i] : bounds[i + 1]] for i in keep]
-                short = [x.astype(np.uint32).tobytes() for x in w]
-                cols = [
-                    pa.array([ids[owner[i]] for i in keep], pa.int64()), pa.array(bounds[keep] - first[keep], pa.int64()), pa.array([x.size for x in w], pa.int64()),
-                    pa.array([blake2b(x.tobytes(), digest_size=16).digest() for x in w], pa.binary()), pa.array([bands(x) for x in w], pa.list_(pa.int64())), pa.array(short, pa.binary()),
-                ]
-                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "start", "n", "node", "sketches", "w"])
-
-    return _rows(docs, doc_id, text).mapInArrow(run, "doc_id long, start long, n long, node binary, sketches array<long>, w binary")
-
-
-def near_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: float = SIMILARITY) -> DataFrame:
-    """(doc_id, start, n, class_id, removed) of every line in a class of lines of several documents."""
-    scratch = Scratch(docs.sparkSession, "substring-dedup")
-    rows = scratch.table(lines(docs, doc_id, text))
-    nodes = rows.groupBy("node").agg(F.first("sketches").alias("sketches"), F.first("w").alias("w"))
-    n_rows = rows.count()
-    buckets = shared_buckets(nodes, scratch, n_rows)
-    payload = scratch.table(rows.select("node", "w").join(buckets.select("node").distinct(), "node").dropDuplicates(["node"]), scratch.tasks(n_rows))
-    roots, _ = link_classes(buckets, payload, rule(least), scratch)
-    of = rows.select("doc_id", "start", "n", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    place = F.struct("doc_id", "start")
-    first = of.groupBy("root").agg(F.min(place).alias("first"), F.max("doc_id").alias("last")).filter(F.col("first.doc_id") < F.col("last"))
-    return of.join(first, "root").select("doc_id", "start", "n", F.col("first.doc_id").alias("class_id"), (place != F.col("first")).alias("removed"))
+    both = ours.join(theirs, ["first_key", "first_start", "first_end"]).select(*kept, "start", "end", "before", "b", "after", "a")
+    return both.mapInArrow(run, runs.select(*kept, "start", "end").schema)
 
 
 def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, kind, start_word, n_words, class_id, removed): what several documents share, as lines and as passages.
 
-    Words are lower-cased runs of letters and digits; ``start_word`` counts from 0. Documents that share nothing have
-    no row; null and empty texts and an empty table give none. Rows that repeat a doc_id and its text are one
-    document; a null doc_id is told apart by its text in passages and takes no part in lines. All of a text is covered.
+    Words are lower-cased runs of letters and digits; ``start_word`` counts from 0. ``class_id``: the first document that
+    holds it; ``removed``: that is another place. A removed passage is as long as it agrees word by word with its first
+    occurrence, which has a row of its own; passages of different first occurrences may overlap. Documents that share
+    nothing have no row; null and empty texts and an empty table give none. Rows that repeat a doc_id and its text are one
+    document; null doc_ids are told apart by their texts, and come first. Texts are covered whole, whatever their length.
     """
-    some = docs.filter(F.col(quoted(doc_id)).isNotNull())
-    found = [("line", near_lines(some, doc_id, text)), ("passage", passages(docs, doc_id, text))]
-    parts = [f.select("doc_id", F.lit(kind).alias("kind"), F.col("start").alias("start_word"), F.col("n").alias("n_words"), "class_id", "removed") for kind, f in found]
-    return parts[0].distinct().union(parts[1])
+    scratch = Scratch(docs.sparkSession, "substring-dedup")
+    found = classified(docs, scratch, doc_id, text)
+    place = F.struct("doc_id", "key", "start")
+    shown = lambda df, kind, removed: df.select("doc_id", F.lit(kind).alias("kind"), F.col("start").cast("long").alias("start_word"), (F.col("end") - F.col("start")).cast("long").alias("n_words"), "class_id", removed.alias("removed"))
+    end = (F.col("start") + F.col("n")).alias("end")
+    lines = shown(found.filter("line").select("doc_id", "key", "start", end, F.col("first.doc_id").alias("class_id"), "first"), "line", ~place.eqNullSafe(F.col("first")))
+    windows = found.filter(~F.col("line") & (F.col("key") != F.col("first.key"))).select("doc_id", "key", "start", end, F.col("first.doc_id").alias("first"), F.col("first.key").alias("first_key"), (F.col("start") - F.col("first.start")).alias("shift"))
+    by = ["doc_id", "key", "first", "first_key", "shift"]
+    grown = scratch.table(_merged(_grown(scratch.table(_merged(windows, *by)), docs, doc_id, text), *by))
+    passages = grown.withColumn("class_id", F.col("first"))
+    mirrored = grown.select(F.col("first").alias("doc_id"), F.col("first_key").alias("key"), (F.col("start") - F.col("shift")).alias("start"), (F.col("end") - F.col("shift")).alias("end")).distinct()
+    firsts = _merged(mirrored, "doc_id", "key").withColumn("class_id", F.col("doc_id"))
+    return lines.union(shown(passages, "passage", F.lit(True))).union(shown(firsts, "passage", F.lit(False)))
