@@ -14,6 +14,7 @@ square of its blocks, and are dealt out one by one. What is passed on are tables
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -26,7 +27,7 @@ from .components import components
 from .shared import Scratch
 
 #: Members of a block, about.
-BLOCK = 256
+BLOCK = 512
 #: Features that are counted together.
 _COLUMNS = 8192
 
@@ -136,8 +137,21 @@ def cell_links(bucket: int, rows: list[tuple], rule: Rule) -> list[tuple[bytes,
 
 
 def remaining(members: DataFrame, roots: DataFrame, payload: DataFrame, rule: Rule, scratch: Scratch) -> DataFrame:
-    """Links (a, b) by which all similar pairs that share a bucket are joined. ``members``: (bucket, node)."""
-    placed = members.join(roots, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
+    """Links (a, b) by which all similar pairs that share a bucket are joined. ``members``: (bucket, node, n).
+
+    Buckets are split by size first: similar items are of one size class or of neighbouring ones. Only parts with several
+    components are left.
+    """
+    placed = members.join(roots, "node", "left").select("bucket", "node", "n", F.coalesce("root", "node").alias("root"))
+    size_class = F.floor(F.log(F.col("n").cast("double")) / math.log(1 / rule.ratio + 1e-6)) if rule.ratio else F.lit(0).cast("long")
+    placed = placed.withColumn("class", size_class)
+    line, mix = Window.partitionBy("bucket").orderBy("class"), lambda o: F.least("low", o["low"]) != F.greatest("high", o["high"])
+    by_class = placed.groupBy("bucket", "class").agg(F.min("root").alias("low"), F.max("root").alias("high"))
+    by_class = by_class.withColumn("up", F.lead(F.struct("class", "low", "high")).over(line)).withColumn("down", F.lag(F.struct("class", "low", "high")).over(line))
+    lower = (F.col("low") != F.col("high")) | ((F.col("up.class") == F.col("class") + 1) & mix(F.col("up")))
+    upper = (F.col("down.class") == F.col("class") - 1) & mix(F.col("down"))
+    parts = by_class.select("bucket", "class", F.array_compact(F.array(F.when(upper, F.col("class")), F.when(lower, F.col("class") + 1))).alias("parts")).filter(F.size("parts") > 0)
+    placed = placed.join(parts, ["bucket", "class"]).select("bucket", "node", "root", F.explode("parts").alias("part")).select(F.xxhash64("bucket", "part").alias("bucket"), "node", "root")
     major = placed.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("of_root")).groupBy("bucket").agg(F.max(F.struct("of_root", "root")).alias("major"), F.sum("of_root").alias("n"), F.count(F.lit(1)).alias("n_roots")).filter("n_roots > 1")
     whole = F.col("n") <= BLOCK
     major = major.select(
@@ -182,10 +196,10 @@ def link_classes(members: DataFrame, payload: DataFrame, rule: Rule, scratch: Sc
     fits = (F.col("n") >= rule.ratio * F.col("first.n") - 1e-6) & (F.col("first.n") >= rule.ratio * F.col("n") - 1e-6)
     pairs = members.filter((F.col("node") != F.col("first.node")) & fits).select(F.col("first.node").alias("a"), F.col("node").alias("b"))
     pairs = scratch.table(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    size = scratch.tasks(pairs.count())
+    size = scratch.tasks(pairs.count(), 4000)
     links = scratch.table(verified(pairs, payload, rule), size)
     roots = components(links, scratch, tasks=size)
-    found = scratch.table(remaining(members.select("bucket", "node").distinct(), roots, payload, rule, scratch), size)
+    found = scratch.table(remaining(members.select("bucket", "node", "n").distinct(), roots, payload, rule, scratch), size)
     if found.isEmpty():
         return roots, links
     return components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(found), scratch, tasks=size), links.union(found)
