@@ -57,13 +57,11 @@ def combined(keys: np.ndarray, owners: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return first, several
 
 
-def shared_buckets(own: DataFrame, *node: str) -> DataFrame:
-    """(bucket, *node, first) of the buckets that several nodes are in. ``own``: (bucket, *node, ...); repeats are let be."""
-    line = Window.partitionBy("bucket").orderBy(*node)
-    this = F.struct(*node)
-    so_far = line.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = own.withColumn("first", F.first(F.struct(*[c for c in own.columns if c != "bucket"])).over(so_far)).withColumn("_before", F.lag(this).over(line)).withColumn("_after", F.lead(this).over(line))
-    return rows.filter((F.col("_before") != this) | (F.col("_after") != this)).drop("_before", "_after")
+def shared_buckets(own: DataFrame, owner: str, *more: str) -> DataFrame:
+    """(bucket, owner, *more, first) of the buckets that several owners are in; ``first``: the least (owner, *more)."""
+    bucket = Window.partitionBy("bucket")
+    rows = own.withColumn("first", F.min(F.struct(owner, *more)).over(bucket)).withColumn("_last", F.max(owner).over(bucket))
+    return rows.filter(F.col(f"first.{owner}") != F.col("_last")).drop("_last")
 
 
 def verified(pairs: DataFrame, payload: DataFrame, rule: Rule) -> DataFrame:

@@ -194,7 +194,7 @@ def _node_words(docs: DataFrame, wanted: DataFrame, doc_id: str, text: str) -> D
 
 def _members(rows: DataFrame) -> DataFrame:
     """(bucket, node, n, first) of every sketch that several nodes have."""
-    own = shared_buckets(rows.select("node", "n", F.explode("own").alias("bucket")).select("bucket", "node", "n"), "node")
+    own = shared_buckets(rows.select("node", "n", F.explode("own").alias("bucket")).select("bucket", "node", "n"), "node", "n")
     local = rows.select("node", "n", F.explode("local").alias("l")).select("l.bucket", "node", "n", F.struct(F.col("l.leader").alias("node"), F.col("l.leader_n").alias("n")).alias("first"))
     return own.unionByName(local)
 

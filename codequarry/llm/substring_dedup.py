@@ -118,8 +118,8 @@ _LOCAL = StructType().add("bucket", LongType()).add("i", IntegerType()).add("lea
 def paragraphs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(rid, doc_id, key, starts, sizes, lines, nodes, own, local) of every row; paragraph ``i`` is the i-th of each list.
 
-    ``nodes``: 16 bytes of digest for each paragraph. ``own`` has the bands of the paragraphs that stand for their band
-    among the rows of a batch; ``local`` those that several paragraphs have, with the one that stands for them.
+    ``nodes``: 16 bytes of digest for each paragraph. ``own`` has the bands that one row of a batch has, and the
+    paragraphs that stand for theirs; ``local`` those that several rows have, with the paragraph that stands for them.
     """
     base = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(quoted(doc_id)).cast("long").alias("doc_id"), row_key(F.col(quoted(doc_id)), F.col(quoted(text))).alias("key"), F.col(quoted(text)).alias("t"))
     schema = base.drop("t").schema.add("starts", ArrayType(IntegerType())).add("sizes", ArrayType(IntegerType())).add("lines", ArrayType(BooleanType())).add("nodes", BinaryType()).add("own", ArrayType(_PLACE)).add("local", ArrayType(_LOCAL))
@@ -138,8 +138,8 @@ def paragraphs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
             rows = np.searchsorted(of, np.arange(len(texts) + 1))
             i = np.arange(of.size) - rows[:-1][of]
             keys, owners = keys.ravel(), np.repeat(np.arange(of.size), BANDS)
-            first, several = combined(keys, owners)
-            own, lead = first == np.arange(keys.size), owners[first[several]]
+            first, several = combined(keys, of[owners])
+            own, lead = ~several | (first == np.arange(keys.size)), owners[first[several]]
             ints = lambda x: pa.array(x.astype(np.int32))
             places = pa.StructArray.from_arrays([pa.array(keys[own]), ints(i[owners[own]])], names=["bucket", "i"])
             local = pa.StructArray.from_arrays([pa.array(keys[several]), ints(i[owners[several]]), pa.array(rids[of[lead]]), ints(i[lead])], names=["bucket", "i", "leader", "leader_i"])
@@ -154,7 +154,7 @@ def paragraphs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
 
 
 def _shared_places(found: DataFrame) -> DataFrame:
-    """(bucket, doc_id, key, start, n, line, node) of the paragraphs that share a band with another, once for each band."""
+    """(bucket, doc_id, key, start, n, line, node) of the paragraphs that share a band with one of another row, once for each band."""
     own = shared_buckets(found.select("rid", F.explode("own").alias("o")).select("o.bucket", "rid", "o.i"), "rid", "i").select("bucket", "rid", "i")
     local = found.select("rid", F.explode("local").alias("l")).select("l.bucket", "rid", "l.i")
     of_row = own.union(local).groupBy("rid").agg(F.collect_set(F.struct("bucket", "i")).alias("places"))
