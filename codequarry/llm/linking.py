@@ -28,6 +28,8 @@ from .shared import Scratch
 
 #: Members of a block, about.
 BLOCK = 512
+#: So many pairs are verified without counting common features first.
+FEW = 16
 #: Features that are counted together.
 _COLUMNS = 8192
 
@@ -35,11 +37,12 @@ _COLUMNS = 8192
 @dataclass(frozen=True)
 class Rule:
     """``similar`` tells whether two items are; ``possible`` whether they may be, from the number of their common
-    ``features`` (distinct ones) and of each one's features, over arrays. It may not refuse a pair that is similar.
-    Items are given as ``read`` makes them from their binary payload. Sizes of similar items differ by ``ratio`` at most."""
+    features (distinct ones) and of each one's features, over arrays. It may not refuse a pair that is similar.
+    ``features`` are made for a list of items at once. Items are given as ``read`` makes them from their binary payload.
+    Sizes of similar items differ by ``ratio`` at most."""
 
     similar: Callable[[object, object], bool]
-    features: Callable[[object], np.ndarray]
+    features: Callable[[list], list[np.ndarray]]
     possible: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]
     read: Callable[[bytes], object]
     ratio: float
@@ -108,14 +111,17 @@ def cell_links(bucket: int, rows: list[tuple], rule: Rule) -> list[tuple[bytes,
     single = not right
     right = right or left
     items = {r[0]: rule.read(r[4]) for r in rows}
-    of = {node: rule.features(x) for node, x in items.items()}
-    features = [[of[r[0]] for r in side] for side in (left, right)]
-    common = overlaps(*features)
-    sizes = [np.array([f.size for f in side]) for side in features]
-    _, root = np.unique(np.array([r[1].hex() for r in (*left, *right)]), return_inverse=True)
-    ask = rule.possible(common, sizes[0][:, None], sizes[1][None, :]) & (root[: len(left), None] != root[None, len(left) :])
+    root = [np.array([r[1].hex() for r in side]) for side in (left, right)]
+    ask = root[0][:, None] != root[1][None, :]
     if single:
         ask = np.triu(ask, 1)
+    common = np.zeros(ask.shape)
+    if ask.sum() > FEW:
+        of = dict(zip(items, rule.features(list(items.values())), strict=True))
+        features = [[of[r[0]] for r in side] for side in (left, right)]
+        common = overlaps(*features)
+        sizes = [np.array([f.size for f in side]) for side in features]
+        ask &= rule.possible(common, sizes[0][:, None], sizes[1][None, :])
     parent: dict[bytes, bytes] = {}
 
     def find(x: bytes) -> bytes:

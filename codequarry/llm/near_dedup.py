@@ -123,14 +123,15 @@ def similar(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> bool:
     most = int((1 - least) * longer + 1e-9)
     if longer == 0 or abs(a.size - b.size) > most:
         return longer == 0
-    common = np.intersect1d(_features(a), _features(b), assume_unique=True).size
+    common = np.intersect1d(*_features([a, b]), assume_unique=True).size
     if longer - common > most:
         return False
     return any(distance_within(a, b, m) <= m for m in (most // 16, most // 4) if m >= 8) or distance_within(a, b, most) <= most
 
 
-def _features(words: np.ndarray) -> np.ndarray:
-    return labelled(words.astype(np.uint64), np.array([0, words.size]))
+def _features(items: list[np.ndarray]) -> list[np.ndarray]:
+    bounds = np.cumsum([0, *(w.size for w in items)])
+    return np.split(labelled(np.concatenate(items).astype(np.uint64), bounds), bounds[1:-1])
 
 
 def rule(least: float = SIMILARITY) -> Rule:

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, BooleanType, IntegerType, LongType, StructType
 
 from .decontaminate import pieces, split_words
-from .hashing import hashed_words, kmers, mixed
+from .hashing import hashed_words, kmers, mixed, text_kmers
 from .linking import Rule, combined, link_classes, shared_buckets
 from .shared import Scratch, quoted, row_key
 
@@ -70,7 +70,11 @@ def jaccard(a: bytes, b: bytes) -> float:
 
 
 def rule(least: float = SIMILARITY) -> Rule:
-    return Rule(lambda a, b: jaccard(a, b) >= least, lambda w: np.unique(kmers(hashed_words([w.decode("utf-8", "surrogatepass")])[0], SHINGLE)), lambda common, a, b: common >= least * (a + b - common) - 1e-6, bytes, 0.0)
+    def features(items: list[bytes]) -> list[np.ndarray]:
+        grams, bounds = text_kmers(*hashed_words([w.decode("utf-8", "surrogatepass") for w in items]), SHINGLE)
+        return [np.unique(g) for g in np.split(grams, bounds[1:-1])]
+
+    return Rule(lambda a, b: jaccard(a, b) >= least, features, lambda common, a, b: common >= least * (a + b - common) - 1e-6, bytes, 0.0)
 
 
 def window_starts(words: np.ndarray, bounds: np.ndarray) -> np.ndarray:
