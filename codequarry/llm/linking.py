@@ -143,14 +143,15 @@ def cell_links(bucket: int, rows: list[tuple], rule: Rule) -> list[tuple[bytes,
 def remaining(members: DataFrame, roots: DataFrame, payload: DataFrame, rule: Rule, scratch: Scratch) -> DataFrame:
     """Links (a, b) by which all similar pairs that share a bucket are joined. ``members``: (bucket, node, n).
 
-    Buckets are split by size first: similar items are of one size class or of neighbouring ones. Only parts with several
+    The pair of a bucket of two has been verified already. Larger buckets are split by size first: similar items are of one size class or of neighbouring ones. Only parts with several
     components are left.
     """
     placed = members.join(roots, "node", "left").select("bucket", "node", "n", F.coalesce("root", "node").alias("root"))
     size_class = F.floor(F.log(F.col("n").cast("double")) / math.log(1 / rule.ratio + 1e-6)) if rule.ratio else F.lit(0).cast("long")
     placed = placed.withColumn("class", size_class)
     line, mix = Window.partitionBy("bucket").orderBy("class"), lambda o: F.least("low", o["low"]) != F.greatest("high", o["high"])
-    by_class = placed.groupBy("bucket", "class").agg(F.min("root").alias("low"), F.max("root").alias("high"))
+    by_class = placed.groupBy("bucket", "class").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("of_class"))
+    by_class = by_class.withColumn("nodes", F.sum("of_class").over(Window.partitionBy("bucket"))).filter("nodes > 2")
     by_class = by_class.withColumn("up", F.lead(F.struct("class", "low", "high")).over(line)).withColumn("down", F.lag(F.struct("class", "low", "high")).over(line))
     lower = (F.col("low") != F.col("high")) | ((F.col("up.class") == F.col("class") + 1) & mix(F.col("up")))
     upper = (F.col("down.class") == F.col("class") - 1) & mix(F.col("down"))

@@ -24,6 +24,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from hashlib import blake2b
+from itertools import takewhile
 
 import numpy as np
 import pyarrow as pa
@@ -32,14 +33,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, BooleanType, IntegerType, LongType, StructType
 
 from .decontaminate import pieces, split_words
-from .hashing import hashed_words, kmers, mixed, text_kmers
+from .hashing import hashed_words, kmers, mixed
 from .linking import Rule, combined, link_classes, shared_buckets
 from .shared import Scratch, quoted, row_key
 
 LINE_WORDS, WINDOW_WORDS, GAP, SHINGLE, SIMILARITY = 20, 20, 32, 5, 0.8
 BANDS, ROWS = 3, 2
-#: Past this many words more that agree, another window would start.
-REACH = GAP + WINDOW_WORDS
+#: Words that a passage may have before its first whole window or after its last one.
+REACH = GAP
 #: Characters whose paragraphs are made together.
 TOGETHER = 1 << 19
 
@@ -63,18 +64,21 @@ def band_keys(words: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.nd
     return out.view(np.int64)
 
 
-def jaccard(a: bytes, b: bytes) -> float:
-    """Of the sets of 5-word shingles, word for word."""
-    x, y = ({tuple(w[i : i + SHINGLE]) for i in range(max(1, len(w) - SHINGLE + 1))} for w in (a.split(), b.split()))
-    return len(x & y) / len(x | y)
+def shingles(words: bytes) -> frozenset[tuple[bytes, ...]]:
+    """The 5-word shingles of a paragraph, given as words and blanks."""
+    w = words.split()
+    return frozenset(tuple(w[i : i + SHINGLE]) for i in range(max(1, len(w) - SHINGLE + 1)))
 
 
-def rule(least: float = SIMILARITY) -> Rule:
-    def features(items: list[bytes]) -> list[np.ndarray]:
-        grams, bounds = text_kmers(*hashed_words([w.decode("utf-8", "surrogatepass") for w in items]), SHINGLE)
-        return [np.unique(g) for g in np.split(grams, bounds[1:-1])]
+def jaccard(a: frozenset, b: frozenset) -> float:
+    common = len(a & b)
+    return common / (len(a) + len(b) - common)
+
 
-    return Rule(lambda a, b: jaccard(a, b) >= least, features, lambda common, a, b: common >= least * (a + b - common) - 1e-6, bytes, 0.0)
+def rule(least: float = SIMILARITY) -> Rule:
+    """Exact similarity of the shingles, word for word."""
+    features = lambda items: [np.fromiter(map(hash, x), np.int64, len(x)) for x in items]
+    return Rule(lambda a, b: jaccard(a, b) >= least, features, lambda common, a, b: common >= least * (a + b - common) - 1e-6, shingles, 0.0)
 
 
 def window_starts(words: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -194,36 +198,38 @@ def classified(docs: DataFrame, scratch: Scratch, doc_id: str = "doc_id", text:
     n_rows = found.count()
     places = scratch.table(_shared_places(found), scratch.tasks(n_rows))
     scratch.drop(found)
-    several = places.groupBy("bucket").agg(F.min("node").alias("least"), F.max("node").alias("most")).filter("least != most").select("bucket", F.struct(F.col("least").alias("node"), F.lit(1).alias("n")).alias("first"))
-    members = scratch.table(places.join(several, "bucket").select("bucket", "node", F.lit(1).alias("n"), "first").distinct(), scratch.tasks(n_rows))
-    asked = places.join(members.select("node").distinct(), "node").groupBy("node").agg(F.min(F.struct("key", "start", "n")).alias("p")).select("p.*", "node")
+    bucket = Window.partitionBy("bucket")
+    sharing = places.select("bucket", "node").withColumn("least", F.min("node").over(bucket)).withColumn("most", F.max("node").over(bucket)).filter("least != most")
+    members = scratch.table(sharing.select("bucket", "node", F.lit(1).alias("n"), F.struct(F.col("least").alias("node"), F.lit(1).alias("n")).alias("first")).distinct(), scratch.tasks(n_rows))
+    # a node however common is summed up before it meets anything
+    per_node = places.groupBy("node").agg(F.min(F.struct("doc_id", "key", "start")).alias("first"), F.max(F.struct("doc_id", "key")).alias("last"), F.min(F.struct("key", "start", "n")).alias("p"))
+    per_node = scratch.table(per_node, scratch.tasks(n_rows))
+    asked = per_node.join(members.select("node").distinct(), "node", "left_semi").select("p.*", "node")
     payload = scratch.table(_words_of(docs, asked, doc_id, text), scratch.tasks(n_rows))
     roots, _ = link_classes(members, payload, rule(least), scratch)
-    of = places.drop("bucket").distinct().join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    of = scratch.table(of.drop("node"), scratch.tasks(n_rows))
-    scratch.drop(places, members, payload)
-    first = of.groupBy("root").agg(F.min(F.struct("doc_id", "key", "start")).alias("first"), F.max(F.struct("doc_id", "key")).alias("last")).filter(F.col("first.key") != F.col("last.key"))
-    return scratch.table(of.join(first.select("root", "first"), "root").drop("root"), scratch.tasks(n_rows))
+    rooted = per_node.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "first", "last")
+    classes = rooted.groupBy("root").agg(F.min("first").alias("first"), F.max("last").alias("last")).filter(F.col("first.key") != F.col("last.key"))
+    wanted = scratch.table(rooted.select("node", "root").join(classes, "root").select("node", "first"), scratch.tasks(n_rows))
+    out = scratch.table(places.drop("bucket").distinct().join(wanted, "node").drop("node"), scratch.tasks(n_rows))
+    scratch.drop(places, members, per_node, payload, wanted)
+    return out
 
 
 def _around(docs: DataFrame, asked: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(key, start, end, before, after): the words next to each stretch asked for, nearest first, as 64-bit hashes."""
+    """(key, start, end, before, after): the ``REACH`` words next to each stretch asked for, nearest first, separated by blanks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, texts, places = (c.to_pylist() for c in batch.columns)
-            for lo, hi in pieces(texts, TOGETHER):
-                words, bounds = hashed_words(texts[lo:hi])
-                out = []
-                for k in range(hi - lo):
-                    w = words[bounds[k] : bounds[k + 1]]
-                    out += [(keys[lo + k], p["start"], p["end"], w[max(0, p["start"] - REACH) : p["start"]][::-1].tobytes(), w[p["end"] : p["end"] + REACH].tobytes()) for p in places[lo + k]]
-                kinds = (pa.binary(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
+            out = []
+            for key, t, places in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                w = split_words(t)
+                out += [(key, p["start"], p["end"], b" ".join(w[max(0, p["start"] - REACH) : p["start"]][::-1]), b" ".join(w[p["end"] : p["end"] + REACH])) for p in places]
+            kinds = (pa.binary(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
+            if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["key", "start", "end", "before", "after"])
 
     places = asked.groupBy("key").agg(F.collect_set(F.struct("start", "end")).alias("places"))
-    found = _keyed(docs, doc_id, text).join(places, "key").select("key", "t", "places").mapInArrow(run, "key binary, start int, end int, before binary, after binary")
-    return found.dropDuplicates(["key", "start", "end"])
+    return _keyed(docs, doc_id, text).join(places, "key").select("key", "t", "places").mapInArrow(run, "key binary, start int, end int, before binary, after binary").dropDuplicates(["key", "start", "end"])
 
 
 def _merged(runs: DataFrame, *by: str) -> DataFrame:
@@ -244,9 +250,9 @@ def _grown(runs: DataFrame, docs: DataFrame, doc_id: str, text: str) -> DataFram
     kept = ["doc_id", "key", "first", "first_key", "shift"]
 
     def agree(x: bytes, y: bytes) -> int:
-        n = min(len(x), len(y)) // 8
-        differ = np.flatnonzero(np.frombuffer(x, np.uint64, n) != np.frombuffer(y, np.uint64, n))
-        return int(differ[0]) if differ.size else n
+        if x == y:
+            return len(x.split())
+        return sum(1 for _ in takewhile(lambda p: p[0] == p[1], zip(x.split(), y.split(), strict=False)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

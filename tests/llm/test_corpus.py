@@ -258,7 +258,7 @@ def test_bands_recall(alike, least):
             c = list(b)
             at = rng.randrange(200)
             c[at] = "x" + c[at]
-            if substring_dedup.jaccard(" ".join(a).encode(), " ".join(c).encode()) < alike:
+            if substring_dedup.jaccard(*(substring_dedup.shingles(" ".join(t).encode()) for t in (a, c))) < alike:
                 break
             b = c
         ws, bounds = near_dedup.hashed_words([" ".join(a), " ".join(b)])
