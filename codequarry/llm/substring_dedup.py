@@ -193,7 +193,10 @@ def _keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 
 def classified(docs: DataFrame, scratch: Scratch, doc_id: str = "doc_id", text: str = "text", least: float = SIMILARITY) -> DataFrame:
-    """(doc_id, key, start, n, line, first) of the paragraphs in a class of several documents; ``first``: its first place."""
+    """(doc_id, key, start, n, line, first, source) of the paragraphs in a class of several documents.
+
+    ``first``: its first place; ``source``: that, or the place of the same document where the paragraph stands word for word.
+    """
     found = scratch.table(paragraphs(docs, doc_id, text))
     n_rows = found.count()
     places = scratch.table(_shared_places(found), scratch.tasks(n_rows))
@@ -209,7 +212,10 @@ def classified(docs: DataFrame, scratch: Scratch, doc_id: str = "doc_id", text:
     roots, _ = link_classes(members, payload, rule(least), scratch)
     rooted = per_node.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "first", "last")
     classes = rooted.groupBy("root").agg(F.min("first").alias("first"), F.max("last").alias("last")).filter(F.col("first.key") != F.col("last.key"))
-    wanted = scratch.table(rooted.select("node", "root").join(classes, "root").select("node", "first"), scratch.tasks(n_rows))
+    # in the first document itself, the place with the very words
+    source = F.when(F.col("own.key") == F.col("first.key"), F.col("own")).otherwise(F.col("first"))
+    wanted = rooted.select("node", "root", F.col("first").alias("own")).join(classes, "root").select("node", "first", source.alias("source"))
+    wanted = scratch.table(wanted, scratch.tasks(n_rows))
     out = scratch.table(places.drop("bucket").distinct().join(wanted, "node").drop("node"), scratch.tasks(n_rows))
     scratch.drop(places, members, per_node, payload, wanted)
     return out
@@ -280,7 +286,7 @@ def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     shown = lambda df, kind, removed: df.select("doc_id", F.lit(kind).alias("kind"), F.col("start").cast("long").alias("start_word"), (F.col("end") - F.col("start")).cast("long").alias("n_words"), "class_id", removed.alias("removed"))
     end = (F.col("start") + F.col("n")).alias("end")
     lines = shown(found.filter("line").select("doc_id", "key", "start", end, F.col("first.doc_id").alias("class_id"), "first"), "line", ~place.eqNullSafe(F.col("first")))
-    windows = found.filter(~F.col("line") & (F.col("key") != F.col("first.key"))).select("doc_id", "key", "start", end, F.col("first.doc_id").alias("first"), F.col("first.key").alias("first_key"), (F.col("start") - F.col("first.start")).alias("shift"))
+    windows = found.filter(~F.col("line") & (F.col("key") != F.col("source.key"))).select("doc_id", "key", "start", end, F.col("source.doc_id").alias("first"), F.col("source.key").alias("first_key"), (F.col("start") - F.col("source.start")).alias("shift"))
     by = ["doc_id", "key", "first", "first_key", "shift"]
     grown = scratch.table(_merged(_grown(scratch.table(_merged(windows, *by)), docs, doc_id, text), *by))
     passages = grown.withColumn("class_id", F.col("first"))
