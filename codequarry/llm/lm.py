@@ -11,7 +11,7 @@ Scale: rows of single n-grams would be the size of the corpus several times over
 batches by hash; each batch sends each of its distinct n-grams once, with its count there, as packed arrays by hash
 partition (request), and gets the corpus counts back in the same order (reply). So n-grams are combined before the shuffle, no n-gram however
 frequent sends more than one entry per batch, and each request takes about five bytes. Batches and partitions grow
-in number with the corpus and keep their size.
+in number with the corpus and keep their size; a batch names the partitions that it has n-grams for, and no others.
 """
 
 from __future__ import annotations
@@ -88,19 +88,23 @@ def score_texts(words: np.ndarray, bounds: np.ndarray, tables: dict[int, tuple[n
     return np.array([logs[s:e].sum() for s, e in zip(bounds[:-1], bounds[1:], strict=True)])
 
 
+def _parts(grams: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which of ``n`` equal ranges of hashes the sorted ``grams`` lie in, and where each of those begins, and the end.
+
+    Only ranges that have some are named, so the work follows the n-grams, however many ranges there are.
+    """
+    of = ((grams >> np.uint64(BITS - 32)) * np.uint64(n)) >> np.uint64(32)
+    begin = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1])))[: grams.size]
+    return of[begin].astype(np.int64), np.append(begin, grams.size)
+
+
 def _request(batch_docs: pa.Table, parts: dict[int, int]) -> Iterator[tuple[int, int, bytes, bytes]]:
     words, bounds = hashed_words(batch_docs.column("t").to_pylist())
     for order, n in parts.items():
         grams, counts = np.unique(order_grams(words, bounds, order)[0], return_counts=True)
-        cuts = np.searchsorted(grams, _edges(n))
-        for part, (s, e) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
-            if e > s:
-                yield order, part, pack(grams[s:e]), pack_counts(counts[s:e])
-
-
-def _edges(n: int) -> np.ndarray:
-    """Where ``n`` equal ranges of hashes start, and the end."""
-    return np.array([(k << BITS) // n for k in range(n + 1)], np.uint64)
+        of, cuts = _parts(grams, n)
+        for part, s, e in zip(of.tolist(), cuts[:-1], cuts[1:], strict=True):
+            yield order, part, pack(grams[s:e]), pack_counts(counts[s:e])
 
 
 def scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", batch_bytes: int = BATCH_BYTES, part_grams: int = PART_GRAMS, order: int = 2) -> DataFrame:
@@ -135,9 +139,9 @@ def scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", batch_by
         tables = {}
         for order in parts:
             grams = np.unique(order_grams(words, bounds, order)[0])
-            mine = sorted((p, c) for o, p, c in zip(*(replies.column(x).to_pylist() for x in ("order", "part", "counts")), strict=True) if o == order)
-            cuts = np.searchsorted(grams, _edges(parts[order]))
-            tables[order] = grams, np.concatenate([unpack_counts(c, int(cuts[p + 1] - cuts[p])) for p, c in mine]) if mine else np.empty(0, np.int64)
+            mine = {p: c for o, p, c in zip(*(replies.column(x).to_pylist() for x in ("order", "part", "counts")), strict=True) if o == order}
+            of, cuts = _parts(grams, parts[order])
+            tables[order] = grams, np.concatenate([np.empty(0, np.int64), *(unpack_counts(mine[p], n) for p, n in zip(of.tolist(), np.diff(cuts).tolist(), strict=True))])
         sums, n = score_texts(words, bounds, tables, total), np.diff(bounds)
         return pa.table({"doc_id": texts.column("doc_id"), "n_words": pa.array(n, pa.int64()), "log_prob": pa.array(sums, pa.float64())})
 
