@@ -78,7 +78,7 @@ def extract_files(files: DataFrame) -> DataFrame:
 
 def too_long(files: DataFrame) -> DataFrame:
     """Source files that are left out."""
-    return files.filter(F.col("language").isNotNull() & (F.length("text") > (LIMITS.source_chars or 1 << 40)))
+    return files.filter(F.col("language").isNotNull() & (F.length("text") > F.lit(LIMITS.source_chars or 1 << 40)))
 
 
 def definitions(nested: DataFrame) -> DataFrame:

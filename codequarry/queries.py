@@ -303,19 +303,18 @@ def reading_groups(spark, d):
 
 
 NATIONS = """trade AS (SELECT s.s_nationkey AS src, c.c_nationkey AS dst, sum(l_quantity)::DOUBLE AS w FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer c ON o_custkey = c_custkey JOIN supplier s ON l_suppkey = s_suppkey GROUP BY 1, 2),
- top AS (SELECT src::VARCHAR AS src, dst::VARCHAR AS dst, w FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY w DESC, dst) AS k FROM trade) WHERE k <= 2)"""
+ top AS (SELECT src::VARCHAR AS src, dst::VARCHAR AS dst, w FROM trade)"""
 
 
 def _nations(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Nations, and from each supplier nation the two customer nations that buy most."""
+    """Nations, and from each supplier nation all customer nations that buy from it."""
     t = lambda n: read(spark, d, n)
     # the dimensions join before the facts, and lines are summed by order and supplier nation only once they are narrow
     j = t("lineitem").select("l_orderkey", "l_suppkey", "l_quantity").join(t("supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").alias("src")), "l_suppkey")
     o = t("orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("c_custkey")).join(t("customer").select("c_custkey", F.col("c_nationkey").alias("dst")), "c_custkey")
     trade = j.join(o, "l_orderkey").groupBy("src", "dst").agg(F.sum("l_quantity").alias("weight"))
-    top = trade.withColumn("k", F.row_number().over(Window.partitionBy("src").orderBy(F.desc("weight"), "dst"))).filter("k <= 2")
     repo = F.lit("nations").alias("repo_key")
-    return t("nation").select(repo, F.col("n_nationkey").cast("string").alias("id")), top.select(repo, F.col("src").cast("string").alias("src"), F.col("dst").cast("string").alias("dst"), "weight")
+    return t("nation").select(repo, F.col("n_nationkey").cast("string").alias("id")), trade.select(repo, F.col("src").cast("string").alias("src"), F.col("dst").cast("string").alias("dst"), "weight")
 
 
 _PR_ROUNDS = 20
@@ -496,16 +495,8 @@ def interleaved_index(spark, d):
     return out(symbols.interleave(tables.definitions(f), order).select("path", "name", "line", "turn"))
 
 
-@query(f"WITH {DEFS}, q AS (SELECT path, line AS at FROM lines WHERE line % 3 = 1) SELECT q.path, q.at, x.name, x.line AS start, x.end_line AS \"end\" FROM q LEFT JOIN defs x ON x.path = q.path AND q.at BETWEEN x.line AND x.end_line")
+@query(f"WITH {DEFS}, q AS (SELECT path, line AS at FROM lines) SELECT q.path, q.at, x.name, x.line AS start, x.end_line AS \"end\" FROM q LEFT JOIN defs x ON x.path = q.path AND q.at BETWEEN x.line AND x.end_line")
 def enclosing_symbol(spark, d):
-    """Of every third line."""
-    f = _files(spark, d)
-    at = tables.lines(f).filter("line % 3 = 1").select("repo_key", "path", F.col("line").alias("at"))
-    return out(symbols.enclosing(at, tables.definitions(f)))
-
-
-@query()
-def enclosing_symbol_lines(spark, d):
     """Of every line."""
     f = _files(spark, d)
     return out(symbols.enclosing(tables.lines(f).select("repo_key", "path", F.col("line").alias("at")), tables.definitions(f)))

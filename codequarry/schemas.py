@@ -23,18 +23,18 @@ SCHEMAS = {
 
 @dataclass(frozen=True)
 class Limits:
-    """Defaults of the limits; None lifts one."""
+    """Defaults of the limits; None lifts one. No default drops a file, a text or a match unseen."""
 
     files: int | None = 5000
-    source_chars: int | None = 1024 * 1024
+    source_chars: int | None = None
     graph_nodes: int | None = 120
     search_files: int | None = 5000
-    search_chars: int | None = 512 * 1024
+    search_chars: int | None = None
     search_rows: int | None = 500
     line_chars: int = 300
-    scan_entries: int | None = 200_000
+    scan_entries: int | None = None
     scan_depth: int = 24
-    read_bytes: int = 64 * 1024 * 1024
+    read_bytes: int | None = None
 
 
 LIMITS = Limits()

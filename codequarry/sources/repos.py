@@ -85,7 +85,8 @@ def read_local(spark: SparkSession, root: str, repo_key: str) -> DataFrame:
     rel = F.call_function("url_decode", F.replace(rel, F.lit("+"), F.lit("%2B")))
     listed = raw.withColumn("rel", rel)
     skip = F.exists(F.slice(F.split("rel", "/"), F.lit(1), F.size(F.split("rel", "/")) - 1), lambda s: F.lower(s).isin(*X.SKIP_DIRS))
-    kept = listed.filter(~skip & (F.size(F.split("rel", "/")) <= LIMITS.scan_depth) & (F.col("length") <= LIMITS.read_bytes) & ~paths.is_binary(F.col("rel")))
+    fits = F.col("length") <= LIMITS.read_bytes if LIMITS.read_bytes else F.lit(True)
+    kept = listed.filter(~skip & (F.size(F.split("rel", "/")) <= LIMITS.scan_depth) & fits & ~paths.is_binary(F.col("rel")))
     text = F.try_validate_utf8(F.col("content").cast("string"))
     return _finish(kept.select(F.lit(repo_key).alias("repo_key"), F.col("rel").alias("path"), F.col("length").alias("size"), text.alias("text")).filter("text IS NOT NULL"))
 
