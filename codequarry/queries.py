@@ -625,15 +625,14 @@ def session_ledger(spark, d):
 
 
 def _repository(spark: SparkSession, d: str):
-    """Documents as a repository; calls are of the rarer, longer words, and a document is a function of as many decisions as lines."""
+    """Documents as a repository, with all their calls; a document is a function of as many decisions as lines."""
     from .plans.pack import Repository
 
     f = _files(spark, d)
     lines = metrics.line_metrics(f)
     fn = lines.select("repo_key", "path", F.lit(1).alias("fn_ord"), F.lit("document").alias("name"), F.col("total_lines").alias("cyclomatic"), F.col("sloc").alias("cognitive"), "sloc")
     fm = lines.join(f.select("repo_key", "path", F.col("lang").alias("language")), ["repo_key", "path"]).withColumn("cyclomatic", F.col("total_lines")).withColumn("max_function_complexity", F.col("total_lines"))
-    calls = tables.calls(f).filter(F.length("to_name") >= 10)
-    return Repository("documents", f, tables.definitions(f), calls, _imports(spark, d), fn, fm)
+    return Repository("documents", f, tables.definitions(f), tables.calls(f), _imports(spark, d), fn, fm)
 
 
 @query()
