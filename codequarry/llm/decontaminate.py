@@ -17,9 +17,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType
+from pyspark.sql.types import ArrayType, LongType, StringType
 
-from .shared import fresh, quoted
+from .shared import Scratch, fresh, quoted
 
 #: Words in a window; an item of fewer, but not none, is one window.
 WINDOW = 10
@@ -153,65 +153,85 @@ class Matcher:
         return [span[cut[t] : cut[t + 1]] - bounds[t] for t in range(len(words))], [np.array(sorted(x), np.int64) for x in of]
 
 
-def covered(spans: np.ndarray, n: int) -> int:
-    """How many of ``n`` words the stretches cover."""
-    if not spans.size:
-        return 0
-    edge = np.zeros(n + 1, np.int64)
-    np.add.at(edge, spans[:, 0], 1)
-    np.add.at(edge, spans[:, 1], -1)
-    return int((np.cumsum(edge) > 0).sum())
-
-
-def load_shards(benchmark: DataFrame, item_id: str = "item_id", text: str = "text", shard_bytes: int = SHARD_BYTES) -> list[list[tuple[str, str]]]:
+def load_shards(benchmark: DataFrame, item_id: str = "item_id", text: str = "text", shard_bytes: int = SHARD_BYTES) -> Iterator[list[tuple[str, str]]]:
     """The benchmark as shards of (item id as string, text), each of about ``shard_bytes`` at most.
 
-    Its size is summed first; one shard reaches the driver at a time. Items with a null id count under the empty id;
-    null texts have no windows and are left out.
+    Its size is summed first; a shard is fetched when it is asked for, so one is on the driver at a time. Items with a
+    null id count under the empty id; null texts have no windows and are left out.
     """
     rows = benchmark.filter(F.col(quoted(text)).isNotNull()).select(F.coalesce(F.col(quoted(item_id)).cast("string"), F.lit("")).alias("i"), F.col(quoted(text)).alias("t"))
     total = rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     n = max(1, -(-total // shard_bytes))
-    return [[(r["i"], r["t"]) for r in rows.filter(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k).collect()] for k in range(n)]
+    return ([(r["i"], r["t"]) for r in rows.filter(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k).collect()] for k in range(n))
 
 
-def find(docs: DataFrame, benchmark: DataFrame, text: str = "text", carry: tuple[str, ...] = ("doc_id",), window: int = WINDOW, shard_bytes: int = SHARD_BYTES, names: tuple[str, str, str] = ("n_words", "n_hit", "items")) -> DataFrame:
-    """``n_words``, ``n_hit`` and ``items`` (sorted ids as strings) of every text beside the columns ``carry``.
-
-    A null or empty text, and an empty benchmark, give no hits. Texts are searched whole; a text of any length is cut
-    into pieces that overlap by a window. Documents never meet: there is no shuffle. Broadcast are shards of the
-    benchmark, each bounded by ``shard_bytes``; with more than one, each Arrow batch is searched for one after the other.
-    """
+def _hits(docs: DataFrame, shard: list[tuple[str, str]], kept: list[str], text: str, window: int, whole: bool) -> DataFrame:
+    """Columns ``kept``, and ``words``, ``spans`` (start, end, start, ...) and ``found`` of the texts that ``shard`` occurs in, or of all (``whole``)."""
     session = docs.sparkSession
-    shards = [session.sparkContext.broadcast(s) for s in load_shards(benchmark, shard_bytes=shard_bytes)]
-    hidden = fresh(carry, "_t")
-    base = docs.select(*[F.col(quoted(c)) for c in carry], F.col(quoted(text)).alias(hidden))
-    schema = base.drop(hidden).schema.add(names[0], "long").add(names[1], "long").add(names[2], ArrayType(StringType()))
+    items = session.sparkContext.broadcast(shard)
+    base = docs.select(*[F.col(quoted(c)) for c in kept], F.col(quoted(text)).alias(fresh(kept, "_t")))
+    names = [fresh(kept, c) for c in ("_words", "_spans", "_found")]
+    schema = base.select(*[F.col(quoted(c)) for c in kept]).schema.add(names[0], "long").add(names[1], ArrayType(LongType())).add(names[2], ArrayType(StringType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        only = Matcher(shards[0].value, window) if len(shards) == 1 else None
+        matcher = Matcher(items.value, window)
         for b in batches:
             texts = b.column(b.num_columns - 1).to_pylist()
-            n_words, hit = [0] * len(texts), [0] * len(texts)
-            items: list[set[str]] = [set() for _ in texts]
-            spans: dict[int, list[np.ndarray]] = {}
-            for shard in shards:
-                m = only or Matcher(shard.value, window)
-                for lo, hi in pieces(texts):
-                    words = [split_words(t) for t in texts[lo:hi]]
-                    n_words[lo:hi] = map(len, words)
-                    for k, (s, i) in enumerate(zip(*m.search(words), strict=True), lo):
-                        if s.size:
-                            spans.setdefault(k, []).append(s)
-                            items[k].update(m.items[x] for x in i)
-            for k, s in spans.items():
-                hit[k] = covered(np.concatenate(s), n_words[k])
-            cols = [pa.array(n_words, pa.int64()), pa.array(hit, pa.int64()), pa.array([sorted(x) for x in items], pa.list_(pa.string()))]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *cols], names=[*b.schema.names[:-1], *names])
+            n, spans, found = [], [], []
+            for lo, hi in pieces(texts):
+                words = [split_words(t) for t in texts[lo:hi]]
+                n += map(len, words)
+                s, i = matcher.search(words)
+                spans += [x.ravel() for x in s]
+                found += [[matcher.items[k] for k in x] for x in i]
+            rows = pa.array(np.arange(len(texts)) if whole else np.array([k for k, x in enumerate(found) if x], np.int64))
+            cols = [pa.array(n, pa.int64()), pa.array(spans, pa.list_(pa.int64())), pa.array(found, pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays([c.take(rows) for c in (*b.columns[:-1], *cols)], names=[*b.schema.names[:-1], *names])
 
     return base.mapInArrow(run, schema)
 
 
+def find(docs: DataFrame, benchmark: DataFrame, text: str = "text", carry: tuple[str, ...] = ("doc_id",), window: int = WINDOW, shard_bytes: int = SHARD_BYTES, names: tuple[str, str, str] = ("n_words", "n_hit", "items")) -> DataFrame:
+    """``n_words``, ``n_hit`` and ``items`` (sorted ids as strings) of every text beside the columns ``carry``.
+
+    ``names`` renames the three where ``carry`` has columns so called. A null or empty text, and an empty benchmark, give
+    no hits; an empty table gives an empty result; repeated rows are searched each. Texts are searched whole; a text of
+    any length is cut into pieces that overlap by a window.
+
+    A benchmark of one shard is one pass without a shuffle. A larger one is searched for shard by shard: each shard's
+    tables are built once a task, its hits are a table in the shared folder, and hits of all shards are put together by
+    the text's row. On the driver, and broadcast, is one shard at a time, bounded by ``shard_bytes``.
+    """
+    shards = load_shards(benchmark, shard_bytes=shard_bytes)
+    first, second = next(shards), next(shards, None)
+    if second is None:
+        out = _hits(docs, first, list(carry), text, window, whole=True)
+        return _counted(out, carry, names)
+    scratch, row = Scratch(docs.sparkSession, "decontaminate"), fresh([*carry, text], "_row")
+    texts = scratch.table(docs.select(*{c: F.col(quoted(c)) for c in (*carry, text)}.values(), F.monotonically_increasing_id().alias(row)))
+    found = None
+    for shard in (s for part in ((first, second), shards) for s in part):
+        hits = scratch.table(_hits(texts, shard, [row], text, window, whole=False))
+        found = hits if found is None else found.union(hits)
+    spans, items = fresh([row], "_spans"), fresh([row], "_found")
+    merged = found.groupBy(row).agg(F.flatten(F.collect_list(spans)).alias(spans), F.flatten(F.collect_list(items)).alias(items))
+    words = _hits(texts, [], [*carry, row], text, window, whole=True)
+    w, s, i = (fresh([*carry, row], c) for c in ("_words", "_spans", "_found"))
+    none = words.drop(s, i).join(merged.select(F.col(row), F.col(spans).alias(s), F.col(items).alias(i)), row, "left")
+    return _counted(none.select(*[F.col(quoted(c)) for c in carry], w, s, i), carry, names)
+
+
+def _counted(found: DataFrame, carry: tuple[str, ...], names: tuple[str, str, str]) -> DataFrame:
+    """``n_words``, how many words the spans cover, and the items' ids, from the last three columns."""
+    w, s, i = (F.col(quoted(c)) for c in found.columns[-3:])
+    pairs = F.array_sort(F.transform(F.sequence(F.lit(0), F.size(s) - 2, F.lit(2)), lambda k: F.struct(F.get(s, k).alias("at"), F.get(s, k + 1).alias("to"))))
+    zero = F.struct(F.lit(0).cast("long").alias("end"), F.lit(0).cast("long").alias("n"))
+    step = lambda acc, x: F.struct(F.greatest(acc["end"], x["to"]).alias("end"), (acc["n"] + F.greatest(F.lit(0).cast("long"), x["to"] - F.greatest(x["at"], acc["end"]))).alias("n"))
+    n_hit = F.when(F.coalesce(F.size(s), F.lit(0)) > 0, F.aggregate(pairs, zero, step, lambda acc: acc["n"])).otherwise(F.lit(0).cast("long"))
+    ids = F.array_sort(F.array_distinct(F.coalesce(i, F.array().cast("array<string>"))))
+    return found.select(*[F.col(quoted(c)) for c in carry], w.alias(names[0]), n_hit.alias(names[1]), ids.alias(names[2]))
+
+
 def pieces(texts: list[str | None], most: int = 4 << 20) -> Iterator[tuple[int, int]]:
     """Ranges of texts with about ``most`` characters together, or one text."""
     lo = n = 0

@@ -36,6 +36,8 @@ KINDS = (Kind("assign", ASSIGN, 8), Kind("access", ACCESS, 16), Kind("hex", HEX,
 #: Runs that the models judge.
 CANDIDATE = r"([A-Za-z0-9+/_-]+)"
 CANDIDATE_LEAST = 20
+#: Runs of fewer different characters (rules of dashes, padding) are not keys.
+LEAST_DIFFERENT = 8
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-"
 
 #: Parts of ordinary identifiers, for the default samples.
@@ -51,22 +53,27 @@ IDENTIFIER_PARTS = (
 SAMPLES = 4000
 
 
-def default_samples(spark: SparkSession, n: int = SAMPLES) -> DataFrame:
-    """(text, random): ``n`` strings each; random ones from digests in base 64 and in hex, ordinary ones from parts.
+def default_samples(spark: SparkSession, n: int = SAMPLES, seed: str = "sample") -> DataFrame:
+    """(text, random): ``n`` labelled strings of either kind, the same for every ``seed`` each time.
 
-    A bounded, fixed sample: it does not depend on the documents.
+    Random ones are in base 64, in letters alone, in capitals and digits, and in letters and digits. Ordinary ones are
+    identifiers in five styles, dated paths, and UUIDs, which name things and open nothing. A bounded sample that does not
+    depend on the documents; labelled strings of one's own do as well.
     """
     parts = F.array(*[F.lit(p) for p in IDENTIFIER_PARTS])
-    base = spark.range(2 * n).withColumn("d", F.sha2(F.concat(F.lit("sample:"), F.col("id").cast("string")), 256))
-    pick = lambda k: F.element_at(parts, (F.pmod(F.conv(F.substring("d", 1 + 4 * k, 4), 16, 10).cast("long"), F.lit(len(IDENTIFIER_PARTS))) + 1).cast("int"))
-    style = F.pmod(F.col("id"), F.lit(4))
-    camel = F.concat(pick(0), F.initcap(pick(1)), F.initcap(pick(2)), F.initcap(pick(3)))
-    snake = F.concat_ws("_", pick(0), pick(1), pick(2), pick(3))
-    kebab = F.concat_ws("-", pick(0), pick(1), pick(2), F.substring("d", 60, 1))
-    path = F.concat_ws("/", pick(0), pick(1), F.upper(pick(2)), pick(3))
-    ordinary = F.when(style == 0, camel).when(style == 1, snake).when(style == 2, kebab).otherwise(path)
-    noise = F.when(style == 0, F.substring("d", 1, 40)).otherwise(F.translate(F.base64(F.unhex("d")), "=", ""))
-    return base.select(F.when(F.col("id") < n, noise).otherwise(ordinary).alias("text"), (F.col("id") < n).alias("random"))
+    base = spark.range(2 * n).withColumn("d", F.sha2(F.concat(F.lit(f"{seed}:"), F.col("id").cast("string")), 256))
+    number = lambda at, size: F.conv(F.substring("d", at, size), 16, 10).cast("long")
+    pick = lambda k: F.element_at(parts, (F.pmod(number(1 + 4 * k, 4), F.lit(len(IDENTIFIER_PARTS))) + 1).cast("int"))
+    dated = F.concat_ws("/", pick(0), (F.lit(1990) + F.pmod(number(40, 4), F.lit(40))).cast("string"), F.lpad(F.pmod(number(44, 4), F.lit(12)).cast("string"), 2, "0"), F.concat_ws("-", pick(1), pick(2)))
+    uuid = F.concat_ws("-", *[F.substring("d", at, size) for at, size in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))])
+    styles = (
+        F.concat(pick(0), F.initcap(pick(1)), F.initcap(pick(2)), F.initcap(pick(3))), F.concat_ws("_", pick(0), pick(1), pick(2), pick(3)), F.concat_ws("-", pick(0), pick(1), pick(2), F.substring("d", 60, 1)),
+        F.concat_ws("/", pick(0), pick(1), F.upper(pick(2)), pick(3)), F.upper(F.concat_ws("_", pick(0), pick(1), pick(2), pick(3))), F.concat(pick(0), pick(1), pick(2), pick(3)), dated, uuid,
+    )
+    key = F.base64(F.unhex("d"))
+    noise = (F.translate(key, "=", ""), F.translate(key, "0123456789+/=", ""), F.upper(F.translate(key, "+/=", "")), F.translate(key, "+/=", ""))
+    of = lambda kinds: F.element_at(F.array(*kinds), (F.pmod("id", F.lit(len(kinds))) + 1).cast("int"))
+    return base.select(F.when(F.col("id") < n, of(noise)).otherwise(of(styles)).alias("text"), (F.col("id") < n).alias("random"))
 
 
 @dataclass(frozen=True)
@@ -77,7 +84,7 @@ class Model:
     threshold: float
 
 
-def train(samples: DataFrame, threshold: float = 0.6, alphabet: str = ALPHABET) -> Model:
+def train(samples: DataFrame, threshold: float = 0.9, alphabet: str = ALPHABET) -> Model:
     """Count the character pairs of labelled (text, random) samples, with add-half smoothing.
 
     The driver gets at most two counts for each pair of the alphabet. Null texts count for nothing; without
@@ -142,7 +149,8 @@ def _typed(rank: int, kind: str):
 def scan(docs: DataFrame, model: Model, text: str = "text", carry: tuple[str, ...] = ("doc_id",), name: str = "spans") -> DataFrame:
     """``spans`` of every text: array of (start, rank, end, kind) in code points, end exclusive, by start, then kind.
 
-    Ranks: assign 0, access 1, hex 2, markov 3. A null text is empty. Spans of different kinds may overlap; equal
+    Ranks: assign 0, access 1, hex 2, markov 3 (20 characters or more, ``LEAST_DIFFERENT`` of them different, that the
+    models take for random). A null text is empty, an empty table gives an empty result, repeated rows are scanned each. Spans of different kinds may overlap; equal
     ones of one kind can't arise. Every text is searched whole; those that can't hold a kind skip it after one
     regular expression.
     """
@@ -153,7 +161,8 @@ def scan(docs: DataFrame, model: Model, text: str = "text", carry: tuple[str, ..
         found = F.when(t.rlike(MAY_HAVE.get(k.name, k.pattern)), _spans(t, k.pattern, k.least)).otherwise(none)
         typed.append(F.transform(found, _typed(rank, k.name)))
     cands = F.when(t.rlike(MAY_HAVE["markov"]), _spans(t, rf"([A-Za-z0-9+/_-]{{{CANDIDATE_LEAST},}})", CANDIDATE_LEAST)).otherwise(none)
-    random = F.filter(cands, lambda s: s["part"].rlike("[0-9]") & (score(s["part"], model) > model.threshold))
+    different = lambda part: F.size(F.array_distinct(F.split(part, ""))) >= LEAST_DIFFERENT
+    random = F.filter(cands, lambda s: different(s["part"]) & (score(s["part"], model) > model.threshold))
     typed.append(F.transform(random, _typed(len(KINDS), "markov")))
     return docs.select(*[F.col(quoted(c)) for c in carry], F.array_sort(F.concat(*typed)).alias(name))
 
