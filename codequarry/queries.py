@@ -495,13 +495,22 @@ def interleaved_index(spark, d):
     return out(symbols.interleave(tables.definitions(f), order).select("path", "name", "line", "turn"))
 
 
-@query(f"WITH {DEFS}, q AS (SELECT path, line AS at FROM lines) SELECT q.path, q.at, x.name, x.line AS start, x.end_line AS \"end\" FROM q LEFT JOIN defs x ON x.path = q.path AND q.at BETWEEN x.line AND x.end_line")
+ENCLOSING = f"WITH {DEFS}, q AS (SELECT path, line AS at FROM lines) SELECT q.path, q.at, x.name, x.line AS start, x.end_line AS \"end\" FROM q LEFT JOIN defs x ON x.path = q.path AND q.at BETWEEN x.line AND x.end_line"
+
+
+@query(ENCLOSING)
 def enclosing_symbol(spark, d):
     """Of every line."""
     f = _files(spark, d)
     return out(symbols.enclosing(tables.lines(f).select("repo_key", "path", F.col("line").alias("at")), tables.definitions(f)))
 
 
+@query(ENCLOSING)
+def enclosing_symbol_lines(spark, d):
+    """Of every line, under its earlier name."""
+    return enclosing_symbol(spark, d)
+
+
 @query(
     f"WITH {FILES}, q AS (SELECT lang || '_' || doc_id || '.md' AS input FROM documents UNION ALL SELECT DISTINCT source || '/' || lang || '_1.md' FROM documents) SELECT q.input, min(f.path) AS path FROM (SELECT DISTINCT input FROM q) q JOIN files f ON f.path = q.input OR ends_with(f.path, '/' || q.input) GROUP BY q.input"
 )
