@@ -61,29 +61,23 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 """
 
 
-def _found() -> str:
-    out, index = [], licenses.INDEX
-    for t in index.templates:
-        text, key = t.text.split(), t.key.split()
-        start, total = licenses._place(key, text), sum(index.idf[x] for x in text)
-        here = " AND ".join(f"w[i + {j}] = '{x}'" for j, x in enumerate(key))
-        weight = repr(sum(index.idf[x] for x in key))
-        for i, x in enumerate(text):
-            if not start <= i < start + len(key):
-                weight += f" + CASE WHEN i + {i - start} >= 1 AND w[i + {i - start}] = '{x}' THEN {index.idf[x]!r} ELSE 0.0 END::DOUBLE"
-        out.append(
-            f"SELECT rid, '{t.label}' AS label, {str(t.base).lower()} AS base, i - 1 AS place, round(({weight})::DOUBLE / {total!r}::DOUBLE, 6) AS score FROM spot WHERE w[i] = '{key[0]}' AND {here}"
-        )
-    return " UNION ALL ".join(out)
+def _templates() -> str:
+    listed = lambda values: "[" + ", ".join(repr(v) for v in values) + "]"
+    return ",\n".join(
+        f"({k}, '{e.label}', {str(e.base).lower()}, {listed(e.key)}, {e.start}, {e.n}, {e.slack}, {listed(x for x, _ in e.weights)}, {listed(n for _, n in e.weights)}, {e.total})" for k, e in enumerate(licenses.INDEX)
+    )
 
 
 OP5 = f"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {ALNUM_WORDS} AS w FROM documents),
-firsts AS (SELECT unnest([{", ".join(sorted({repr(t.key.split()[0]) for t in licenses.TEMPLATES}))}]) AS word),
-spot AS (SELECT rid, w, i FROM (SELECT rid, w, unnest(range(1, len(w) + 1)) AS i FROM d) WHERE w[i] IN (SELECT word FROM firsts)),
-f AS (SELECT * FROM ({_found()}) WHERE base OR score >= {licenses.LEAST_SCORE!r}),
+t(k, label, base, phrase, lead, n, slack, ws, weights, total) AS (VALUES {_templates()}),
+spot AS (SELECT rid, w, i, w[i] AS first FROM (SELECT rid, w, unnest(range(1, len(w) + 1)) AS i FROM d) WHERE w[i] IN (SELECT phrase[1] FROM t)),
+f AS (SELECT rid, label, base, i - 1 AS place, w[greatest(i - lead - slack, 1):i - lead - 1 + n + slack] AS stretch, ws, weights, total
+      FROM spot JOIN t ON first = phrase[1] AND w[i:i + len(phrase) - 1] = phrase),
+s AS (SELECT rid, label, base, place, round(list_sum(list_transform(range(1, len(ws) + 1), lambda j: CASE WHEN list_contains(stretch, ws[j]) THEN weights[j] ELSE 0 END))::DOUBLE / total, 6) AS score FROM f),
 a AS (SELECT rid, count(*) FILTER (base) AS n_base, min(place) FILTER (base) AS first_word, max(place) FILTER (base) AS last_word,
-      string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(score) AS score FROM f GROUP BY rid)
+      string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(score) AS score
+      FROM s WHERE base OR score >= {licenses.LEAST_SCORE!r} GROUP BY rid)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
        coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0)::DOUBLE AS score FROM d LEFT JOIN a USING (rid)
 """

@@ -278,3 +278,19 @@ def test_digests(spark, sf):
     assert r["items_sha256"] == hashlib.sha256(b"").hexdigest()
     assert {n for n in queries.QUERIES} >= {"op1_mix_sources", "op10_lm_scores"}
     assert shared.fresh(["_a", "_A_"], "_a") == "_a__"
+
+
+def test_whole_licences_with_small_changes(spark):
+    """A licence text is found with another holder, inserted words and other line breaks; its key phrase alone isn't it."""
+    full = [(t.label, t.text, t.key) for t in licenses.TEMPLATES if len(t.text.split()) > 20]
+    assert len(full) >= 12
+    rows = [(label, " ".join(f"{x}\n" if i % 9 == 8 else x for i, x in enumerate(["Copyright", "2020", "Jane", "Doe", *text.split()]))) for label, text, _ in full]
+    rows += [(label, " ".join(text.split()[:-5] + ["by", "Jane", "Doe"] + text.split()[-5:]).upper()) for label, text, _ in full]
+    docs = spark.createDataFrame(rows, "label string, text string")
+    whole = licenses.build_index(tuple(t for t in licenses.TEMPLATES if len(t.text.split()) > 20))
+    for r in licenses.scan(docs, whole, carry=("label", "text")).collect():
+        assert any(f["label"] == r["label"] and f["score"] > 0.9 for f in r["found"]), r["label"]
+    short = spark.createDataFrame([(label, f"we read: {key} and no more. " + "other words " * 200) for label, text, key in full if len(text.split()) > 100], docs.schema)
+    for r in licenses.scan(short, whole, carry=("label",)).collect():
+        assert not r["found"], r
+    assert licenses.scan(docs.limit(0), carry=("label",)).count() == 0
