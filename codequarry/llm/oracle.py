@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import licenses, mixing, quality
+from . import licenses, lm, mixing, quality
 
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -95,4 +95,18 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
 FROM d LEFT JOIN n USING (rid) LEFT JOIN k USING (rid)
 """
 
-ORACLES = {"op1_mix_sources": OP1, "op3_quality_rules": OP3, "op5_license_scan": OP5, "op8_decontaminate": OP8}
+OP10 = f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {ALNUM_WORDS} AS w FROM documents),
+p AS (SELECT rid, i, w[i] AS w1, CASE WHEN i > 1 THEN w[i - 1:i] END AS w2, CASE WHEN i > 2 THEN w[i - 2:i] END AS w3 FROM (SELECT rid, w, unnest(range(1, len(w) + 1)) AS i FROM d)),
+c1 AS (SELECT w1, count(*) AS n FROM p GROUP BY w1),
+c2 AS (SELECT w2, count(*) AS n FROM p WHERE w2 IS NOT NULL GROUP BY w2),
+c3 AS (SELECT w3, count(*) AS n FROM p WHERE w3 IS NOT NULL GROUP BY w3),
+s1 AS (SELECT p.*, c1.n AS n1, ln(c1.n::DOUBLE / (SELECT count(*) FROM p)) AS l1 FROM p JOIN c1 USING (w1)),
+s2 AS (SELECT s1.*, coalesce(c2.n, 0) AS n2, c0.n AS of2 FROM s1 LEFT JOIN c2 USING (w2) LEFT JOIN c1 c0 ON c0.w1 = s1.w2[1]),
+b AS (SELECT *, CASE WHEN w2 IS NULL THEN l1 WHEN n2 >= {lm.MIN_COUNT} THEN ln(n2::DOUBLE / of2) ELSE ln({lm.BACKOFF}::DOUBLE) + l1 END AS l2 FROM s2),
+s3 AS (SELECT b.*, coalesce(c3.n, 0) AS n3, c0.n AS of3 FROM b LEFT JOIN c3 USING (w3) LEFT JOIN c2 c0 ON c0.w2 = b.w3[1:2]),
+t AS (SELECT rid, sum(CASE WHEN w3 IS NULL THEN l2 WHEN n3 >= {lm.MIN_COUNT} THEN ln(n3::DOUBLE / of3) ELSE ln({lm.BACKOFF}::DOUBLE) + l2 END) AS total FROM s3 GROUP BY rid)
+SELECT doc_id, len(w)::BIGINT AS n_words, round(coalesce(total, 0.0), 6) AS log_prob, CASE WHEN len(w) > 0 THEN round(total / len(w), 6) END AS score FROM d LEFT JOIN t USING (rid)
+"""
+
+ORACLES = {"op1_mix_sources": OP1, "op3_quality_rules": OP3, "op5_license_scan": OP5, "op8_decontaminate": OP8, "op10_lm_scores": OP10}

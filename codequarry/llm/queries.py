@@ -83,7 +83,8 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm.scores(_table(spark, sf_dir, "documents"), order=3)
+    out = lm.scores(_table(spark, sf_dir, "documents"), order=3)
+    return out.select("doc_id", "n_words", *[F.round(c, 6).alias(c) for c in ("log_prob", "score")])
 
 
 QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_near_dedup, op3_quality_rules, op4_token_counts, op5_license_scan, op6_secret_scan, op7_language_id, op8_decontaminate, op9_substring_dedup, op10_lm_scores)}
