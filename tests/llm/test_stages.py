@@ -1,5 +1,7 @@
 """The stages of the pipeline on odd rows: nulls, empty texts, repeated rows, clashing columns, no rows at all."""
 
+from collections import Counter
+
 import corpus_pipeline
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, _lang string, _score string, _hit string, _spans string, size string"
@@ -31,3 +33,15 @@ def test_stages_on_odd_rows(spark, sf):
 def test_stages_on_no_rows(spark, sf):
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs(spark).limit(0), sf).count() == 0, name
+
+
+def test_repeated_rows_and_rows_without_words(spark, sf):
+    given = spark.createDataFrame([(1, None, None), (1, None, None), (2, "", "a"), (2, "", "a"), (3, " \n", "a"), (4, ENGLISH, "a"), (4, ENGLISH, "a"), (5, ENGLISH + " number two and more", None)], "doc_id long, text string, source string")
+    stages = dict(corpus_pipeline.STAGES)
+    assert sorted(r["doc_id"] for r in stages["minhash_near_dedup"](spark, given, sf).collect()) in ([1, 2, 3, 4], [1, 2, 3, 4, 5])
+    assert sum(r["text"] is None for r in stages["secret_scan"](spark, given, sf).collect()) == 2
+    assert sorted(r["doc_id"] for r in stages["benchmark_decontamination"](spark, given, sf).collect()) == [1, 1, 2, 2, 3, 4, 4, 5]
+    copies = Counter(r["doc_id"] for r in stages["mix_sources"](spark, given, sf).collect())
+    assert set(copies) <= {1, 2, 3, 4, 5} and copies == Counter(r["doc_id"] for r in stages["mix_sources"](spark, given, sf).collect())
+    rows = Counter(r["doc_id"] for r in given.collect())
+    assert all(copies[i] <= 3 * n for i, n in rows.items())
