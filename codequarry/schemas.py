@@ -10,8 +10,8 @@ SCHEMAS = {
     "files": "repo_key string, path string, size long, language string, text string, content_hash string",
     "tree": "repo_key string, path string, parent string, name string, depth int, type string, size long",
     "definitions": "repo_key string, path string, def_ord int, name string, kind string, line int, end_line int, signature string, exported boolean",
-    "calls": "repo_key string, path string, call_ord int, from_name string, to_name string, line int",
-    "refs": "repo_key string, path string, ref_ord int, name string, line int, col int, kind string",
+    "calls": "repo_key string, path string, call_ord long, from_name string, to_name string, line int",
+    "refs": "repo_key string, path string, ref_ord long, name string, line int, col int, kind string",
     "imports": "repo_key string, path string, imp_ord int, spec string",
     "class_relations": "repo_key string, path string, rel_ord int, name string, extends array<string>, implements array<string>, line int",
     "file_metrics": "repo_key string, path string, language string, cyclomatic int, cognitive int, total_lines int, sloc int, comment_lines int, max_function_complexity int",

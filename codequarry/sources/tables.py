@@ -40,17 +40,22 @@ def definitions(files: DataFrame) -> DataFrame:
     )
 
 
+def _place():
+    """One order over the words of a file: by line, then by place in the line, whatever the length of either."""
+    return F.col("line").cast("long") * (1 << 31) + F.col("pos")
+
+
 def calls(files: DataFrame) -> DataFrame:
     """Each word of four letters or more is called by what its line defines."""
     per_line = lines(files).withColumn("from_name", F.lower(F.regexp_extract("content", "[A-Za-z]+", 0)))
     each = per_line.select("repo_key", "path", "from_name", "line", F.posexplode(F.regexp_extract_all("content", F.lit("[A-Za-z]{4,}"), F.lit(0))).alias("pos", "word"))
-    return each.select("repo_key", "path", (F.col("line") * 100_000 + F.col("pos")).alias("call_ord"), "from_name", F.lower("word").alias("to_name"), "line")
+    return each.select("repo_key", "path", _place().alias("call_ord"), "from_name", F.lower("word").alias("to_name"), "line")
 
 
 def references(files: DataFrame) -> DataFrame:
     """Each word of four letters or more is a reference, at its column in words."""
     each = lines(files).select("repo_key", "path", "line", F.posexplode(F.regexp_extract_all("content", F.lit("[A-Za-z]{4,}"), F.lit(0))).alias("pos", "word"))
-    return each.select("repo_key", "path", (F.col("line") * 100_000 + F.col("pos")).alias("ref_ord"), F.lower("word").alias("name"), "line", (F.col("pos") + 1).alias("col"), F.lit("call").alias("kind"))
+    return each.select("repo_key", "path", _place().alias("ref_ord"), F.lower("word").alias("name"), "line", (F.col("pos") + 1).alias("col"), F.lit("call").alias("kind"))
 
 
 def imports(files: DataFrame, n_docs: int) -> DataFrame:

@@ -8,15 +8,20 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Folders of local sessions that name none, by application; the setting itself can't be changed in a running session.
+_OWN: dict[str, str] = {}
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; where it is unset and Spark is local, as in tests, a folder of our own."""
+    """spark.checkpoint.dir of the session, or the context's checkpoint folder; where both are unset and Spark is local, as in tests, a folder of our own."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not found:
+        given = spark.sparkContext._jsc.sc().getCheckpointDir()
+        found = given.get() if given.isDefined() else _OWN.get(spark.sparkContext.applicationId)
     if not found:
         if spark.sparkContext.master.split("[")[0] != "local":
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="codequarry-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        found = _OWN[spark.sparkContext.applicationId] = "file://" + tempfile.mkdtemp(prefix="codequarry-")
     return found.rstrip("/")
 
 
