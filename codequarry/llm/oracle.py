@@ -109,4 +109,23 @@ t AS (SELECT rid, sum(CASE WHEN w3 IS NULL THEN l2 WHEN n3 >= {lm.MIN_COUNT} THE
 SELECT doc_id, len(w)::BIGINT AS n_words, round(coalesce(total, 0.0), 6) AS log_prob, CASE WHEN len(w) > 0 THEN round(total / len(w), 6) END AS score FROM d LEFT JOIN t USING (rid)
 """
 
-ORACLES = {"op1_mix_sources": OP1, "op3_quality_rules": OP3, "op5_license_scan": OP5, "op8_decontaminate": OP8, "op10_lm_scores": OP10}
+_CRC = "list_reduce(list_prepend(4294967295::UBIGINT, list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ascii(x)::UBIGINT)), lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0]::UBIGINT[], lambda p, q: CASE WHEN p & 1 = 1 THEN xor(p >> 1, 3988292384::UBIGINT) ELSE p >> 1 END))"
+
+OP11 = f"""
+WITH t AS (SELECT conv_id, list({{'k': coalesce(role, '') || chr(0) || coalesce(text, ''), 'b': strlen(coalesce(text, ''))}}
+             ORDER BY turn NULLS FIRST, sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS own FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+h AS (SELECT *, (xor({_CRC}, 4294967295::UBIGINT) % 9)::BIGINT AS h FROM t),
+c AS (SELECT h.conv_id, coalesce(b.own, [])[1:h.h] || h.own[h.h + 1:] AS turns FROM h LEFT JOIN t b ON b.conv_id = h.conv_id - h.conv_id % 5),
+p AS (SELECT conv_id, len(turns) AS n, d::BIGINT AS depth, turns[d].b AS bytes, sha256(d || ':' || array_to_string(list_transform(turns[1:d], lambda x: sha256(x.k)), ',')) AS node,
+             sha256((d - 1) || ':' || array_to_string(list_transform(turns[1:d - 1], lambda x: sha256(x.k)), ',')) AS above
+      FROM (SELECT *, unnest(range(0, len(turns) + 1)) AS d FROM c)),
+g AS (SELECT node, any_value(above) AS above, min(conv_id) AS conv_id, any_value(depth) AS depth, count(*) AS n_convs, any_value(coalesce(bytes, 0)) AS bytes,
+             sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (n = depth), '')) AS ends_sha256 FROM p GROUP BY node),
+k AS (SELECT g.*, up.conv_id AS parent_conv_id, coalesce(n_children, 0) AS n_children FROM g LEFT JOIN g up ON up.node = g.above AND g.depth > 0
+      LEFT JOIN (SELECT above, count(*) AS n_children FROM g WHERE depth > 0 GROUP BY above) x ON x.above = g.node),
+s AS (SELECT a.node, sum((k.n_convs - 1) * k.bytes)::BIGINT AS saved_tokens, count(*) FILTER (k.n_children = 0) AS n_leaves
+      FROM k JOIN p q ON q.conv_id = k.conv_id AND q.depth = k.depth JOIN p a ON a.conv_id = k.conv_id AND a.depth <= k.depth GROUP BY a.node)
+SELECT conv_id, depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, ends_sha256 FROM k JOIN s USING (node)
+"""
+
+ORACLES = {"op1_mix_sources": OP1, "op3_quality_rules": OP3, "op5_license_scan": OP5, "op8_decontaminate": OP8, "op10_lm_scores": OP10, "op11_prefix_trie": OP11}

@@ -10,7 +10,8 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language, licenses, lm, mixing, near_dedup, quality, secrets, substring_dedup, tokens
+from . import conversations, decontaminate, language, licenses, lm, mixing, near_dedup, quality, secrets, substring_dedup, tokens
+from .shared import Scratch
 
 VOCABULARY = "word_bpe_49k.json"
 TOKEN_LIMIT = 2048
@@ -87,4 +88,25 @@ def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", *[F.round(c, 6).alias(c) for c in ("log_prob", "score")])
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_near_dedup, op3_quality_rules, op4_token_counts, op5_license_scan, op6_secret_scan, op7_language_id, op8_decontaminate, op9_substring_dedup, op10_lm_scores)}
+def rebuilt(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Conversations whose first turns are another's: of c - c % 5 its first h, then c's own after its first h, with h = crc32(c) % 9.
+
+    ``rows``: as of ``conversations.ordered``. Returns (conv_id, pos, key, n_bytes), and every conversation, also those that have no turns left.
+    """
+    c = F.col("conv_id")
+    own = rows.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n"))
+    plan = own.select("conv_id", (c - c % 5).alias("base"), (F.crc32(c.cast("string").cast("binary")) % 9).alias("h"))
+    plan = plan.join(own.select(F.col("conv_id").alias("base"), F.col("n").alias("n_base")), "base", "left").withColumn("taken", F.least("h", F.coalesce("n_base", F.lit(0))))
+    heads = rows.filter(F.col("pos") < 9).withColumnRenamed("conv_id", "base").join(plan, "base").filter(F.col("pos") < F.col("h"))
+    tails = rows.join(plan, "conv_id").filter(F.col("pos") >= F.col("h")).withColumn("pos", F.col("pos") - F.col("h") + F.col("taken"))
+    columns = ["conv_id", "pos", "key", "n_bytes"]
+    return heads.select(*columns).union(tails.select(*columns)), plan.select("conv_id")
+
+
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scratch = Scratch(spark, "op11")
+    turns, convs = rebuilt(conversations.ordered(_table(spark, sf_dir, "conversations"), scratch))
+    return conversations.nodes(scratch.table(turns), scratch.table(convs), scratch)
+
+
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_near_dedup, op3_quality_rules, op4_token_counts, op5_license_scan, op6_secret_scan, op7_language_id, op8_decontaminate, op9_substring_dedup, op10_lm_scores, op11_prefix_trie)}
