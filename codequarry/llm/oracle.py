@@ -128,4 +128,11 @@ s AS (SELECT a.node, sum((k.n_convs - 1) * k.bytes)::BIGINT AS saved_tokens, cou
 SELECT conv_id, depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, ends_sha256 FROM k JOIN s USING (node)
 """
 
-ORACLES = {"op1_mix_sources": OP1, "op3_quality_rules": OP3, "op5_license_scan": OP5, "op8_decontaminate": OP8, "op10_lm_scores": OP10, "op11_prefix_trie": OP11}
+OP12 = """
+WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+p AS (SELECT q.vec_id AS query_id, c.vec_id, list_distance(q.v, c.v) AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 100 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id)::INTEGER AS rank FROM p)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
+"""
+
+ORACLES = {"op1_mix_sources": OP1, "op3_quality_rules": OP3, "op5_license_scan": OP5, "op8_decontaminate": OP8, "op10_lm_scores": OP10, "op11_prefix_trie": OP11, "op12_nearest_neighbours": OP12}

@@ -10,10 +10,11 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import conversations, decontaminate, language, licenses, lm, mixing, near_dedup, quality, secrets, substring_dedup, tokens
+from . import alignment, conversations, decontaminate, language, licenses, lm, mixing, near_dedup, neighbours, quality, secrets, substring_dedup, tokens
 from .shared import Scratch
 
 VOCABULARY = "word_bpe_49k.json"
+BYTE_VOCABULARY, PIECE_VOCABULARY = "byte_bpe_50k.json", "piece_bpe_32k.model"
 TOKEN_LIMIT = 2048
 
 
@@ -109,4 +110,13 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.nodes(scratch.table(turns), scratch.table(convs), scratch)
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_near_dedup, op3_quality_rules, op4_token_counts, op5_license_scan, op6_secret_scan, op7_language_id, op8_decontaminate, op9_substring_dedup, op10_lm_scores, op11_prefix_trie)}
+def op12_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = alignment.align(_table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_VOCABULARY), public_tokenizers.path(PIECE_VOCABULARY))
+    return out.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_near_dedup, op3_quality_rules, op4_token_counts, op5_license_scan, op6_secret_scan, op7_language_id, op8_decontaminate, op9_substring_dedup, op10_lm_scores, op11_prefix_trie, op12_nearest_neighbours, op13_token_alignment)}
