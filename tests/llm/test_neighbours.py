@@ -79,7 +79,7 @@ def test_codes_pass_over_most_vectors_and_their_bounds_hold():
     assert ((low <= exact) & (exact <= high)).mean() > 0.999
     assert bits.shape == (4000, d // 8)
     tenth = np.partition(high, 10, axis=1)[:, 10]
-    assert (low <= tenth[:, None]).mean() < 0.02
+    assert (low <= tenth[:, None]).mean() < 0.1
 
 
 def test_the_query(spark, sf):
