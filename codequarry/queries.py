@@ -511,6 +511,30 @@ def enclosing_symbol_lines(spark, d):
     return enclosing_symbol(spark, d)
 
 
+NESTED = LINES + """, word AS (SELECT path, line, regexp_extract(content, '[A-Za-z]+') AS word, max(line) OVER (PARTITION BY path) AS last FROM lines),
+ lev AS (SELECT *, length(word) % 3 AS level FROM word WHERE word <> ''),
+ nested AS (SELECT path, row_number() OVER o AS def_ord, lower(word) AS name, ['class', 'function', 'variable'][level + 1] AS kind, line,
+ coalesce(CASE level WHEN 0 THEN min(CASE WHEN level = 0 THEN line END) OVER f WHEN 1 THEN min(CASE WHEN level <= 1 THEN line END) OVER f ELSE min(line) OVER f END - 1, last) AS end_line, regexp_matches(word, '^[A-Z]') AS exported
+ FROM lev WINDOW o AS (PARTITION BY path ORDER BY line), f AS (PARTITION BY path ORDER BY line ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING))"""
+
+
+def _sql_outline(defs: str, name: str) -> str:
+    return f"""WITH RECURSIVE {defs}, n AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY line, end_line DESC, name, def_ord) AS node FROM {name}),
+ up AS (SELECT x.path, x.node, max(p.node) AS last FROM n x JOIN n p ON p.path = x.path AND p.node < x.node AND p.kind <> 'variable' AND p.end_line >= x.line GROUP BY 1, 2),
+ own AS (SELECT x.*, CASE WHEN p.end_line >= x.end_line THEN p.node END AS parent FROM n x LEFT JOIN up u ON u.path = x.path AND u.node = x.node LEFT JOIN n p ON p.path = x.path AND p.node = u.last),
+ deep AS (SELECT path, node, 0 AS depth FROM own WHERE parent IS NULL UNION ALL SELECT o.path, o.node, d.depth + 1 FROM own o JOIN deep d ON d.path = o.path AND d.node = o.parent)
+ SELECT o.path, o.node::BIGINT AS node, o.parent::BIGINT AS parent, d.depth::BIGINT AS depth, o.name, o.kind, o.line::BIGINT AS line, o.end_line::BIGINT AS end_line, o.exported FROM own o JOIN deep d USING (path, node)"""
+
+
+@query(
+    f"WITH {NESTED}, q AS (SELECT path, line AS \"at\" FROM lines), h AS (SELECT q.path, q.\"at\", x.name, x.line AS start, x.end_line AS \"end\", row_number() OVER (PARTITION BY q.path, q.\"at\" ORDER BY x.end_line - x.line, x.def_ord) AS k FROM q LEFT JOIN nested x ON x.path = q.path AND q.\"at\" BETWEEN x.line AND x.end_line) SELECT path, \"at\", name, start, \"end\" FROM h WHERE k = 1"
+)
+def enclosing_nested(spark, d):
+    """Of every line, among definitions within definitions."""
+    f = _files(spark, d)
+    return out(symbols.enclosing(tables.lines(f).select("repo_key", "path", F.col("line").alias("at")), tables.nested_definitions(f)))
+
+
 @query(
     f"WITH {FILES}, q AS (SELECT lang || '_' || doc_id || '.md' AS input FROM documents UNION ALL SELECT DISTINCT source || '/' || lang || '_1.md' FROM documents) SELECT q.input, min(f.path) AS path FROM (SELECT DISTINCT input FROM q) q JOIN files f ON f.path = q.input OR ends_with(f.path, '/' || q.input) GROUP BY q.input"
 )
@@ -543,12 +567,18 @@ def slice_text(spark, d):
     return out(navigation.slices(navigation.resolve_addresses(_addresses(spark, d), f, tables.definitions(f)), f))
 
 
-@query()
+@query(_sql_outline(DEFS.replace("SELECT path, row_number()", "SELECT path, 'function' AS kind, row_number()"), "defs"))
 def outline_tree(spark, d):
     """N5, J11."""
     return out(symbols.outline(tables.definitions(_files(spark, d))))
 
 
+@query(_sql_outline(NESTED, "nested"))
+def outline_nested(spark, d):
+    """Definitions within definitions."""
+    return out(symbols.outline(tables.nested_definitions(_files(spark, d))))
+
+
 FUNCTIONS = "fn AS (SELECT l_orderkey, count(*)::BIGINT AS cyclomatic, sum(l_quantity)::BIGINT // 5 AS cognitive, 10 * count(*)::BIGINT AS sloc FROM lineitem GROUP BY l_orderkey)"
 
 

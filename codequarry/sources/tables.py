@@ -40,6 +40,21 @@ def definitions(files: DataFrame) -> DataFrame:
     )
 
 
+def nested_definitions(files: DataFrame) -> DataFrame:
+    """Definitions within definitions: the length of a line's first word tells a class, function or variable, by its remainder by 3;
+    each ends before the next line that starts one of its kind or an outer kind, or with the file."""
+    named = lines(files).withColumn("word", F.regexp_extract("content", "[A-Za-z]+", 0)).withColumn("last", F.max("line").over(Window.partitionBy("repo_key", "path")))
+    named = named.filter(F.col("word") != "").withColumn("level", F.length("word") % 3)
+    order = Window.partitionBy("repo_key", "path").orderBy("line")
+    after = Window.partitionBy("repo_key", "path").orderBy(F.desc("line")).rowsBetween(Window.unboundedPreceding, -1)
+    next_of = lambda k: F.last(F.when(F.col("level") <= k, F.col("line")), ignorenulls=True).over(after)
+    end = F.when(F.col("level") == 0, next_of(0)).when(F.col("level") == 1, next_of(1)).otherwise(next_of(2)) - 1
+    return named.select(
+        "repo_key", "path", F.row_number().over(order).alias("def_ord"), F.lower("word").alias("name"), F.element_at(F.array(*[F.lit(k) for k in ("class", "function", "variable")]), F.col("level") + 1).alias("kind"), "line",
+        F.coalesce(end, F.col("last")).alias("end_line"), F.substring("content", 1, 200).alias("signature"), F.col("word").rlike("^[A-Z]").alias("exported"),
+    )
+
+
 def _place():
     """One order over the words of a file: by line, then by place in the line, whatever the length of either."""
     return F.col("line").cast("long") * (1 << 31) + F.col("pos")
