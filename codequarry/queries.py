@@ -333,6 +333,30 @@ def pagerank_nations(spark, d):
     return out(graphs.pagerank(nodes, edges, rounds=_PR_ROUNDS, tolerance=0.0)).withColumn("rank", F.round("rank", 6))
 
 
+_SYMBOL_ROUNDS = 12
+
+
+@query(
+    f"""WITH RECURSIVE {LIVE}, {IMPORTS}, num AS (SELECT path, row_number() OVER (ORDER BY path) AS i, (SELECT count(*) FROM files)::DOUBLE AS n FROM files),
+ pairs AS (SELECT DISTINCT c.path AS src, x.path AS dst FROM (SELECT DISTINCT path, to_name FROM calls) c JOIN (SELECT DISTINCT path, name FROM defs) x ON x.name = c.to_name AND x.path <> c.path),
+ w AS (SELECT src, dst, sum(w) AS w FROM (SELECT src, dst, 2.0::DOUBLE AS w FROM pairs UNION ALL SELECT i.path, f.path, count(*)::DOUBLE FROM imports i JOIN files f ON f.path = i.target WHERE f.path <> i.path GROUP BY 1, 2) GROUP BY 1, 2),
+ e AS (SELECT a.i AS src, b.i AS dst, w / sum(w) OVER (PARTITION BY src) AS share FROM w JOIN num a ON a.path = src JOIN num b ON b.path = dst),
+ r(k, ranks) AS (SELECT 0, (SELECT list(1 / n ORDER BY i) FROM num) UNION ALL
+  SELECT k + 1, (SELECT list(0.15::DOUBLE / n + 0.85::DOUBLE * (coalesce(got, 0) + lost / n) ORDER BY num.i)
+   FROM num LEFT JOIN (SELECT dst, sum(share * r.ranks[src]) AS got FROM e GROUP BY dst) g ON g.dst = num.i, (SELECT coalesce(sum(r.ranks[i]), 0) AS lost FROM num WHERE i NOT IN (SELECT src FROM e)) l) FROM r WHERE k < {_SYMBOL_ROUNDS}),
+ f AS (SELECT path, round(ranks[i] / list_sum(ranks), 9) AS score FROM r, num WHERE k = {_SYMBOL_ROUNDS}),
+ c AS (SELECT name, count(*) AS refs FROM live GROUP BY name)
+ SELECT path, def_ord::BIGINT AS def_ord, x.name, line::BIGINT AS line, score, coalesce(refs, 0)::BIGINT AS refs, row_number() OVER (ORDER BY score DESC, coalesce(refs, 0) DESC, path, line, def_ord)::BIGINT AS rank FROM defs x JOIN f USING (path) LEFT JOIN c ON c.name = x.name"""
+)
+def symbol_ranks(spark, d):
+    """So many rounds, scores to nine digits."""
+    f = _files(spark, d)
+    defs = tables.definitions(f)
+    refs = symbols.live_references(tables.references(f), defs).groupBy("repo_key", "name").agg(F.count(F.lit(1)).alias("refs"))
+    ranks = graphs.file_ranks(_imports(spark, d), tables.calls(f), defs, f, rounds=_SYMBOL_ROUNDS, tolerance=0.0).withColumn("rank", F.round("rank", 9))
+    return out(graphs.rank_symbols(defs, refs, ranks).select("repo_key", "path", "def_ord", "name", "line", "score", "refs", "rank"))
+
+
 @query(
     f"WITH RECURSIVE {NATIONS}, reach AS (SELECT src, dst FROM top UNION SELECT r.src, t.dst FROM reach r JOIN top t ON r.dst = t.src) SELECT a.src AS id, min(a.dst) AS scc FROM reach a JOIN reach b ON a.src = b.dst AND a.dst = b.src GROUP BY a.src"
 )
