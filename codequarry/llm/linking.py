@@ -6,8 +6,8 @@ different components are verified.
 
 Scale: a bucket's rows are combined in each batch before the shuffle: only the first item of a batch goes to the
 bucket, the others stay with it (``combined``), so a bucket however common sends one narrow row a batch. Pairs that are
-left are never rows: members are dealt into blocks, and each two blocks meet in one cell, which counts common features
-of all its pairs at once and verifies only pairs that these counts allow. The members of a bucket's largest component
+left are never rows: members are dealt into blocks, members of a batch and a block are one packed row, and each two blocks meet in one
+cell, which counts common features of all its pairs at once and verifies only pairs that these counts allow. The members of a bucket's largest component
 meet the others only, so what is left of a large class costs little. Cells of a bucket that stays mixed grow with the
 square of its blocks, and are dealt out one by one. What is passed on are tables in the shared folder.
 """
@@ -20,6 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,6 +29,8 @@ from .shared import Scratch
 
 #: Members of a block, about.
 BLOCK = 512
+#: Bytes of payloads, each counted once for every bucket, that are packed together.
+PACK_BYTES = 32 << 20
 #: So many pairs are verified without counting common features first.
 FEW = 16
 #: Features that are counted together.
@@ -163,34 +166,46 @@ def remaining(members: DataFrame, roots: DataFrame, payload: DataFrame, rule: Ru
         "bucket", F.when(~whole, F.col("major.root")).alias("major"), F.ceil(F.when(whole, F.col("n")).otherwise(F.col("n") - F.col("major.of_root")) / BLOCK).alias("others"),
         F.when(whole, 0).otherwise(F.ceil(F.col("major.of_root") / BLOCK)).alias("blocks"),
     )
+    major = scratch.table(major)
     is_major, deal = F.coalesce(F.col("root") == F.col("major"), F.lit(False)), F.xxhash64("node")
-    dealt = placed.join(major, "bucket").withColumn("block", F.when(is_major, F.col("others") + F.pmod(deal, "blocks")).otherwise(F.pmod(deal, "others")))
-    other = F.sequence(F.lit(0), F.when(is_major, F.col("others")).otherwise(F.col("others") + F.col("blocks")) - 1)
-    cells = dealt.select("bucket", "node", "root", "block", F.explode(other).alias("other")).select("bucket", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "node", "root", "block")
-    cells = scratch.table(cells)
+    dealt = placed.join(major, "bucket").withColumn("block", F.when(is_major, F.col("others") + F.pmod(deal, "blocks")).otherwise(F.pmod(deal, "others"))).select("bucket", "node", "root", "block")
+    # blocks of the largest component meet the others only
+    cells = major.select("bucket", "others", "blocks", F.explode(F.sequence(F.lit(0), F.col("others") - 1)).alias("lo"))
+    cells = scratch.table(cells.select("bucket", "lo", F.explode(F.sequence("lo", F.col("others") + F.col("blocks") - 1)).alias("hi")))
     n_cells = cells.count()
     if not n_cells:
-        return cells.select(F.col("node").alias("a"), F.col("root").alias("b"))
-    shared = cells.select("node", "bucket").distinct().groupBy("node").agg(F.collect_list("bucket").alias("buckets"))
-    full = cells.join(shared.join(payload, "node"), "node").repartition(scratch.tasks(n_cells, 4000), "bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi").select("bucket", "lo", "hi", "node", "root", "block", "buckets", "w")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, rows = None, []
-
-        def links() -> Iterator[pa.RecordBatch]:
-            found = cell_links(at[0], rows, rule) if len(rows) > 1 else []
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in zip(*found, strict=True)], names=["a", "b"])
-
-        for batch in batches:
-            for bucket, lo, hi, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if at != (bucket, lo, hi):
-                    yield from links()
-                    at, rows = (bucket, lo, hi), []
-                rows.append(tuple(row))
-        yield from links()
-
-    return full.mapInArrow(run, "a binary, b binary").distinct()
+        return dealt.select(F.col("node").alias("a"), F.col("root").alias("b")).limit(0)
+    # a member moves once with its payload; in each batch those of one block are packed, however many buckets they share
+    places = dealt.groupBy("node").agg(F.first("root").alias("root"), F.collect_list(F.struct("bucket", "block")).alias("places"))
+    packed = places.join(payload, "node").select("node", "root", "places", "w").mapInArrow(_packed, "bucket long, block long, items array<struct<node:binary,root:binary,buckets:array<bigint>,w:binary>>")
+    met = cells.select("bucket", "lo", "hi", F.explode(F.array_distinct(F.array("lo", "hi"))).alias("block"))
+
+    def meet(key: tuple, t: pa.Table) -> pa.Table:
+        rows = [(x["node"], x["root"], block, x["buckets"], x["w"]) for block, items in zip(t.column("block").to_pylist(), t.column("items").to_pylist(), strict=True) for x in items]
+        found = cell_links(key[0].as_py(), rows, rule) if len(rows) > 1 else []
+        return pa.table([pa.array([f[i] for f in found], pa.binary()) for i in (0, 1)], names=["a", "b"])
+
+    return packed.join(met, ["bucket", "block"]).repartition(scratch.tasks(n_cells, 200), "bucket", "lo", "hi").groupBy("bucket", "lo", "hi").applyInArrow(meet, "a binary, b binary").distinct()
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(bucket, block, items) from (node, root, places, w): the items of a run of rows that lie in one block of a bucket are one row."""
+    for whole in batches:
+        n_places, sizes = whole.column("places").value_lengths().to_numpy(), pa.compute.binary_length(whole.column("w")).to_numpy()
+        run = np.cumsum((sizes + 64) * n_places) // PACK_BYTES
+        bounds = np.flatnonzero(np.concatenate(([True], run[1:] != run[:-1], [True]))) if run.size else [0]
+        for lo, hi in zip(bounds, bounds[1:], strict=False):
+            b = whole.slice(lo, hi - lo)
+            flat = b.column("places").flatten()
+            bucket, block = (flat.field(i).to_numpy() for i in (0, 1))
+            lengths = n_places[lo:hi]
+            row = np.repeat(np.arange(b.num_rows), lengths)
+            buckets = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(lengths))).astype(np.int32)), pa.array(bucket))
+            items = pa.StructArray.from_arrays([b.column("node"), b.column("root"), buckets, b.column("w")], names=["node", "root", "buckets", "w"])
+            order = np.lexsort((block, bucket))
+            starts = np.flatnonzero(np.concatenate(([True], (np.diff(bucket[order]) != 0) | (np.diff(block[order]) != 0))))
+            offsets = pa.array(np.append(starts, order.size).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[order][starts]), pa.array(block[order][starts]), pa.ListArray.from_arrays(offsets, items.take(pa.array(row[order])))], names=["bucket", "block", "items"])
 
 
 def link_classes(members: DataFrame, payload: DataFrame, rule: Rule, scratch: Scratch) -> tuple[DataFrame, DataFrame]:

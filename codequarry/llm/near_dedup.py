@@ -1,13 +1,14 @@
 """Near-duplicate documents by Order MinHash, verified by banded alignment.
 
-A document is its sequence of words. A sketch hashes its occurrence-labelled 5-word k-mers with a function of its
-own, takes those with the two least hashes and keeps the order in which they stand in the text. Documents that agree on
+A document is its sequence of words. A sketch hashes its occurrence-labelled k-mers with a function of its
+own, takes those with the two or three least hashes and keeps the order in which they stand in the text. Documents that agree on
 a sketch are candidates; they are near duplicates if the word edit distance, computed by alignment within the band
 that the threshold allows, leaves a similarity of 0.8 or more.
 
-The chance to agree on a sketch is the square of the k-mers' similarity. If edits are scattered, that is 0.8^5 / (2 -
-0.8^5) = 0.196 for pairs at the threshold, and such a pair is missed with a chance of (1 - 0.196^2)^64, eight in a
-hundred; at an edit similarity of 0.9 (0.42), of five in a million.
+K-mers have five words, in texts of fewer than 250 words two to four (``SHORT``): of a text of nine words no k-mer of five outlives
+an edit in the middle. The chance to agree on a sketch is the square of the k-mers' similarity. If edits are scattered in a long text, that is
+0.8^5 / (2 - 0.8^5) = 0.196 for pairs at the threshold, and such a pair is missed with a chance of (1 - 0.196^2)^72, six in a
+hundred; at an edit similarity of 0.9 (0.42), of one in a million. Tests measure every length.
 
 Scale: documents of a batch with equal words, or that agree on a sketch, go on as one row each batch; see ``linking``.
 """
@@ -29,19 +30,22 @@ from .linking import Rule, combined, link_classes, shared_buckets
 from .shared import Scratch, fresh, quoted, row_key
 
 #: Words in a k-mer; least similarity; sketches; k-mers in a sketch.
-K, SIMILARITY, SKETCHES, PICKED = 5, 0.8, 64, 2
+K, SIMILARITY, SKETCHES, PICKED = 5, 0.8, 72, 2
+#: (words that a text has fewer of, words in a k-mer, k-mers in a sketch) of shorter texts, in which few edits leave no k-mer of five words.
+#: Limits are further apart than lengths of similar texts.
+SHORT = ((8, 2, 2), (16, 2, 3), (48, 3, 2), (250, 4, 2))
 #: Characters whose k-mers are sketched together.
 TOGETHER = 1 << 19
 _ODD = (np.random.default_rng(20240501).integers(0, 1 << 63, SKETCHES * 4, np.uint64) << np.uint64(1)) | np.uint64(1)
 
 
-def sketches(words: np.ndarray, bounds: np.ndarray, n: int = SKETCHES, picked: int = PICKED) -> np.ndarray:
+def sketches(words: np.ndarray, bounds: np.ndarray, n: int = SKETCHES, picked: int = PICKED, k: int = K, salt: int = 0) -> np.ndarray:
     """One key per text and sketch (a row of ``n``; of a text without words, zeros): the ``picked`` least k-mers by the
     sketch's own hash, in text order. Texts follow each other in ``words``.
 
     The last bits of a hash are replaced by the k-mer's place, so that the least hash tells where it stands.
     """
-    grams, ends = text_kmers(words, bounds, K)
+    grams, ends = text_kmers(words, bounds, k)
     out = np.zeros((bounds.size - 1, n), np.uint64)
     live = np.flatnonzero(np.diff(ends) > 0)
     if not live.size:
@@ -59,13 +63,37 @@ def sketches(words: np.ndarray, bounds: np.ndarray, n: int = SKETCHES, picked: i
             at = (np.minimum.reduceat(h, starts) & mask).astype(np.int64)
             picks.append(np.where(size > j, at, picks[0]) if j else at)
             h[picks[-1]] = ~np.uint64(0)
-        key = np.full(live.size, i + 1, np.uint64)
+        key = np.full(live.size, i + 1 + salt * n, np.uint64)
         for at in np.sort(np.stack(picks), axis=0):
             key = mixed(key * np.uint64(0x9E3779B97F4A7C15) + grams[at])
         out[live, i] = key
     return out.view(np.int64)
 
 
+def bucket_keys(words: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(text, key) of all sketches of texts that follow each other, by text. Texts without words have none.
+
+    A text has the sketches of its own length, and those of the length of the shortest text that is similar to it, if these are others: so two
+    similar texts have those of one length in common.
+    """
+    n = np.diff(bounds)
+    limits = [limit for limit, _, _ in SHORT]
+    form, shorter = np.searchsorted(limits, n, "right"), np.searchsorted(limits, np.ceil(SIMILARITY * n - 1e-9), "right")
+    texts, keys = [], []
+    for f, (k, picked) in enumerate([*((k, picked) for _, k, picked in SHORT), (K, PICKED)]):
+        own = np.flatnonzero((n > 0) & ((form == f) | (shorter == f)))
+        if own.size:
+            part = np.concatenate([words[bounds[t] : bounds[t + 1]] for t in own])
+            found = sketches(part, np.concatenate(([0], np.cumsum(n[own]))), picked=picked, k=k, salt=len(SHORT) - f)
+            texts.append(np.repeat(own, found.shape[1]))
+            keys.append(found.ravel())
+    if not texts:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    texts, keys = np.concatenate(texts), np.concatenate(keys)
+    order = np.argsort(texts, kind="stable")
+    return texts[order], keys[order]
+
+
 def distance_within(a: np.ndarray, b: np.ndarray, most: int) -> int:
     """Word edit distance of two sequences, or ``most + 1`` if it is larger: only a band of diagonals is computed.
 
@@ -158,17 +186,19 @@ def _sketched(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(2).to_pylist()
-            nodes, sizes, parts = [], [], []
+            nodes, sizes, parts, owned = [], [], [], []
             for lo, hi in pieces(texts, TOGETHER):
                 words, bounds = hashed_words(texts[lo:hi])
                 size = np.diff(bounds)
                 sizes.append(size)
                 nodes += [blake2b(b" ".join(split_words(t)), digest_size=16).digest() if n else None for t, n in zip(texts[lo:hi], size, strict=True)]
-                parts.append(sketches(words, bounds))
+                of, keys = bucket_keys(words, bounds)
+                owned.append(of + lo)
+                parts.append(keys)
             n, number = np.concatenate(sizes).astype(np.int32), {}
-            fresh_rows = np.array([k for k, x in enumerate(nodes) if x is not None and number.setdefault(x, k) == k], np.int64)
-            keys = np.concatenate(parts)[fresh_rows].ravel()
-            owners = np.repeat(fresh_rows, SKETCHES)
+            stands = np.array([x is not None and number.setdefault(x, k) == k for k, x in enumerate(nodes)], bool)
+            owners, keys = np.concatenate(owned), np.concatenate(parts)
+            owners, keys = owners[stands[owners]], keys[stands[owners]]
             first, several = combined(keys, owners)
             own = first == np.arange(keys.size)
             rows = np.arange(len(texts) + 1)
