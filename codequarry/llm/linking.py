@@ -166,46 +166,53 @@ def remaining(members: DataFrame, roots: DataFrame, payload: DataFrame, rule: Ru
         "bucket", F.when(~whole, F.col("major.root")).alias("major"), F.ceil(F.when(whole, F.col("n")).otherwise(F.col("n") - F.col("major.of_root")) / BLOCK).alias("others"),
         F.when(whole, 0).otherwise(F.ceil(F.col("major.of_root") / BLOCK)).alias("blocks"),
     )
-    major = scratch.table(major)
     is_major, deal = F.coalesce(F.col("root") == F.col("major"), F.lit(False)), F.xxhash64("node")
-    dealt = placed.join(major, "bucket").withColumn("block", F.when(is_major, F.col("others") + F.pmod(deal, "blocks")).otherwise(F.pmod(deal, "others"))).select("bucket", "node", "root", "block")
-    # blocks of the largest component meet the others only
-    cells = major.select("bucket", "others", "blocks", F.explode(F.sequence(F.lit(0), F.col("others") - 1)).alias("lo"))
-    cells = scratch.table(cells.select("bucket", "lo", F.explode(F.sequence("lo", F.col("others") + F.col("blocks") - 1)).alias("hi")))
-    n_cells = cells.count()
+    major = scratch.table(major)
+    n_cells = major.agg(F.sum(F.col("others") * (F.col("others") + 1) / 2 + F.col("others") * F.col("blocks"))).first()[0]
+    dealt = placed.join(major, "bucket").withColumn("block", F.when(is_major, F.col("others") + F.pmod(deal, "blocks")).otherwise(F.pmod(deal, "others")))
     if not n_cells:
         return dealt.select(F.col("node").alias("a"), F.col("root").alias("b")).limit(0)
-    # a member moves once with its payload; in each batch those of one block are packed, however many buckets they share
-    places = dealt.groupBy("node").agg(F.first("root").alias("root"), F.collect_list(F.struct("bucket", "block")).alias("places"))
-    packed = places.join(payload, "node").select("node", "root", "places", "w").mapInArrow(_packed, "bucket long, block long, items array<struct<node:binary,root:binary,buckets:array<bigint>,w:binary>>")
-    met = cells.select("bucket", "lo", "hi", F.explode(F.array_distinct(F.array("lo", "hi"))).alias("block"))
+    # a member meets its payload once; what a batch has for one cell is one row, and only that is dealt out by cells
+    places = dealt.groupBy("node").agg(F.first("root").alias("root"), F.collect_list(F.struct("bucket", *[F.col(c).cast("long").alias(c) for c in ("block", "others", "blocks")])).alias("places"))
+    packed = places.join(payload, "node").select("node", "root", "places", "w").mapInArrow(_packed, f"bucket long, lo long, hi long, items array<{_ITEM}>")
 
     def meet(key: tuple, t: pa.Table) -> pa.Table:
-        rows = [(x["node"], x["root"], block, x["buckets"], x["w"]) for block, items in zip(t.column("block").to_pylist(), t.column("items").to_pylist(), strict=True) for x in items]
+        rows = [(x["node"], x["root"], x["block"], x["buckets"], x["w"]) for items in t.column("items").to_pylist() for x in items]
         found = cell_links(key[0].as_py(), rows, rule) if len(rows) > 1 else []
         return pa.table([pa.array([f[i] for f in found], pa.binary()) for i in (0, 1)], names=["a", "b"])
 
-    return packed.join(met, ["bucket", "block"]).repartition(scratch.tasks(n_cells, 200), "bucket", "lo", "hi").groupBy("bucket", "lo", "hi").applyInArrow(meet, "a binary, b binary").distinct()
+    return packed.repartition(scratch.tasks(int(n_cells), 200), "bucket", "lo", "hi").groupBy("bucket", "lo", "hi").applyInArrow(meet, "a binary, b binary").distinct()
+
+
+_ITEM = "struct<node:binary,root:binary,block:bigint,buckets:array<bigint>,w:binary>"
 
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(bucket, block, items) from (node, root, places, w): the items of a run of rows that lie in one block of a bucket are one row."""
+    """(bucket, lo, hi, items) from (node, root, places, w): the items of a run of rows that meet in one cell are one row.
+
+    A block meets every other one of its bucket and itself; those of the largest component, which come last, meet the others only.
+    """
     for whole in batches:
-        n_places, sizes = whole.column("places").value_lengths().to_numpy(), pa.compute.binary_length(whole.column("w")).to_numpy()
-        run = np.cumsum((sizes + 64) * n_places) // PACK_BYTES
+        lists = whole.column("places")
+        n_places, flat = lists.value_lengths().to_numpy(), lists.flatten()
+        bucket, block, others, blocks = (flat.field(i).to_numpy() for i in range(4))
+        row = np.repeat(np.arange(whole.num_rows), n_places)
+        meets = np.where(block < others, others + blocks, others)
+        buckets = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n_places))).astype(np.int32)), pa.array(bucket))
+        place = np.repeat(np.arange(row.size), meets)
+        other = np.arange(place.size) - np.repeat(np.cumsum(meets) - meets, meets)
+        size = pa.compute.binary_length(whole.column("w")).to_numpy() + 64 + 8 * n_places
+        run = np.cumsum(size[row[place]]) // PACK_BYTES
         bounds = np.flatnonzero(np.concatenate(([True], run[1:] != run[:-1], [True]))) if run.size else [0]
         for lo, hi in zip(bounds, bounds[1:], strict=False):
-            b = whole.slice(lo, hi - lo)
-            flat = b.column("places").flatten()
-            bucket, block = (flat.field(i).to_numpy() for i in (0, 1))
-            lengths = n_places[lo:hi]
-            row = np.repeat(np.arange(b.num_rows), lengths)
-            buckets = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(lengths))).astype(np.int32)), pa.array(bucket))
-            items = pa.StructArray.from_arrays([b.column("node"), b.column("root"), buckets, b.column("w")], names=["node", "root", "buckets", "w"])
-            order = np.lexsort((block, bucket))
-            starts = np.flatnonzero(np.concatenate(([True], (np.diff(bucket[order]) != 0) | (np.diff(block[order]) != 0))))
-            offsets = pa.array(np.append(starts, order.size).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([pa.array(bucket[order][starts]), pa.array(block[order][starts]), pa.ListArray.from_arrays(offsets, items.take(pa.array(row[order])))], names=["bucket", "block", "items"])
+            p, o = place[lo:hi], other[lo:hi]
+            low, high = np.minimum(block[p], o), np.maximum(block[p], o)
+            order = np.lexsort((high, low, bucket[p]))
+            key = [x[order] for x in (bucket[p], low, high)]
+            starts = np.flatnonzero(np.concatenate(([True], np.any([np.diff(x) != 0 for x in key], axis=0))))
+            at = pa.array(row[p[order]])
+            items = pa.StructArray.from_arrays([whole.column("node").take(at), whole.column("root").take(at), pa.array(block[p[order]]), buckets.take(at), whole.column("w").take(at)], names=["node", "root", "block", "buckets", "w"])
+            yield pa.RecordBatch.from_arrays([*(pa.array(x[starts]) for x in key), pa.ListArray.from_arrays(pa.array(np.append(starts, order.size).astype(np.int32)), items)], names=["bucket", "lo", "hi", "items"])
 
 
 def link_classes(members: DataFrame, payload: DataFrame, rule: Rule, scratch: Scratch) -> tuple[DataFrame, DataFrame]:

@@ -1,14 +1,14 @@
 """Near-duplicate documents by Order MinHash, verified by banded alignment.
 
 A document is its sequence of words. A sketch hashes its occurrence-labelled k-mers with a function of its
-own, takes those with the two or three least hashes and keeps the order in which they stand in the text. Documents that agree on
+own, takes those with the two to four least hashes and keeps the order in which they stand in the text. Documents that agree on
 a sketch are candidates; they are near duplicates if the word edit distance, computed by alignment within the band
 that the threshold allows, leaves a similarity of 0.8 or more.
 
-K-mers have five words, in texts of fewer than 250 words two to four (``SHORT``): of a text of nine words no k-mer of five outlives
+K-mers have five words, in texts of fewer than 500 words two to four (``SHORT``): of a text of nine words no k-mer of five outlives
 an edit in the middle. The chance to agree on a sketch is the square of the k-mers' similarity. If edits are scattered in a long text, that is
-0.8^5 / (2 - 0.8^5) = 0.196 for pairs at the threshold, and such a pair is missed with a chance of (1 - 0.196^2)^72, six in a
-hundred; at an edit similarity of 0.9 (0.42), of one in a million. Tests measure every length.
+0.8^5 / (2 - 0.8^5) = 0.196 for pairs at the threshold, and such a pair is missed with a chance of (1 - 0.196^2)^64, eight in a
+hundred; at an edit similarity of 0.9 (0.42), of five in a million. Tests measure every length.
 
 Scale: documents of a batch with equal words, or that agree on a sketch, go on as one row each batch; see ``linking``.
 """
@@ -30,10 +30,10 @@ from .linking import Rule, combined, link_classes, shared_buckets
 from .shared import Scratch, fresh, quoted, row_key
 
 #: Words in a k-mer; least similarity; sketches; k-mers in a sketch.
-K, SIMILARITY, SKETCHES, PICKED = 5, 0.8, 72, 2
+K, SIMILARITY, SKETCHES, PICKED = 5, 0.8, 64, 2
 #: (words that a text has fewer of, words in a k-mer, k-mers in a sketch) of shorter texts, in which few edits leave no k-mer of five words.
 #: Limits are further apart than lengths of similar texts.
-SHORT = ((8, 2, 2), (16, 2, 3), (48, 3, 2), (250, 4, 2))
+SHORT = ((8, 2, 2), (16, 2, 3), (28, 3, 2), (48, 2, 4), (500, 4, 2))
 #: Characters whose k-mers are sketched together.
 TOGETHER = 1 << 19
 _ODD = (np.random.default_rng(20240501).integers(0, 1 << 63, SKETCHES * 4, np.uint64) << np.uint64(1)) | np.uint64(1)
