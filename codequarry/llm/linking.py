@@ -149,7 +149,7 @@ def remaining(members: DataFrame, roots: DataFrame, payload: DataFrame, rule: Ru
     The pair of a bucket of two has been verified already. Larger buckets are split by size first: similar items are of one size class or of neighbouring ones. Only parts with several
     components are left.
     """
-    placed = members.join(roots, "node", "left").select("bucket", "node", "n", F.coalesce("root", "node").alias("root"))
+    placed = scratch.table(members.join(roots, "node", "left").select("bucket", "node", "n", F.coalesce("root", "node").alias("root")))
     size_class = F.floor(F.log(F.col("n").cast("double")) / math.log(1 / rule.ratio + 1e-6)) if rule.ratio else F.lit(0).cast("long")
     placed = placed.withColumn("class", size_class)
     line, mix = Window.partitionBy("bucket").orderBy("class"), lambda o: F.least("low", o["low"]) != F.greatest("high", o["high"])
@@ -159,7 +159,9 @@ def remaining(members: DataFrame, roots: DataFrame, payload: DataFrame, rule: Ru
     lower = (F.col("low") != F.col("high")) | ((F.col("up.class") == F.col("class") + 1) & mix(F.col("up")))
     upper = (F.col("down.class") == F.col("class") - 1) & mix(F.col("down"))
     parts = by_class.select("bucket", "class", F.array_compact(F.array(F.when(upper, F.col("class")), F.when(lower, F.col("class") + 1))).alias("parts")).filter(F.size("parts") > 0)
+    # written, since two jobs read it
     placed = placed.join(parts, ["bucket", "class"]).select("bucket", "node", "root", F.explode("parts").alias("part")).select(F.xxhash64("bucket", "part").alias("bucket"), "node", "root")
+    placed = scratch.table(placed)
     major = placed.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("of_root")).groupBy("bucket").agg(F.max(F.struct("of_root", "root")).alias("major"), F.sum("of_root").alias("n"), F.count(F.lit(1)).alias("n_roots")).filter("n_roots > 1")
     whole = F.col("n") <= BLOCK
     major = major.select(
