@@ -87,3 +87,6 @@ MODULE_HEADS = ("packages", "libs", "modules", "apps", "src")
 HIGH_CYCLOMATIC, HIGH_COGNITIVE, MEAN_CYCLOMATIC, COMMENT_SHARE = 15, 25, 5, 0.05
 # Package managers by lock file, in order.
 LOCK_FILES = (("pnpm-lock.yaml", "pnpm"), ("yarn.lock", "yarn"), ("bun.lockb", "bun"), ("package-lock.json", "npm"))
+# White space, and a line by which a model asks for a slice; the look-ahead is the end in every dialect.
+WHITE = "[\t-\r \u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]"
+MARKER_LINE = rf"^{WHITE}*`{{0,3}}@@expand{WHITE}+([^{WHITE[1:-1]}`]+)`{{0,3}}{WHITE}*(?![\s\S])"

@@ -176,6 +176,12 @@ def file_of_address(address: Column) -> Column:
     return F.when(lines != "", lines).when(address.startswith("index:"), F.substring(address, 7, 1 << 30)).otherwise(address)
 
 
+def marker_addresses(text: Column) -> Column:
+    """The addresses of a text's marker lines, in their order."""
+    lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(X.MARKER_LINE))
+    return F.transform(lines, lambda x: F.regexp_extract(x, X.MARKER_LINE, 1))
+
+
 def rotate_to_least(items: Column) -> Column:
     """an array turned so that its least element comes first."""
     at = F.array_position(items, F.array_min(items)).cast("int")

@@ -726,13 +726,53 @@ def class_diagram(spark, d):
     return out(diagrams.class_diagram(*modules.top_classes(nodes, edges)))
 
 
-@query()
+@query("SELECT conv_id::VARCHAR AS session, coalesce(string_agg(text || chr(10), '' ORDER BY turn), '') AS text, string_agg('f' || turn || ':1', ' ' ORDER BY turn) AS addresses FROM conversations WHERE text IS NOT NULL GROUP BY conv_id")
 def marker_filter(spark, d):
     """Z2, over conversations as sessions of chunks."""
     from .streaming import markers
 
-    c = read(spark, d, "conversations").select(F.col("conv_id").cast("string").alias("session"), F.col("turn").alias("seq"), F.concat("text", F.lit("\n@@expand f"), F.col("turn").cast("string"), F.lit(":1\n")).alias("chunk"))
-    return markers.filter_transcripts(c)
+    c = read(spark, d, "conversations").filter("text IS NOT NULL").select(F.col("conv_id").cast("string").alias("session"), F.col("turn").alias("seq"), F.concat("text", F.lit("\n@@expand f"), F.col("turn").cast("string"), F.lit(":1\n")).alias("chunk"))
+    return markers.filter_transcripts(c).withColumn("addresses", F.array_join("addresses", " "))
+
+
+_ASKED = """a AS (SELECT session, row_number() OVER (PARTITION BY session ORDER BY turn) - 1 AS n, ['f' || (length(t) % 3) || ':1', 'f' || (length(t) % 7) || ':1'] AS m
+   FROM (SELECT conv_id::VARCHAR AS session, turn, coalesce(min(text), '') AS t FROM conversations GROUP BY ALL)),
+ w AS (SELECT session, n, m, []::VARCHAR[] AS asked FROM a WHERE n = 0
+   UNION ALL SELECT a.session, a.n, a.m, list_append(w.asked, list_filter(w.m, lambda x: NOT list_contains(w.asked, x))[1]) FROM w JOIN a ON a.session = w.session AND a.n = w.n + 1
+   WHERE w.n < 3 AND len(list_filter(w.m, lambda x: NOT list_contains(w.asked, x))) > 0),
+ s AS (SELECT 'f' || (doc_id % 6) || ':1' AS address, doc_id % 6 <> 4 AS ok, min(length(text)) AS tokens, sum(length(text)) AS file_tokens FROM documents GROUP BY ALL),
+ e AS (SELECT session, n, 'hit' AS event, unnest(list_filter(m, lambda x: list_contains(asked, x))) AS address FROM w
+   UNION ALL SELECT session, n, CASE WHEN fresh IS NULL OR n >= 3 THEN 'end' ELSE 'slice' END, CASE WHEN n < 3 THEN fresh END FROM (SELECT *, list_filter(m, lambda x: NOT list_contains(asked, x))[1] AS fresh FROM w)),
+ ev AS (SELECT session, n::INTEGER AS round, event, address, CASE WHEN event = 'slice' THEN coalesce(ok, false) END AS ok, CASE WHEN event = 'slice' THEN CASE WHEN ok THEN tokens ELSE 0 END END::BIGINT AS tokens,
+   CASE WHEN event = 'slice' AND ok THEN file_tokens END::BIGINT AS file_tokens, CASE WHEN event = 'slice' AND NOT coalesce(ok, false) THEN CASE WHEN ok IS NULL THEN 'not-found' ELSE 'ambiguous' END END AS reason FROM e LEFT JOIN s USING (address))"""
+
+
+def _expansions(spark: SparkSession, d: str) -> DataFrame:
+    """Turns as answers with two markers and a line that is none; slices are summed up from documents."""
+    from .streaming import expansion
+
+    size = F.length("text")
+    turns = read(spark, d, "conversations").groupBy(F.col("conv_id").cast("string").alias("session"), F.col("turn").alias("seq")).agg(F.coalesce(F.min("text"), F.lit("")).alias("text"))
+    asks = lambda n: F.concat(F.lit("f"), F.pmod(size, F.lit(n)).cast("string"), F.lit(":1"))
+    answers = turns.withColumn("text", F.concat("text", F.lit("\n@@expand "), asks(3), F.lit("\n@@expand no address\n  `@@expand "), asks(7), F.lit("`")))
+    of = F.pmod("doc_id", F.lit(6))
+    slices = read(spark, d, "documents").groupBy(of.alias("k")).agg(F.min(size).alias("tokens"), F.sum(size).alias("file_tokens"))
+    slices = slices.select(F.concat(F.lit("f"), F.col("k").cast("string"), F.lit(":1")).alias("address"), F.when(F.col("k") == 4, "ambiguous").otherwise("ok").alias("kind"), "tokens", "file_tokens", F.lit(None).cast("string").alias("reason"))
+    return expansion.expand(answers, slices)
+
+
+@query(f"WITH RECURSIVE {_ASKED} SELECT * FROM ev")
+def expansion_events(spark, d):
+    """Z4, over conversations as sessions of answers."""
+    return _expansions(spark, d)
+
+
+@query(f"WITH RECURSIVE {_ASKED} SELECT session, f.address, round, ok, tokens, (SELECT count(*) FROM ev h WHERE h.session IS NOT DISTINCT FROM f.session AND h.event = 'hit' AND h.address = f.address)::BIGINT AS hits FROM ev f WHERE event = 'slice'")
+def expansion_slices(spark, d):
+    """What each session fetched, and how often it came back to it."""
+    from .streaming.expansion import slices_of
+
+    return slices_of(_expansions(spark, d)).select("session", "address", "round", "ok", "tokens", "hits")
 
 
 @query("SELECT date_trunc('hour', ts) AS start, event_type, count(*)::BIGINT AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")

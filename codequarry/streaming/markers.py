@@ -3,51 +3,36 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-MARKER = "@@expand "
+from ..functions.fixed import MARKER_LINE
 
+MARKER = re.compile(MARKER_LINE)
 
-class MarkerFilter:
-    """Passes text on but for lines that start with the marker, however they are cut into chunks.
 
-    Text is held back only while it may still become a marker line.
-    """
+class MarkerFilter:
+    """Passes whole lines on but for markers, however they are cut into chunks; a line is held back until it ends."""
 
-    def __init__(self, held: str = "", at_start: bool = True):
-        self.held, self.at_start, self.addresses = held, at_start, []
+    def __init__(self, held: str = ""):
+        self.held, self.addresses = held, []
 
     def feed(self, chunk: str) -> str:
-        out, text = [], self.held + chunk
-        self.held = ""
-        while text:
-            if self.at_start:
-                if text.startswith(MARKER):
-                    line, end, rest = text.partition("\n")
-                    if not end:
-                        self.held = text
-                        break
-                    self.addresses.append(line[len(MARKER) :].strip())
-                    text = rest
-                    continue
-                if MARKER.startswith(text[: len(MARKER)]) and len(text) < len(MARKER):
-                    self.held = text
-                    break
-            line, end, text = text.partition("\n")
-            out.append(line + end)
-            self.at_start = bool(end)
-        return "".join(out)
+        *lines, self.held = (self.held + chunk).split("\n")
+        return "".join(x + "\n" for x in lines if self._passes(x))
 
     def finish(self) -> str:
-        held, self.held = self.held, ""
-        if held.startswith(MARKER):
-            self.addresses.append(held[len(MARKER) :].strip())
-            return ""
-        return held
+        last, self.held = self.held, ""
+        return last if self._passes(last) else ""
+
+    def _passes(self, line: str) -> bool:
+        if found := MARKER.match(line):
+            self.addresses.append(found[1])
+        return found is None
 
 
 class DeltaParser:
@@ -94,10 +79,10 @@ def filter_markers(chunks: DataFrame) -> DataFrame:
         f = MarkerFilter(*state.get) if state.exists else MarkerFilter()
         rows = pd.concat(list(frames)).sort_values("seq")
         text = "".join(f.feed(c or "") for c in rows["chunk"])
-        state.update((f.held, f.at_start))
+        state.update((f.held,))
         yield pd.DataFrame({"session": [key[0]], "text": [text], "addresses": [f.addresses]})
 
-    return chunks.groupBy("session").applyInPandasWithState(update, "session string, text string, addresses array<string>", "held string, at_start boolean", "append", GroupStateTimeout.NoTimeout)
+    return chunks.groupBy("session").applyInPandasWithState(update, "session string, text string, addresses array<string>", "held string", "append", GroupStateTimeout.NoTimeout)
 
 
 def filter_transcripts(chunks: DataFrame) -> DataFrame:
@@ -119,12 +104,3 @@ def parse_deltas(chunks: DataFrame) -> DataFrame:
         return pd.DataFrame({"session": [pdf["session"].iloc[0]], "text": ["".join(p.feed(c or "") for c in pdf.sort_values("seq")["chunk"]) + p.finish()]})
 
     return chunks.groupBy("session").applyInPandas(run, "session string, text string")
-
-
-def expand(transcripts: DataFrame, max_rounds: int = 3) -> DataFrame:
-    """Z4 over recorded turns (session, round, address, ok): (session, address, round, hits, ok): each address fetched once, in its first
-    round up to ``max_rounds``; every later mention is a hit; a failure is told once."""
-    from pyspark.sql import functions as F
-
-    within = transcripts.filter(F.col("round") <= max_rounds)
-    return within.groupBy("session", "address").agg(F.min("round").alias("round"), (F.count(F.lit(1)) - 1).alias("hits"), F.min_by("ok", "round").alias("ok"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from codequarry.cache import FactCache, counters, split_by_cache
 from codequarry.extract import driver
 from codequarry.extract.driver import facts_of
+from codequarry.functions import text
 from codequarry.functions.tokens import fnv1a
 from codequarry.sources import repos, tree
 from codequarry.streaming import incremental, markers
@@ -184,7 +185,7 @@ def test_cache_and_stream(spark, tmp_path):
     assert streamed.count() == 0
 
 
-TRANSCRIPT = ["Hello\n@@exp", "and src/a.ts:3\nmore", " text @@expand no\n@", "@expand b.ts\n", "end\n@@ex"]
+TRANSCRIPT = ["Hello\n@@exp", "and src/a.ts:3\nmore", " text @@expand no\n@", "@expand b.ts\n", "@@expand two words\n \u00a0```@@expand  c.ts`` \r\n@@expand\nend\n@@ex"]
 
 
 def test_markers(spark, tmp_path):
@@ -192,10 +193,12 @@ def test_markers(spark, tmp_path):
     for cut in range(1, 9):
         f = markers.MarkerFilter()
         out = "".join(f.feed(whole[i : i + cut]) for i in range(0, len(whole), cut)) + f.finish()
-        assert out == "Hello\nmore text @@expand no\nend\n@@ex" and f.addresses == ["src/a.ts:3", "b.ts"]
+        assert out == "Hello\nmore text @@expand no\n@@expand two words\n@@expand\nend\n@@ex" and f.addresses == ["src/a.ts:3", "b.ts", "c.ts"]
     chunks = spark.createDataFrame([("s", i, c) for i, c in enumerate(TRANSCRIPT)], "session string, seq long, chunk string")
     r = markers.filter_transcripts(chunks).first()
-    assert r["addresses"] == ["src/a.ts:3", "b.ts"]
+    assert r["addresses"] == ["src/a.ts:3", "b.ts", "c.ts"]
+    whole_text = spark.createDataFrame([(whole,)], "text string")
+    assert whole_text.select(text.marker_addresses(F.col("text"))).first()[0] == ["src/a.ts:3", "b.ts", "c.ts"]
     for i, c in enumerate(TRANSCRIPT):
         chunks.filter(F.col("seq") == i).coalesce(1).write.parquet(str(tmp_path / "in" / str(i)))
     stream = spark.readStream.schema(chunks.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in" / "*"))
@@ -203,7 +206,7 @@ def test_markers(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     rows = spark.table("kept").collect()
-    assert sorted(a for x in rows for a in x["addresses"]) == ["b.ts", "src/a.ts:3"]
+    assert sorted(a for x in rows for a in x["addresses"]) == ["b.ts", "c.ts", "src/a.ts:3"]
 
 
 def test_deltas(spark):
@@ -213,8 +216,6 @@ def test_deltas(spark):
         assert "".join(p.feed(body[i : i + cut]) for i in range(0, len(body), cut)) + p.finish() == "Hello"
     chunks = spark.createDataFrame([("s", i, body[i * 20 : i * 20 + 20]) for i in range(20)], "session string, seq long, chunk string")
     assert markers.parse_deltas(chunks).first()["text"] == "Hello"
-    turns = spark.createDataFrame([("s", 1, "a", True), ("s", 2, "a", True), ("s", 2, "b", False), ("s", 9, "c", True)], "session string, round int, address string, ok boolean")
-    assert sorted((r["address"], r["hits"], r["ok"]) for r in markers.expand(turns).collect()) == [("a", 1, True), ("b", 0, False)]
 
 
 def test_cancellable(spark):
