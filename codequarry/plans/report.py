@@ -7,7 +7,7 @@ from html import escape
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import graphs, metrics, modules
+from ..operators import cycles, graphs, metrics, modules
 from .diagrams import call_diagram, module_diagram
 from .pack import Repository
 
@@ -22,7 +22,7 @@ def report_model(repo: Repository, edges: DataFrame, nodes: DataFrame, calls: Da
         model["top_files"] = rows(metrics.top_files(repo.file_metrics, 20).orderBy("rank"))
         model["top_functions"] = rows(metrics.top_functions(repo.function_metrics, 20).orderBy("rank"))
     model["reading"] = rows(graphs.reading_order(repo.files, edges).filter(F.col("order") <= 40).orderBy("order"))
-    model["cycles"] = [r["cycle"] for r in graphs.find_cycles(edges).orderBy(F.size("cycle"), F.get("cycle", F.lit(0))).limit(20).collect()]
+    model["cycles"] = [r["cycle"] for r in cycles.find_cycles(edges).orderBy(F.size("cycle"), F.get("cycle", F.lit(0))).limit(20).collect()]
     m = modules.modules(repo.files)
     model["layers"] = rows(modules.layers(m).orderBy(F.desc("files"), "purpose").limit(40))
     kept, kept_calls = graphs.top_graph(nodes, calls)

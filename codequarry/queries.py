@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .functions import fixed as X
 from .functions import paths, text
+from .operators.cycles import find_cycles
 from .operators import graphs, metrics, modules, navigation, resolve, search, symbols
 from .registry import query
 from .sources import tables, tree
@@ -366,11 +367,35 @@ def scc_members(spark, d):
     return out(graphs.strong_components(edges))
 
 
-@query()
+#: A depth-first search as a recursion over one row: what was met, the path to where it stands, and a step to the first neighbour not met, or back.
+_SEARCH = """adj AS (SELECT map(list(src), list(next)) AS m FROM (SELECT src, list(dst ORDER BY dst) AS next FROM e GROUP BY src)),
+ ids AS (SELECT list(id ORDER BY id) AS all_ids FROM (SELECT DISTINCT unnest([src, dst]) AS id FROM e)),
+ walk(seen, path) AS (SELECT []::VARCHAR[], []::VARCHAR[] UNION ALL SELECT CASE WHEN nxt IS NULL THEN seen ELSE list_append(seen, nxt) END, CASE WHEN nxt IS NULL THEN path[:-2] ELSE list_append(path, nxt) END
+   FROM (SELECT seen, path, list_filter(CASE WHEN len(path) = 0 THEN all_ids ELSE m[path[-1]] END, lambda x: NOT list_contains(seen, x))[1] AS nxt, all_ids FROM walk, adj, ids) WHERE len(path) > 0 OR len(seen) < len(all_ids)),
+ met AS (SELECT unnest(seen) AS id, unnest(range(1, len(seen) + 1)) AS pos FROM (SELECT seen FROM walk ORDER BY len(seen) DESC LIMIT 1)),
+ reach AS (SELECT src, dst FROM e UNION SELECT r.src, e.dst FROM reach r JOIN e ON r.dst = e.src),
+ scc AS (SELECT DISTINCT a.src AS id, min(a.dst) OVER (PARTITION BY a.src) AS scc FROM reach a JOIN reach b ON a.src = b.dst AND a.dst = b.src),
+ turned AS (SELECT scc, id, pos, pos < min(CASE WHEN id = scc THEN pos END) OVER (PARTITION BY scc) AS before FROM scc JOIN met USING (id))
+ SELECT string_agg(id, ' ' ORDER BY before, pos) AS cycle, count(*)::BIGINT AS n FROM turned GROUP BY scc"""
+
+
+def _cycles(edges: DataFrame) -> DataFrame:
+    return find_cycles(edges).select(F.array_join("cycle", " ").alias("cycle"), F.size("cycle").cast("long").alias("n"))
+
+
+@query(f"WITH RECURSIVE {NATIONS}, e AS (SELECT src, dst FROM top), {_SEARCH}")
 def cycles(spark, d):
     """G11 with the order of members."""
     _, edges = _nations(spark, d)
-    return out(graphs.find_cycles(edges))
+    return _cycles(edges)
+
+
+@query(f"WITH RECURSIVE {NATIONS}, e AS (SELECT src, dst FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY w DESC, dst) AS k FROM top) WHERE k <= 2), {_SEARCH}")
+def trade_cycles(spark, d):
+    """G11 with the order of members, each nation with its two best customers."""
+    _, edges = _nations(spark, d)
+    best = Window.partitionBy("repo_key", "src").orderBy(F.desc("weight"), "dst")
+    return _cycles(edges.withColumn("k", F.row_number().over(best)).filter("k <= 2"))
 
 
 @query(
