@@ -103,7 +103,7 @@ def top(df: DataFrame, order: Sequence[Column | str], most: int, by: Sequence[st
     return df.withColumn("k", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col("k") <= most)
 
 
-def _joined(df: DataFrame, text: Column, sep: str, by: Sequence[str] = ("repo_key",)) -> DataFrame:
+def joined(df: DataFrame, text: Column, sep: str, by: Sequence[str] = ("repo_key",)) -> DataFrame:
     """(by, text): the texts of a bounded group, by ``k``."""
     return df.groupBy(*by).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", text.alias("t")))), lambda x: x["t"]), sep).alias("text"))
 
@@ -130,11 +130,11 @@ class Blocks:
         for k, (title, t) in enumerate(parts):
             one = t.select("repo_key", F.lit(k).alias("k"), F.concat(F.lit(title), "text").alias("part"))
             every = one if every is None else every.unionByName(one)
-        return _joined(every, F.col("part"), sep)
+        return joined(every, F.col("part"), sep)
 
     def header(self) -> DataFrame:
         languages = self.files.groupBy("repo_key", F.coalesce("language", F.lit("other")).alias("language")).agg(F.count(F.lit(1)).alias("n"))
-        mix = _joined(top(languages, [F.desc("n"), "language"], 8), F.concat("language", F.lit(" "), _s("n")), ", ").withColumnRenamed("text", "mix")
+        mix = joined(top(languages, [F.desc("n"), "language"], 8), F.concat("language", F.lit(" "), _s("n")), ", ").withColumnRenamed("text", "mix")
         n = languages.groupBy("repo_key").agg(F.sum("n").alias("files"))
         d = self.ranked.groupBy("repo_key").agg(F.count(F.lit(1)).alias("symbols"))
         first = n.join(mix, "repo_key").join(d, "repo_key", "left").fillna(0, ["symbols"])
@@ -147,30 +147,30 @@ class Blocks:
             named = F.trim(F.concat_ws(" ", F.lit("Package"), F.coalesce("name", F.lit("")), F.coalesce("version", F.lit(""))))
             parts.append(("", m.groupBy("repo_key").agg(F.min(F.concat(named, scripts, uses)).alias("text"))))
         parts.append(("Package manager: ", tree.package_manager(self.files).select("repo_key", F.col("manager").alias("text"))))
-        parts.append(("Entry files: ", _joined(tree.entry_files(self.files).withColumnRenamed("rank", "k"), _quoted("path"), ", ")))
+        parts.append(("Entry files: ", joined(tree.entry_files(self.files).withColumnRenamed("rank", "k"), _quoted("path"), ", ")))
         return self.sections(parts, "\n")
 
     def structure(self) -> DataFrame:
         purposes = top(modules.directory_purposes(self.files), ["dir"], P.DIR_PURPOSES)
         keyed = top(self.best.withColumn("module", paths.module_of(F.col("path"))), ["rank", "path"], P.KEY_FILES_EACH, ["repo_key", "module"])
-        shown = _joined(keyed, _quoted("path"), ", ", ["repo_key", "module"])
+        shown = joined(keyed, _quoted("path"), ", ", ["repo_key", "module"])
         sizes = self.best.groupBy("repo_key", paths.module_of(F.col("path")).alias("module")).agg(F.count(F.lit(1)).alias("files"), F.min("rank").alias("rank"))
         per = top(sizes.join(shown, ["repo_key", "module"]), ["rank", "module"], P.MODULES)
         names = self.ranked.filter("exported").groupBy("repo_key", "name").agg(F.min("rank").alias("rank"))
         root = top(self.files.filter(~F.contains("path", F.lit("/"))), ["path"], P.CONFIG_FILES)
         return self.sections([
-            ("## Structure\n\n", _joined(purposes, F.concat(F.lit("- `"), "dir", F.lit("/` "), "purpose"), "\n")),
-            ("### Modules\n", _joined(per, F.concat(F.lit("- "), _quoted("module"), F.lit(" "), _s("files"), F.lit(" files: "), "text"), "\n")),
-            ("### Exported\n", _joined(top(names, ["rank"], P.EXPORTED), F.col("name"), ", ")),
-            ("### Key files\n", _joined(top(self.best, ["rank"], P.KEY_FILES), F.concat(F.lit("- "), _quoted("path"), F.lit(" "), _s("n"), F.lit(" symbols")), "\n")),
-            ("### At the root\n", _joined(root, _quoted("path"), ", ")),
+            ("## Structure\n\n", joined(purposes, F.concat(F.lit("- `"), "dir", F.lit("/` "), "purpose"), "\n")),
+            ("### Modules\n", joined(per, F.concat(F.lit("- "), _quoted("module"), F.lit(" "), _s("files"), F.lit(" files: "), "text"), "\n")),
+            ("### Exported\n", joined(top(names, ["rank"], P.EXPORTED), F.col("name"), ", ")),
+            ("### Key files\n", joined(top(self.best, ["rank"], P.KEY_FILES), F.concat(F.lit("- "), _quoted("path"), F.lit(" "), _s("n"), F.lit(" symbols")), "\n")),
+            ("### At the root\n", joined(root, _quoted("path"), ", ")),
         ])
 
     def skeleton(self) -> DataFrame:
         nodes = top(modules.modules(self.files), [F.desc("files"), "module"], P.SKELETON_MODULES)
         return self.sections([
-            ("## Skeleton\n\n", _joined(nodes, F.concat(F.lit("- "), _quoted("module"), F.lit(" "), _s("files"), F.lit(" files, "), "purpose"), "\n")),
-            ("Key files: ", _joined(top(self.best, ["rank"], P.SKELETON_FILES), _quoted("path"), ", ")),
+            ("## Skeleton\n\n", joined(nodes, F.concat(F.lit("- "), _quoted("module"), F.lit(" "), _s("files"), F.lit(" files, "), "purpose"), "\n")),
+            ("Key files: ", joined(top(self.best, ["rank"], P.SKELETON_FILES), _quoted("path"), ", ")),
         ], "\n")
 
     def reading(self) -> DataFrame:
@@ -178,7 +178,7 @@ class Blocks:
         role = F.lit(None).cast("string")
         for name, shown in P.ROLE_NAMES.items():
             role = F.when(F.col("role") == name, shown).otherwise(role)
-        return self.sections([("## Reading order\n\n", _joined(steps, F.concat(_s("k"), F.lit(". "), _quoted("path"), F.lit(" ("), role, F.lit(")")), "\n"))])
+        return self.sections([("## Reading order\n\n", joined(steps, F.concat(_s("k"), F.lit(". "), _quoted("path"), F.lit(" ("), role, F.lit(")")), "\n"))])
 
     def pairs(self, most: int) -> DataFrame:
         """(repo_key, k, from_name, to_name): distinct pairs of names, those of the most important callers first."""
@@ -190,7 +190,7 @@ class Blocks:
         return top(found, ["rank", "ord", "from_name", "to_name"], most)
 
     def call_summary(self) -> DataFrame:
-        return self.sections([("## Calls\n\n", _joined(self.pairs(P.CALLS_TEXT), F.concat(F.lit("- "), "from_name", F.lit(" → "), "to_name"), "\n"))])
+        return self.sections([("## Calls\n\n", joined(self.pairs(P.CALLS_TEXT), F.concat(F.lit("- "), "from_name", F.lit(" → "), "to_name"), "\n"))])
 
 
 #: The blocks of each layer, the richest first.
@@ -211,7 +211,7 @@ def layers_of(blocks: Blocks, intent: str) -> DataFrame:
         within = F.array(*[F.lit(i) for i, layer in enumerate(ladder) if name in layer])
         one = getattr(blocks, name)().select("repo_key", F.explode(within).alias("layer"), F.lit(k).alias("k"), "text")
         every = one if every is None else every.unionByName(one)
-    return _joined(every, F.col("text"), "\n\n", ["repo_key", "layer"]).withColumnRenamed("text", "fixed")
+    return joined(every, F.col("text"), "\n\n", ["repo_key", "layer"]).withColumnRenamed("text", "fixed")
 
 
 def repository_packs(files: DataFrame, definitions: DataFrame, calls: DataFrame, imports: DataFrame, intent: str = "overview", budget: int = 8000, ranked: DataFrame | None = None) -> DataFrame:

@@ -24,7 +24,7 @@ def query(oracle: str | None = None) -> Callable[[Query], Query]:
 
 
 def queries() -> dict[str, Query]:
-    from . import queries as _, source_queries  # noqa: F401, PLC0415
+    from . import queries as _, repo_queries, source_queries  # noqa: F401, PLC0415
 
     return _QUERIES
 
