@@ -57,6 +57,10 @@ def test_paths(spark):
     assert one(spark, paths.ancestors(p), p="a/b/c") == ["a", "a/b"]
     assert one(spark, paths.suffixes(p), p="a/b/c") == ["a/b/c", "b/c", "c"]
     assert len(one(spark, paths.relative_candidates(p), p="a")) == 94
+    bases = spark.createDataFrame([("x/a",), ("x.d",), ("index",)], "p string")
+    for full in (True, False):
+        each = bases.select("p", F.posexplode(paths.relative_candidates(p, full)).alias("pos", "target")).withColumn("of", paths.relative_bases(F.col("target"), full))
+        assert all((r["p"], r["pos"]) in [tuple(b) for b in r["of"]] and len(r["of"]) <= 4 for r in each.collect())
     assert one(spark, paths.target_score(p), p="src/main.ts") == 100 - 4 + 30 + 40
     assert one(spark, paths.purpose_of_name(p), p="Tests") == "tests"
     assert one(spark, paths.preview_kind(p), p="a.md") == "markdown"
