@@ -110,3 +110,14 @@ def test_small_functions(spark):
     assert one(spark, text.rotate_to_least(F.col("n")), n=["c", "a", "b"]) == ["a", "b", "c"]
     assert one(spark, text.escape_label(F.col("n")), n='a["<{|') == "a(&quot;&lt;(/"
     assert one(spark, text.clip_list(F.col("n"), 2), n=["a", "b", "c"]) == "a, b … (3)"
+
+
+def test_fnv1a_by_batches():
+    import random
+
+    import pyarrow as pa
+
+    r = random.Random(1)
+    for n in (0, 1, 17, 60):
+        t = [None if r.random() < 0.1 else "".join(r.choice("ab é😀中\n") for _ in range(r.choice([0, 1, 5, 40, r.randrange(400)]))) for _ in range(n)] + ["abc"] * n + ["xyz" * n] * 20
+        assert text._fnv1a_of(pa.array(t, pa.string())).to_pylist() == [None if x is None else py.fnv1a(x) for x in t]
