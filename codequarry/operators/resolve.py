@@ -143,9 +143,12 @@ def rank_edges(imports: DataFrame, calls: DataFrame, definitions: DataFrame, fil
 
 def local_first(calls: DataFrame, definitions: DataFrame) -> DataFrame:
     """(repo_key, path, to_name, target, how): a call's own file if it defines the name, else the only file that does."""
-    asked = calls.select("repo_key", "path", "to_name").distinct()
-    own = definitions.select("repo_key", "path", F.col("name").alias("to_name"), F.lit(True).alias("own")).distinct()
+    # all that is known of a name is dealt to it once: files are told apart there, and the only owner is looked up without another deal or a sort
+    key = ["repo_key", "path", "to_name"]
+    asked = calls.select(*key, F.lit(True).alias("asked"), F.lit(False).alias("own"))
+    own = definitions.select("repo_key", "path", F.col("name").alias("to_name"), F.lit(False).alias("asked"), (F.col("repo_key").isNotNull() & F.col("path").isNotNull()).alias("own"))
+    each = asked.unionByName(own).repartition("to_name").groupBy(*key).agg(F.max("asked").alias("asked"), F.max("own").alias("own")).filter("asked")
     sole = unique_names(definitions).withColumnRenamed("name", "to_name")
-    both = asked.join(own, ["repo_key", "path", "to_name"], "left").join(sole, ["repo_key", "to_name"], "left")
-    target = F.when(F.col("own"), F.col("path")).otherwise(F.col("owner"))
-    return both.select("repo_key", "path", "to_name", target.alias("target"), F.when(F.col("own"), "local").when(F.col("owner").isNotNull(), "unique").otherwise("none").alias("how"))
+    mine = F.col("own") & F.col("to_name").isNotNull()
+    both = each.join(sole.hint("shuffle_hash"), ["repo_key", "to_name"], "left")
+    return both.select(*key, F.when(mine, F.col("path")).otherwise(F.col("owner")).alias("target"), F.when(mine, "local").when(F.col("owner").isNotNull(), "unique").otherwise("none").alias("how"))
