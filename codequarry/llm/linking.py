@@ -146,36 +146,22 @@ def cell_links(bucket: int, rows: list[tuple], rule: Rule) -> list[tuple[bytes,
 def remaining(members: DataFrame, roots: DataFrame, payload: DataFrame, rule: Rule, scratch: Scratch) -> DataFrame:
     """Links (a, b) by which all similar pairs that share a bucket are joined. ``members``: (bucket, node, n).
 
-    The pair of a bucket of two has been verified already. Larger buckets are split by size first: similar items are of one size class or of neighbouring ones. Only parts with several
-    components are left.
+    The pair of a bucket of two has been verified already. Larger buckets are split by size first: similar items are of one size class or of neighbouring ones. Only classes that
+    have several components, alone or with a neighbour, are left. A member is one row a bucket: it meets its own class and both neighbours from there.
     """
-    placed = scratch.table(members.join(roots, "node", "left").select("bucket", "node", "n", F.coalesce("root", "node").alias("root")))
     size_class = F.floor(F.log(F.col("n").cast("double")) / math.log(1 / rule.ratio + 1e-6)) if rule.ratio else F.lit(0).cast("long")
-    placed = placed.withColumn("class", size_class)
-    line, mix = Window.partitionBy("bucket").orderBy("class"), lambda o: F.least("low", o["low"]) != F.greatest("high", o["high"])
-    by_class = placed.groupBy("bucket", "class").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("of_class"))
-    by_class = by_class.withColumn("nodes", F.sum("of_class").over(Window.partitionBy("bucket"))).filter("nodes > 2")
-    by_class = by_class.withColumn("up", F.lead(F.struct("class", "low", "high")).over(line)).withColumn("down", F.lag(F.struct("class", "low", "high")).over(line))
-    lower = (F.col("low") != F.col("high")) | ((F.col("up.class") == F.col("class") + 1) & mix(F.col("up")))
-    upper = (F.col("down.class") == F.col("class") - 1) & mix(F.col("down"))
-    parts = by_class.select("bucket", "class", F.array_compact(F.array(F.when(upper, F.col("class")), F.when(lower, F.col("class") + 1))).alias("parts")).filter(F.size("parts") > 0)
-    # written, since two jobs read it
-    placed = placed.join(parts, ["bucket", "class"]).select("bucket", "node", "root", F.explode("parts").alias("part")).select(F.xxhash64("bucket", "part").alias("bucket"), "node", "root")
-    placed = scratch.table(placed)
-    major = placed.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("of_root")).groupBy("bucket").agg(F.max(F.struct("of_root", "root")).alias("major"), F.sum("of_root").alias("n"), F.count(F.lit(1)).alias("n_roots")).filter("n_roots > 1")
-    whole = F.col("n") <= BLOCK
-    major = major.select(
-        "bucket", F.when(~whole, F.col("major.root")).alias("major"), F.ceil(F.when(whole, F.col("n")).otherwise(F.col("n") - F.col("major.of_root")) / BLOCK).alias("others"),
-        F.when(whole, 0).otherwise(F.ceil(F.col("major.of_root") / BLOCK)).alias("blocks"),
-    )
-    is_major, deal = F.coalesce(F.col("root") == F.col("major"), F.lit(False)), F.xxhash64("node")
-    major = scratch.table(major)
-    n_cells = major.agg(F.sum(F.col("others") * (F.col("others") + 1) / 2 + F.col("others") * F.col("blocks"))).first()[0]
-    dealt = placed.join(major, "bucket").withColumn("block", F.when(is_major, F.col("others") + F.pmod(deal, "blocks")).otherwise(F.pmod(deal, "others")))
+    placed = scratch.table(members.join(roots, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"), size_class.alias("class")))
+    cells = scratch.table(_cells(placed))
+    n_cells = cells.agg(F.sum("n_cells")).first()[0]
     if not n_cells:
-        return dealt.select(F.col("node").alias("a"), F.col("root").alias("b")).limit(0)
+        return placed.select(F.col("node").alias("a"), F.col("root").alias("b")).limit(0)
+    is_major, deal = F.coalesce(F.col("root") == F.col("major"), F.lit(False)), F.xxhash64("node")
+    block = F.col("base") + F.when(is_major, F.col("others") + F.pmod(deal, "blocks")).otherwise(F.pmod(deal, "others"))
+    of = lambda side: F.when(is_major, F.col(f"{side}others")).otherwise(F.col(f"{side}others") + F.col(f"{side}blocks"))
+    meets = [c.cast("int").alias(f"{side}{name}") for side in ("", "up.", "down.") for name, c in (("from", F.coalesce(f"{side}base", F.lit(0))), ("n", F.coalesce(of(side), F.lit(0))))]
+    dealt = placed.join(cells, ["bucket", "class"]).select("bucket", "node", "root", F.struct("bucket", block.cast("int").alias("block"), *meets).alias("place"))
     # a member meets its payload once; what a batch has for one cell is one row, and only that is dealt out by cells
-    places = dealt.groupBy("node").agg(F.first("root").alias("root"), F.collect_list(F.struct("bucket", *[F.col(c).cast("long").alias(c) for c in ("block", "others", "blocks")])).alias("places"))
+    places = dealt.groupBy("node").agg(F.first("root").alias("root"), F.collect_list("place").alias("places"))
     packed = places.join(payload, "node").select("node", "root", "places", "w").mapInArrow(_packed, f"bucket long, lo long, hi long, items array<{_ITEM}>")
 
     def meet(key: tuple, t: pa.Table) -> pa.Table:
@@ -186,23 +172,52 @@ def remaining(members: DataFrame, roots: DataFrame, payload: DataFrame, rule: Ru
     return packed.repartition(scratch.tasks(int(n_cells), 200), "bucket", "lo", "hi").groupBy("bucket", "lo", "hi").applyInArrow(meet, "a binary, b binary").distinct()
 
 
+def _cells(placed: DataFrame) -> DataFrame:
+    """(bucket, class, major, base, others, blocks, up, down, n_cells) of the size classes of ``placed`` in which similar pairs may be left.
+
+    A class has ``others`` blocks from ``base`` on, and ``blocks`` more of the bucket's largest component, ``major``; ``up`` and ``down`` are (base, others, blocks) of
+    its neighbours. A bucket of few members is one block, whatever their classes.
+    """
+    bucket = Window.partitionBy("bucket")
+    line = bucket.orderBy("class")
+    per_root = placed.groupBy("bucket", "class", "root").agg(F.count(F.lit(1)).alias("n"))
+    major = per_root.groupBy("bucket", "root").agg(F.sum("n").alias("n")).groupBy("bucket").agg(F.max(F.struct("n", "root")).alias("major"), F.sum("n").alias("nodes"), F.count(F.lit(1)).alias("n_roots"))
+    major = major.filter("n_roots > 1 and nodes > 2").select("bucket", F.col("major.root").alias("major"))
+    of_major = F.sum(F.when(F.col("root") == F.col("major"), F.col("n")).otherwise(0)).alias("of_major")
+    by_class = per_root.join(major, "bucket").groupBy("bucket", "class").agg(F.first("major").alias("major"), F.min("root").alias("low"), F.max("root").alias("high"), F.sum("n").alias("n"), of_major)
+    up = lambda *names: F.when(F.lead("class").over(line) == F.col("class") + 1, F.lead(F.struct(*names)).over(line))
+    down = lambda *names: F.when(F.lag("class").over(line) == F.col("class") - 1, F.lag(F.struct(*names)).over(line))
+    by_class = by_class.select("*", up("low", "high").alias("up"), down("low", "high").alias("down"))
+    mixed = lambda o: F.col(o).isNotNull() & (F.least("low", f"{o}.low") != F.greatest("high", f"{o}.high"))
+    left = by_class.filter((F.col("low") != F.col("high")) | mixed("up") | mixed("down")).drop("up", "down", "low", "high")
+    left = left.withColumn("whole", F.sum("n").over(bucket) <= BLOCK)
+    others, blocks = F.ceil((F.col("n") - F.col("of_major")) / BLOCK), F.ceil(F.col("of_major") / BLOCK)
+    left = left.select("bucket", "class", "whole", F.when(~F.col("whole"), F.col("major")).alias("major"), F.when(F.col("whole"), 1).otherwise(others).alias("others"), F.when(F.col("whole"), 0).otherwise(blocks).alias("blocks"))
+    before = F.sum(F.col("others") + F.col("blocks")).over(line.rowsBetween(Window.unboundedPreceding, -1))
+    left = left.withColumn("base", F.when(F.col("whole"), 0).otherwise(F.coalesce(before, F.lit(0))))
+    left = left.select("*", *(F.when(~F.col("whole"), side("base", "others", "blocks")).alias(name) for side, name in ((up, "up"), (down, "down"))))
+    across = F.coalesce(F.col("others") * (F.col("up.others") + F.col("up.blocks")) + F.col("blocks") * F.col("up.others"), F.lit(0))
+    own = F.col("others") * (F.col("others") + 1) / 2 + F.col("others") * F.col("blocks")
+    return left.select("bucket", "class", "major", "base", "others", "blocks", "up", "down", (own + across).alias("n_cells"))
+
+
 _ITEM = "struct<node:binary,root:binary,block:bigint,buckets:array<bigint>,w:binary>"
 
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(bucket, lo, hi, items) from (node, root, places, w): the items of a run of rows that meet in one cell are one row.
 
-    A block meets every other one of its bucket and itself; those of the largest component, which come last, meet the others only.
+    A place has its bucket, its block, and (first, number) of the blocks that it meets in its own size class and in both neighbours.
     """
     for whole in batches:
         lists = whole.column("places")
         n_places, flat = lists.value_lengths().to_numpy(), lists.flatten()
-        bucket, block, others, blocks = (flat.field(i).to_numpy() for i in range(4))
+        bucket, block = (flat.field(i).to_numpy().astype(np.int64) for i in range(2))
+        first, meets = (np.stack([flat.field(i).to_numpy() for i in range(at, 8, 2)], axis=1).ravel().astype(np.int64) for at in (2, 3))
         row = np.repeat(np.arange(whole.num_rows), n_places)
-        meets = np.where(block < others, others + blocks, others)
         buckets = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n_places))).astype(np.int32)), pa.array(bucket))
-        place = np.repeat(np.arange(row.size), meets)
-        other = np.arange(place.size) - np.repeat(np.cumsum(meets) - meets, meets)
+        stretch = np.repeat(np.arange(meets.size), meets)
+        place, other = stretch // 3, first[stretch] + np.arange(stretch.size) - np.repeat(np.cumsum(meets) - meets, meets)
         size = pa.compute.binary_length(whole.column("w")).to_numpy() + 64 + 8 * n_places
         run = np.cumsum(size[row[place]]) // PACK_BYTES
         bounds = np.flatnonzero(np.concatenate(([True], run[1:] != run[:-1], [True]))) if run.size else [0]
