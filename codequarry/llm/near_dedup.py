@@ -27,7 +27,7 @@ from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, Stru
 from .decontaminate import pieces, split_words
 from .hashing import hashed_words, labelled, mixed, text_kmers
 from .linking import Rule, combined, link_classes, shared_buckets
-from .shared import Scratch, fresh, quoted, row_key
+from .shared import TAGGED_ROWS, Scratch, exact_tags, fresh, quoted, row_key, tagged, tags
 
 #: Words in a k-mer; least similarity; sketches; k-mers in a sketch.
 K, SIMILARITY, SKETCHES, PICKED = 5, 0.8, 64, 2
@@ -191,7 +191,7 @@ def _sketched(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
                 words, bounds = hashed_words(texts[lo:hi])
                 size = np.diff(bounds)
                 sizes.append(size)
-                nodes += [blake2b(b" ".join(split_words(t)), digest_size=16).digest() if n else None for t, n in zip(texts[lo:hi], size, strict=True)]
+                nodes += [_digest(t) if n else None for t, n in zip(texts[lo:hi], size, strict=True)]
                 of, keys = bucket_keys(words, bounds)
                 owned.append(of + lo)
                 parts.append(keys)
@@ -210,17 +210,23 @@ def _sketched(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return base.mapInArrow(run, schema)
 
 
-def _node_words(docs: DataFrame, wanted: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(node, w) of one document for each wanted (key, node): the words as 32-bit hashes."""
-    base = docs.select(row_key(F.col(quoted(doc_id)), F.col(quoted(text))).alias("key"), F.col(quoted(text)).alias("t")).join(wanted, "key").select("node", "t")
+def _digest(text: str | None) -> bytes:
+    return blake2b(b" ".join(split_words(text)), digest_size=16).digest()
+
+
+def _node_words(docs: DataFrame, wanted: DataFrame, n_rows: int, doc_id: str, text: str) -> DataFrame:
+    """(node, w) of one document, at least, for each wanted (key): the words as 32-bit hashes. A few nodes that aren't wanted may be there too."""
+    base = docs.select(row_key(F.col(quoted(doc_id)), F.col(quoted(text))).alias("key"), F.col(quoted(text)).alias("t"))
+    base = tagged(base, "key", tags(wanted, n_rows), n_rows) if n_rows <= TAGGED_ROWS else base.join(wanted.select("key"), "key", "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            words, bounds = hashed_words(batch.column(1).to_pylist())
+            texts = batch.column(0).to_pylist()
+            words, bounds = hashed_words(texts)
             w = [words[s:e].astype(np.uint32).tobytes() for s, e in zip(bounds[:-1], bounds[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(w, pa.binary())], names=["node", "w"])
+            yield pa.RecordBatch.from_arrays([pa.array(map(_digest, texts), pa.binary()), pa.array(w, pa.binary())], names=["node", "w"])
 
-    return base.mapInArrow(run, "node binary, w binary").dropDuplicates(["node"])
+    return base.select("t").mapInArrow(run, "node binary, w binary").dropDuplicates(["node"])
 
 
 def _members(rows: DataFrame) -> DataFrame:
@@ -243,7 +249,7 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least:
     n_rows = rows.count()
     members = scratch.table(_members(rows), scratch.tasks(n_rows))
     wanted = rows.join(members.select("node").distinct(), "node").groupBy("node").agg(F.min("key").alias("key"))
-    texts = scratch.table(_node_words(docs, wanted, doc_id, text), scratch.tasks(n_rows))
+    texts = scratch.table(_node_words(docs, wanted, n_rows, doc_id, text), scratch.tasks(n_rows))
     roots, links = link_classes(members, texts, rule(least), scratch)
     ends = links.select(F.col("a").alias("node")).union(links.select("b")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
     linked = scratch.table(roots.join(ends, "node", "left"), scratch.tasks(n_rows))
@@ -259,20 +265,26 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least:
 def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: float = SIMILARITY) -> DataFrame:
     """One document of each class, that with the least doc_id, with all columns; of repeated rows, any one.
 
-    A row without letters and digits goes only if it repeats another. Texts move once: rows meet a narrow table of the
-    keys that go. Rows of a key that stays but is repeated, if there are any, are combined before they move.
+    A row without letters and digits goes only if it repeats another. Texts don't move: tags of the keys that go are sent to them, with the few other keys of those tags. Only
+    of very many rows texts are dealt out by their keys. Rows of a key that stays but is repeated, if there are any, are combined.
     """
     scratch = Scratch(docs.sparkSession, "deduplicate")
-    found = scratch.table(classes(docs, doc_id, text, least).filter(F.col("n_class") > 1).groupBy("root", "key").agg(F.min(F.coalesce("doc_id", F.lit((1 << 63) - 1))).alias("doc_id"), F.count(F.lit(1)).alias("n")))
+    every = scratch.table(classes(docs, doc_id, text, least).select("doc_id", "key", "root", "n_class"))
+    found = scratch.table(every.filter(F.col("n_class") > 1).groupBy("root", "key").agg(F.min(F.coalesce("doc_id", F.lit((1 << 63) - 1))).alias("doc_id"), F.count(F.lit(1)).alias("n")))
     first = found.groupBy("root").agg(F.min(F.struct("doc_id", "key")).alias("first"))
     named = scratch.table(found.join(first, "root").select("key", "n", (F.col("key") == F.col("first.key")).alias("stays")))
     columns = [F.col(quoted(c)) for c in docs.columns]
-    key = fresh(docs.columns, "_key")
+    key, n_rows = fresh(docs.columns, "_key"), every.count()
     keyed = docs.withColumn(key, row_key(F.col(quoted(doc_id)), F.col(quoted(text))))
-    gone = named.filter("not stays or n > 1").select(F.col("key").alias(key))
-    kept = keyed.join(gone, key, "left_anti").select(*columns)
-    repeated = named.filter("stays and n > 1").select(F.col("key").alias(key))
+
+    def of(keys: DataFrame, how: str) -> DataFrame:
+        if n_rows > TAGGED_ROWS:
+            return keyed.join(keys.select(F.col("key").alias(key)), key, how)
+        return tagged(keyed, key, scratch.table(exact_tags(keys, every, n_rows)), n_rows, how)
+
+    kept = of(named.filter("not stays or n > 1"), "left_anti").select(*columns)
+    repeated = named.filter("stays and n > 1")
     if repeated.isEmpty():
         return kept
-    one = keyed.join(repeated, key, "left_semi").groupBy(key).agg(F.first(F.struct(*columns)).alias("_row"))
+    one = of(repeated, "left_semi").groupBy(key).agg(F.first(F.struct(*columns)).alias("_row"))
     return kept.union(one.select(*[F.col("_row").getField(c).alias(c) for c in docs.columns]))

@@ -49,6 +49,38 @@ def row_key(doc_id: Column, text: Column) -> Column:
     return F.unhex(F.md5(F.encode(F.concat(given(doc_id.cast("string")), given(text)), "utf-8")))
 
 
+#: Rows of a table up to which the tags of some of its keys are sent to all tasks: about a byte for each row.
+TAGGED_ROWS = 1 << 26
+
+
+def tags(keys: DataFrame, n_rows: int) -> DataFrame:
+    """(block, tags, but): 16 bits of each key of ``keys`` (key), by block, for a table of ``n_rows`` rows. ``but`` is empty."""
+    named = keys.select(*_block_and_tag(F.col("key"), n_rows))
+    return named.groupBy("block").agg(F.collect_set("tag").alias("tags")).withColumn("but", F.array().cast("array<binary>"))
+
+
+def exact_tags(keys: DataFrame, every: DataFrame, n_rows: int) -> DataFrame:
+    """``tags`` with the keys of ``every`` that have a tag, but aren't in ``keys``, as ``but``: of ``every``, only ``keys`` are tagged then."""
+    rough = tags(keys, n_rows)
+    others = tagged(every.select("key"), "key", rough, n_rows).join(keys.select("key"), "key", "left_anti")
+    but = others.groupBy(_block_and_tag(F.col("key"), n_rows)[0]).agg(F.collect_set("key").alias("others"))
+    return rough.drop("but").join(but, "block", "left").select("block", "tags", F.coalesce("others", F.array().cast("array<binary>")).alias("but"))
+
+
+def tagged(rows: DataFrame, key: str, tags: DataFrame, n_rows: int, how: str = "left_semi") -> DataFrame:
+    """The ``rows`` whose ``key`` has a tag (``left_anti``: has none). They aren't moved: the tags go to them."""
+    block, tag = _block_and_tag(F.col(quoted(key)), n_rows)
+    names = {c: fresh(rows.columns, f"_{c}") for c in ("block", "tags", "but")}
+    there = F.broadcast(tags.select(*[F.col(c).alias(name) for c, name in names.items()]))
+    has = F.array_contains(F.col(names["tags"]), tag) & ~F.array_contains(F.col(names["but"]), F.col(quoted(key)))
+    return rows.join(there, (block == F.col(names["block"])) & has, how)
+
+
+def _block_and_tag(key: Column, n_rows: int) -> tuple[Column, Column]:
+    h = F.xxhash64(key)
+    return F.pmod(h, F.lit(n_rows // 128 + 1)).alias("block"), F.shiftright(h, 48).cast("short").alias("tag")
+
+
 def delete(spark: SparkSession, path: str) -> None:
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
