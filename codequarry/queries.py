@@ -416,7 +416,7 @@ def function_calls(spark, d):
 def top_k_graph(spark, d):
     """A top-120 report."""
     f = _files(spark, d)
-    nodes, edges = graphs.call_graph(tables.definitions(f), tables.calls(f), _imported(spark, d))
+    nodes, edges = graphs.call_graph(tables.definitions(f), tables.calls(f), _imported(spark, d), lambda met: tables.nested(f, met))
     return out(graphs.top_graph(nodes, edges)[0])
 
 
