@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import cycles, graphs, metrics, modules
+from ..storage import Tables
 from .diagrams import call_diagram, module_diagram
 from .pack import Repository
 
@@ -15,20 +16,23 @@ from .pack import Repository
 def report_model(repo: Repository, edges: DataFrame, nodes: DataFrame, calls: DataFrame) -> dict:
     """Everything that the page shows, each part bounded. ``edges``: file edges; ``nodes``, ``calls``: the function graph to draw."""
     rows = lambda df: [r.asDict(recursive=True) for r in df.collect()]
+    tables = Tables(repo.files.sparkSession, "report")  # what several parts read is made once
+    edges, nodes, calls = (tables.write(t) for t in (edges, nodes, calls))
     model: dict = {"name": repo.name, "files": repo.files.count(), "symbols": repo.definitions.count()}
     if repo.function_metrics is not None and repo.file_metrics is not None:
-        model["health"] = (rows(metrics.health(repo.function_metrics, repo.file_metrics)) or [None])[0]
-        model["languages"] = rows(metrics.language_mix(repo.file_metrics).orderBy(F.desc("sloc"), "language").limit(20))
-        model["top_files"] = rows(metrics.top_files(repo.file_metrics, 20).orderBy("rank"))
-        model["top_functions"] = rows(metrics.top_functions(repo.function_metrics, 20).orderBy("rank"))
+        functions, measured = tables.write(repo.function_metrics), tables.write(repo.file_metrics)
+        model["health"] = (rows(metrics.health(functions, measured)) or [None])[0]
+        model["languages"] = rows(metrics.language_mix(measured).orderBy(F.desc("sloc"), "language").limit(20))
+        model["top_files"] = rows(metrics.top_files(measured, 20).orderBy("rank"))
+        model["top_functions"] = rows(metrics.top_functions(functions, 20).orderBy("rank"))
     model["reading"] = rows(graphs.reading_order(repo.files, edges).filter(F.col("order") <= 40).orderBy("order"))
     model["cycles"] = [r["cycle"] for r in cycles.find_cycles(edges).orderBy(F.size("cycle"), F.get("cycle", F.lit(0))).limit(20).collect()]
-    m = modules.modules(repo.files)
+    m = tables.write(modules.modules(repo.files))
     model["layers"] = rows(modules.layers(m).orderBy(F.desc("files"), "purpose").limit(40))
-    kept, kept_calls = graphs.top_graph(nodes, calls)
+    kept, kept_calls = (tables.write(t) for t in graphs.top_graph(nodes, calls))
     model["graph"] = {"nodes": kept.count(), "edges": kept_calls.count(), "total": nodes.count()}
     model["call_diagram"] = (rows(call_diagram(kept, kept_calls)) or [{"text": ""}])[0]["text"]
-    top = m.orderBy(F.desc("files"), "module").limit(40)
+    top = tables.write(m.orderBy(F.desc("files"), "module").limit(40))
     between = modules.module_edges(edges).join(top.select("repo_key", F.col("module").alias("src")), ["repo_key", "src"], "left_semi").join(top.select("repo_key", F.col("module").alias("dst")), ["repo_key", "dst"], "left_semi")
     model["module_diagram"] = (rows(module_diagram(top, between)) or [{"text": ""}])[0]["text"]
     return model

@@ -12,6 +12,7 @@ from .operators import graphs, metrics, modules, navigation, resolve, search, sy
 from .registry import query
 from .sources import tables, tree
 from .sources.tables import read
+from .storage import Tables
 from .streaming import session
 from . import cache
 
@@ -736,8 +737,8 @@ def html_report(spark, d):
     """K5-K8."""
     from .plans.report import render_html, report_model
 
-    r, imported = _repository(spark, d), _imported(spark, d)
-    nodes, calls = graphs.call_graph(r.definitions, r.calls, imported)
+    r, imported = _repository(spark, d), Tables(spark, "imports").write(_imported(spark, d))
+    nodes, calls = graphs.call_graph(r.definitions, r.calls, imported, lambda met: tables.nested(r.files, met))
     page = render_html(report_model(r, imported, nodes, calls))
     return spark.createDataFrame([("documents", page)], "name string, html string")
 
